@@ -9,6 +9,7 @@ import json
 import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, StringType
 
 
 def fnv1a32(values) -> int:
@@ -25,13 +26,13 @@ def action_key(parts: list[str | None], prefix: str = "action:v1:") -> str:
     return f"{prefix}{fnv1a32(map(ord, text)):08x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def action_keys(parts: pd.Series) -> pd.Series:
     """``action_key`` of arrays of parts."""
     return parts.map(lambda p: action_key(list(p)))
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(DecimalType(20, 0))
 def xxh3(texts: pd.Series) -> pd.Series:
     """Content hash (xxh3, 64 bits, unsigned) of UTF-8 text."""
     from decimal import Decimal

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed value: the white space that is collapsed, Unicode White_Space.
 SPACES = "\t\n\u000b\u000c\r \u0085   -     　"
@@ -53,7 +54,7 @@ def normalize_text(text: str) -> str:
     return smart_truncate(text, 200) if len(text) > 200 else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize(texts: pd.Series) -> pd.Series:
     return texts.map(normalize_text, na_action="ignore")
 

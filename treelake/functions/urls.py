@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def cache_url(url: Column) -> Column:
@@ -77,6 +78,6 @@ def outbound_reason(url: str) -> str | None:
     return None if good else "address"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def outbound_policy(urls: pd.Series) -> pd.Series:
     return urls.map(outbound_reason, na_action="ignore")

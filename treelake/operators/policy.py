@@ -123,7 +123,7 @@ def intercept(requests: DataFrame, rules: DataFrame, most_rules: int = 10_000) -
     """
     if rules.limit(most_rules + 1).count() > most_rules:
         raise ValueError(f"more than {most_rules} rules")
-    regex = F.when(F.col("r.url_glob").isNotNull(), F.col("q.url").rlike(glob_column(F.col("r.url_glob")))).otherwise(True)
+    regex = F.when(F.col("r.url_glob").isNotNull(), F.regexp_like("q.url", glob_column(F.col("r.url_glob")))).otherwise(True)
     kind = F.col("r.resource_type").isNull() | (F.col("r.resource_type") == F.col("q.resource_type"))
     hit = requests.alias("q").join(F.broadcast(rules.alias("r")), regex & kind, "left")
     first = hit.groupBy("q.request_id").agg(F.min(F.when(F.col("r.rule_ord").isNotNull(), F.struct("r.rule_ord", "r.action"))).alias("x"))
@@ -148,6 +148,6 @@ def cache_outcomes(fetches: DataFrame, max_age_seconds: int = 300) -> DataFrame:
     """
     by = Window.partitionBy("cache_key").orderBy("fetched_at", "fetch_id")
     rows = fetches.withColumn("cache_key", cache_url(F.col("url"))).withColumn("old_hash", F.lag("content_hash").over(by)).withColumn("old_at", F.lag("fetched_at").over(by))
-    age = F.unix_micros("fetched_at") - F.unix_micros("old_at")
+    age = F.timestamp_diff("MICROSECOND", "old_at", "fetched_at")
     outcome = F.when(F.col("old_at").isNull(), "miss").when(age > max_age_seconds * 1_000_000, "expired").when(F.col("old_hash") == F.col("content_hash"), "hit").otherwise("stale")
     return rows.select("fetch_id", "cache_key", outcome.alias("outcome"))

@@ -4,29 +4,409 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from treelake.functions import text as T
+from treelake.functions import urls as U
+from treelake.operators import elements as E
+from treelake.operators import page_diff, policy, scores
 from treelake.operators.dedupe import latest
 from treelake.sources.tables import table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+# tables without rows delivered again, as SQL
+_P = "(SELECT DISTINCT * EXCLUDE (received_at) FROM som_pages)"
+_E = "(SELECT DISTINCT * EXCLUDE (received_at) FROM som_elements)"
+_R = "(SELECT page_id, region_ord, min(region_id) AS region_id, min(role) AS region_role, min(label) AS region_label, min(action) AS form_action, min(method) AS form_method FROM som_regions GROUP BY 1, 2)"
+
+
+def _attr(name: str) -> str:
+    return f"CASE WHEN json_valid(attrs) THEN json_extract_string(attrs, '$.{name}') END"
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """som_pages, each page once."""
     return latest(table(spark, d, "som_pages"), ["page_id"], ["received_at"])
 
 
+def elements(spark: SparkSession, d: str) -> DataFrame:
+    """som_elements, each element once."""
+    return E.first_elements(table(spark, d, "som_elements"))
+
+
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "som_regions").groupBy("page_id", "region_ord")
+    return rows.agg(*(F.min(c).alias(c) for c in ("region_id", "role", "label", "action", "method")))
+
+
+def placed(spark: SparkSession, d: str) -> DataFrame:
+    return E.with_regions(elements(spark, d), regions(spark, d))
+
+
+def round6(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+_GRADE = "CASE WHEN ratio > 15 THEN 'A' WHEN ratio >= 8 THEN 'B' WHEN ratio >= 3 THEN 'C' WHEN ratio >= 1 THEN 'D' ELSE 'F' END"
+_RATIO = "CASE WHEN som_bytes > 0 THEN round(html_bytes / som_bytes::DOUBLE, 6) END"
+
+
+@query(f"SELECT page_id, site, ratio, element_count, interactive_count, {_GRADE} AS grade FROM (SELECT *, {_RATIO} AS ratio FROM {_P})")
 def page_scorecard(spark: SparkSession, d: str) -> DataFrame:
-    """Byte ratio and grade of every page: A above 15, B from 8, C from 3, D from 1, else F."""
-    ratio = F.when(F.col("som_bytes") > 0, F.col("html_bytes") / F.col("som_bytes"))
-    grade = F.when(F.col("ratio") > 15, "A").when(F.col("ratio") >= 8, "B").when(F.col("ratio") >= 3, "C").when(F.col("ratio") >= 1, "D").otherwise("F")
-    rows = pages(spark, d).select("page_id", "site", F.round(ratio, 6).alias("ratio"), "element_count", "interactive_count")
-    return rows.withColumn("grade", grade)
+    """Byte ratio and grade of every page."""
+    ratio = F.when(F.col("som_bytes") > 0, round6(F.col("html_bytes") / F.col("som_bytes")))
+    rows = pages(spark, d).select("page_id", "site", ratio.alias("ratio"), "element_count", "interactive_count")
+    return rows.withColumn("grade", scores.grade(F.col("ratio")))
+
+
+@query(f"SELECT grade, count(*) AS pages FROM (SELECT {_GRADE} AS grade FROM (SELECT {_RATIO} AS ratio FROM {_P})) GROUP BY 1")
+def grade_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return page_scorecard(spark, d).groupBy("grade").agg(F.count("*").alias("pages"))
+
+
+@query(f"""SELECT page_id, count(*) AS element_count, count(*) FILTER (WHERE len(actions) > 0) AS with_actions, count(*) FILTER (WHERE role IN ('link','button','text_input','textarea','select','checkbox','radio','details')) AS interactive,
+ count(*) FILTER (WHERE role IN ('link','button','text_input','textarea','select','checkbox','radio','details') OR trim(coalesce(text,'')) <> '' OR trim(coalesce(label,'')) <> '') AS meaningful FROM {_E} GROUP BY 1""")
+def element_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Elements of each page: all, with actions, of interactive roles, meaningful."""
+    rows = elements(spark, d).groupBy("page_id")
+    return rows.agg(F.count("*").alias("element_count"), F.count_if(E.has_actions()).alias("with_actions"), F.count_if(E.is_interactive()).alias("interactive"), F.count_if(E.meaningful()).alias("meaningful"))
+
+
+@query(f"SELECT element_key, page_id, id, role FROM {_E} WHERE len(actions) > 0")
+def interactive_elements(spark: SparkSession, d: str) -> DataFrame:
+    return elements(spark, d).filter(E.has_actions()).select("element_key", "page_id", "id", "role")
+
+
+@query(f"""SELECT page_id, href, min(el_ord) AS first_ord, arg_min(coalesce(text, label), el_ord) AS link_text FROM (SELECT *, {_attr('href')} AS href FROM {_E} WHERE role = 'link') WHERE href <> '' AND href <> '#' GROUP BY 1, 2""")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of each page, each target once, in order of first appearance."""
+    return E.links(elements(spark, d))
+
+
+@query(f"""SELECT DISTINCT page_id, regexp_replace(regexp_replace(href, '#.*$', ''), '/$', '') AS target FROM (SELECT page_id, {_attr('href')} AS href FROM {_E} WHERE role = 'link') WHERE href <> '' AND href <> '#'""")
+def link_targets(spark: SparkSession, d: str) -> DataFrame:
+    rows = elements(spark, d).filter(F.col("role") == "link").select("page_id", E.attr("href").alias("href")).filter("href <> '' and href <> '#'")
+    return rows.select("page_id", E.normal_href(F.col("href")).alias("target")).distinct()
+
+
+@query(f"SELECT page_id, el_ord, id, coalesce(try_cast({_attr('level')} AS INTEGER), 0) AS level, text FROM {_E} WHERE role = 'heading'")
+def page_headings(spark: SparkSession, d: str) -> DataFrame:
+    return E.headings(elements(spark, d))
+
+
+@query(f"SELECT page_id, string_agg(v, chr(10) ORDER BY el_ord, element_key) AS content FROM (SELECT page_id, el_ord, element_key, coalesce(nullif(text,''), label) AS v FROM {_E}) WHERE v <> '' GROUP BY 1")
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    return E.page_text(elements(spark, d))
+
+
+@query(f"SELECT page_id, region_ord, string_agg(v, chr(10) ORDER BY el_ord, element_key) AS content FROM (SELECT page_id, region_ord, el_ord, element_key, coalesce(nullif(text,''), label) AS v FROM {_E}) WHERE v <> '' GROUP BY 1, 2")
+def region_text(spark: SparkSession, d: str) -> DataFrame:
+    return E.ordered_text(elements(spark, d), ["page_id", "region_ord"], F.coalesce(E.non_empty(F.col("text")), F.col("label")))
+
+
+@query()
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return E.page_markdown(elements(spark, d))
+
+
+@query(f"SELECT page_id, CASE WHEN som_bytes > 0 THEN round(html_bytes / som_bytes::DOUBLE, 6) END AS compression_ratio, CAST(ceil(som_bytes / 4.0) AS BIGINT) AS tokens, html_bytes // 4 AS html_tokens, som_bytes // 4 AS som_tokens, CASE WHEN html_bytes // 4 > 0 THEN round(100.0 * (1 - (som_bytes // 4) / (html_bytes // 4)::DOUBLE), 1) END AS savings_percent FROM {_P}")
+def token_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated tokens of page source and tree, and what the tree saves."""
+    html, som = F.floor(F.col("html_bytes") / 4).cast("bigint"), F.floor(F.col("som_bytes") / 4).cast("bigint")
+    ratio = F.when(F.col("som_bytes") > 0, round6(F.col("html_bytes") / F.col("som_bytes")))
+    return pages(spark, d).select("page_id", ratio.alias("compression_ratio"), T.token_estimate(F.col("som_bytes")).alias("tokens"), html.alias("html_tokens"), som.alias("som_tokens"), F.when(html > 0, F.round(100.0 * (1 - som / html), 1)).alias("savings_percent"))
+
+
+def _select_sql(match: str) -> str:
+    return f"SELECT element_key FROM (SELECT element_key, m, max(m) OVER (PARTITION BY page_id) AS hit FROM (SELECT e.*, coalesce({match}, false) AS m FROM {_E} e LEFT JOIN {_R} r USING (page_id, region_ord))) WHERE m OR NOT hit"
+
+
+@query(_select_sql("region_role = 'main'"))
+def select_main(spark: SparkSession, d: str) -> DataFrame:
+    """The main region's elements of each page, or the whole page."""
+    return E.select(placed(spark, d), "main").select("element_key")
+
+
+@query(_select_sql("role = 'text_input'"))
+def select_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return E.select(placed(spark, d), "textbox").select("element_key")
+
+
+@query(_select_sql("list_contains(list_transform(actions, lambda x: lower(x)), 'click')"))
+def select_click(spark: SparkSession, d: str) -> DataFrame:
+    return E.select(placed(spark, d), "action: Click").select("element_key")
+
+
+@query(_select_sql("region_id = 'r_footer'"))
+def select_region_id(spark: SparkSession, d: str) -> DataFrame:
+    return E.select(placed(spark, d), "#r_footer").select("element_key")
+
+
+@query(f"SELECT element_key FROM {_E} WHERE contains(lower(text), 'garden') OR contains(lower(label), 'garden')")
+def find_text(spark: SparkSession, d: str) -> DataFrame:
+    return elements(spark, d).filter(E.by_text("Garden")).select("element_key")
+
+
+@query(f"SELECT element_key, role FROM {_E} WHERE list_contains(hints, 'primary') AND role IN ('paragraph', 'heading')")
+def find_hint(spark: SparkSession, d: str) -> DataFrame:
+    rows = elements(spark, d).filter(E.by_hint("primary") & (E.by_role("Paragraph") | E.by_role("heading")))
+    return rows.select("element_key", "role")
+
+
+@query(f"""WITH x AS (SELECT page_id, element_key, role, label, text, {_attr('href')} AS href, lower({_attr('disabled')}) = 'true' AS disabled FROM {_E} WHERE len(actions) > 0)
+ SELECT page_id, count(*) AS total, count(*) FILTER (WHERE NOT coalesce(disabled, false)) AS enabled, count(*) FILTER (WHERE role = 'link' AND contains(lower(coalesce(label, text)), 'news')) AS matched FROM x GROUP BY 1""")
+def interactive_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Per page: action targets in all, enabled ones, and those a filter on role and label keeps."""
+    rows = elements(spark, d).filter(E.has_actions()).groupBy("page_id")
+    named = (F.col("role") == "link") & E.parts(F.coalesce("label", "text"), "news")
+    return rows.agg(F.count("*").alias("total"), F.count_if(~E.truthy("disabled")).alias("enabled"), F.count_if(named).alias("matched"))
+
+
+@query(f"SELECT page_id, arg_min(text, struct_pack(a := el_ord, b := element_key)) AS value, arg_min(id, struct_pack(a := el_ord, b := element_key)) AS provenance FROM (SELECT page_id, el_ord, element_key, coalesce(text, chr(0)) AS t, text, id FROM {_E} WHERE role = 'heading' AND {_attr('level')} = '1') GROUP BY 1")
+def first_heading(spark: SparkSession, d: str) -> DataFrame:
+    return E.field(elements(spark, d), "heading", 1)
+
+
+@query(f"SELECT page_id, arg_min(text, struct_pack(a := el_ord, b := element_key)) AS value, arg_min(id, struct_pack(a := el_ord, b := element_key)) AS provenance FROM {_E} WHERE regexp_matches(text, '[0-9]+ crowns') GROUP BY 1")
+def first_price(spark: SparkSession, d: str) -> DataFrame:
+    return E.field_matching(elements(spark, d), r"[0-9]+ crowns")
+
+
+_PLAN = f"""SELECT e.page_id, el_ord, element_key, id, role, coalesce(nullif(label,''), nullif(text,'')) AS label, nullif(html_id,'') AS html_id, b IS NULL AS enabled, b AS blocked_reason, nullif(href,'') AS href, nullif(input_type,'') AS input_type, form_action, form_method FROM
+ (SELECT *, {_attr('href')} AS href, {_attr('input_type')} AS input_type, CASE WHEN lower({_attr('inert')}) = 'true' THEN 'inert' WHEN lower({_attr('disabled')}) = 'true' THEN 'disabled' WHEN {_attr('inert')} IS NULL AND lower({_attr('readonly')}) = 'true' THEN 'readonly' END AS b FROM {_E} WHERE len(actions) > 0) e
+ LEFT JOIN {_R} r ON r.page_id = e.page_id AND r.region_ord = e.region_ord"""
+
+
+@query(_PLAN)
+def action_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Action targets of each page with state and form context."""
+    plan = E.action_plan(placed(spark, d))
+    return plan.select("page_id", "el_ord", "element_key", "id", "role", "label", "html_id", "enabled", "blocked_reason", "href", "input_type", "form_action", "form_method")
+
+
+@query()
+def action_plan_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The stable key of each action target."""
+    from treelake.functions.digests import action_keys
+
+    plan = E.action_plan(placed(spark, d))
+    parts = F.array("id", "role", "label", F.array_join(F.array_sort("actions"), ","), "name", "href", "input_type", "group", "placeholder")
+    return plan.select("element_key", action_keys(parts).alias("cache_key"))
+
+
+@query(f"SELECT page_id, label, arg_min(element_key, struct_pack(a := el_ord, b := element_key)) AS element_key FROM ({_PLAN}) WHERE label IS NOT NULL GROUP BY 1, 2")
+def action_index(spark: SparkSession, d: str) -> DataFrame:
+    return E.plan_index(E.action_plan(placed(spark, d)), "label")
+
+
+@query(f"""SELECT element_key FROM (SELECT *, row_number() OVER (PARTITION BY page_id, region_ord, role ORDER BY el_ord, element_key) AS nth FROM
+ (SELECT *, row_number() OVER (PARTITION BY page_id, region_ord, target ORDER BY el_ord, element_key) AS seen FROM (SELECT e.*, region_role, CASE WHEN role = 'link' THEN regexp_replace(regexp_replace({_attr('href')}, '#.*$', ''), '/$', '') END AS target FROM {_E} e LEFT JOIN {_R} r USING (page_id, region_ord)))
+ WHERE coalesce(target, '') = '' OR seen = 1) WHERE CASE role WHEN 'link' THEN nth <= CASE WHEN region_role = 'navigation' THEN 3 ELSE 5 END WHEN 'paragraph' THEN nth <= 2 ELSE true END""")
+def region_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """Elements within the budgets of their regions, here small ones."""
+    return E.budgets(placed(spark, d), most_links=5, most_navigation_links=3, most_paragraphs=2).select("element_key")
+
+
+@query(f"SELECT page_id, place, left(id, 256) AS id, role, left(text, 512) AS text, left(label, 512) AS label FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY el_ord, element_key) AS place FROM {_E} WHERE region_ord < 32) WHERE place <= 256")
+def compact_structure(spark: SparkSession, d: str) -> DataFrame:
+    """The bounded structure of each page; the bounds are the feature."""
+    return E.compact(elements(spark, d)).drop("actions")
+
+
+@query()
+def accessibility_tree(spark: SparkSession, d: str) -> DataFrame:
+    return E.accessibility_nodes(placed(spark, d))
+
+
+@query(f"""SELECT page_id, region_ord, CASE WHEN n = 0 THEN 'r_' || region_role ELSE 'r_' || region_role || '_' || n END AS generated_id FROM (SELECT page_id, region_ord, region_role, row_number() OVER (PARTITION BY page_id, region_role ORDER BY region_ord) - 1 AS n FROM {_R})""")
+def region_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of regions by role and number within the page."""
+    n = F.row_number().over(Window.partitionBy("page_id", "role").orderBy("region_ord")) - 1
+    own = F.concat(F.lit("r_"), F.col("role"))
+    return regions(spark, d).withColumn("n", n).select("page_id", "region_ord", F.when(F.col("n") == 0, own).otherwise(F.concat(own, F.lit("_"), F.col("n"))).alias("generated_id"))
+
+
+@query(f"""SELECT element_key, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS stable_id FROM (SELECT element_key, base, row_number() OVER (PARTITION BY page_id, base ORDER BY el_ord, element_key) AS n FROM
+ (SELECT element_key, page_id, el_ord, 'e_' || substr(sha256(site || '|' || role || '|' || left(trim(lower(coalesce(label, text, ''))), 100) || '|' || region_ord), 1, 12) AS base FROM {_E}))""")
+def stable_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Content-derived ids of elements, numbered where they fall together."""
+    name = F.left(F.trim(F.lower(F.coalesce("label", "text", F.lit("")))), F.lit(100))
+    base = F.concat(F.lit("e_"), F.substring(F.sha2(F.concat_ws("|", "site", "role", name, F.col("region_ord").cast("string")), 256), 1, 12))
+    rows = elements(spark, d).filter("site is not null and role is not null and region_ord is not null").withColumn("base", base)
+    n = F.row_number().over(Window.partitionBy("page_id", "base").orderBy("el_ord", "element_key"))
+    return rows.withColumn("n", n).select("element_key", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("n"))).alias("stable_id"))
+
+
+_PAIRS = f"(SELECT page_id AS pair_id, old_page, page_id AS new_page FROM (SELECT page_id, url, lag(page_id) OVER (PARTITION BY url ORDER BY captured_at, page_id) AS old_page FROM {_P}) WHERE old_page IS NOT NULL AND url IS NOT NULL)"
+_LAST_R = f"(SELECT page_id, region_id, arg_max(region_role, region_ord) AS role, arg_max(coalesce(region_label, chr(1)), region_ord) AS label FROM {_R} GROUP BY 1, 2)"
+
+
+@query(f"""WITH p AS {_PAIRS}, r AS {_LAST_R}, o AS (SELECT pair_id, region_id, role, label FROM r JOIN p ON r.page_id = p.old_page), n AS (SELECT pair_id, region_id, role, label FROM r JOIN p ON r.page_id = p.new_page)
+ SELECT coalesce(o.pair_id, n.pair_id) AS pair_id, coalesce(o.region_id, n.region_id) AS region_id, CASE WHEN o.pair_id IS NULL THEN 'added' WHEN n.pair_id IS NULL THEN 'removed' WHEN o.role IS DISTINCT FROM n.role OR o.label IS DISTINCT FROM n.label THEN 'modified' ELSE 'same' END AS change,
+ coalesce(o.role = 'main', false) OR coalesce(n.role = 'main', false) AS was_main FROM o FULL JOIN n ON o.pair_id = n.pair_id AND o.region_id = n.region_id""")
+def region_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of recaptured pages against the capture before."""
+    return page_diff.region_changes(regions(spark, d), page_diff.captures(pages(spark, d)))
+
+
+@query()
+def element_changes(spark: SparkSession, d: str) -> DataFrame:
+    return page_diff.element_changes(elements(spark, d), regions(spark, d), page_diff.captures(pages(spark, d)))
+
+
+@query()
+def page_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and flags of every recapture."""
+    return page_diff.summary(elements(spark, d), regions(spark, d), page_diff.captures(pages(spark, d)))
+
+
+_KEY = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^([^?]*[^/?])/+(\\?.*)?$', '\\1\\2')"
+
+
+@query(f"""SELECT page_id, sha256(url) AS url_sha256, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) || ':' || CASE WHEN url LIKE 'https:%' THEN '443' ELSE '80' END AS origin,
+ CASE WHEN length(regexp_replace(url, '^https?://', '')) > 50 THEN left(regexp_replace(url, '^https?://', ''), 47) || '...' ELSE regexp_replace(url, '^https?://', '') END AS short_url FROM {_P}""")
+def url_parts(spark: SparkSession, d: str) -> DataFrame:
+    url = F.col("url")
+    return pages(spark, d).select("page_id", F.sha2(url, 256).alias("url_sha256"), U.origin(url).alias("origin"), U.shorten(url).alias("short_url"))
+
+
+@query()
+def url_cache_keys(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d).select("page_id", U.cache_key(F.col("url"), F.lit(" Main ")).alias("cache_key"), U.outbound_policy("url").alias("blocked"))
+
+
+_RULES = [(1, "*-1.example/*", None, "block"), (2, "https://*?ref=*", "Document", "continue_marked"), (3, "*garden*", None, "log"), (4, "*.html", "Document", "fulfill")]
+
+
+@query(f"""WITH r(rule_ord, pat, action) AS (VALUES (1, '%-1.example/%', 'block'), (2, 'https://%?ref=%', 'continue_marked'), (3, '%garden%', 'log'), (4, '%.html', 'fulfill'))
+ SELECT page_id AS request_id, coalesce(arg_min(action, rule_ord), 'continue') AS action, min(rule_ord) AS rule_ord FROM {_P} p LEFT JOIN r ON p.url LIKE r.pat GROUP BY 1""")
+def intercepted(spark: SparkSession, d: str) -> DataFrame:
+    """What the first matching interception rule does with each url."""
+    rules = spark.createDataFrame(_RULES, "rule_ord int, url_glob string, resource_type string, action string")
+    return policy.intercept(pages(spark, d).select(F.col("page_id").alias("request_id"), "url", F.lit("Document").alias("resource_type")), rules)
+
+
+_ROBOTS = "User-agent: *\nDisallow: /garden\nAllow: /garden-chair\nDisallow: /*days-at\nUser-agent: reader\nDisallow: /notes"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT site AS host, regexp_extract(url, '^https?://[^/]+(/.*)$', 1) AS path FROM {_P}), r(directive, rule, pat, n) AS (VALUES ('disallow', '/garden', '/garden%', 7), ('allow', '/garden-chair', '/garden-chair%', 13), ('disallow', '/*days-at', '/%days-at%', 8))
+ SELECT host, path, coalesce(arg_min(directive, struct_pack(a := -n, b := directive)), 'allow') = 'allow' AS allowed, CASE WHEN min(rule) IS NULL THEN 'no_matching_rule' ELSE arg_min(directive, struct_pack(a := -n, b := directive)) || '_rule' END AS reason, arg_min(rule, struct_pack(a := -n, b := directive)) AS rule
+ FROM t LEFT JOIN r ON t.path LIKE r.pat WHERE t.path <> '' GROUP BY 1, 2""")
+def robots_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a crawler may fetch each page under one robots file on every site."""
+    targets = pages(spark, d).select(F.col("site").alias("host"), F.regexp_extract("url", r"^https?://[^/]+(/.*)$", 1).alias("path")).filter("path <> ''").distinct()
+    files = targets.select("host").distinct().withColumn("robots_txt", F.lit(_ROBOTS))
+    return policy.robots_decisions(targets, policy.parsed_robots(files), "spider")
+
+
+@query(f"""SELECT fetch_id, CASE WHEN old_at IS NULL THEN 'miss' WHEN epoch_us(captured_at) - epoch_us(old_at) > 300000000 THEN 'expired' WHEN old_hash = hash THEN 'hit' ELSE 'stale' END AS outcome FROM (SELECT page_id AS fetch_id, captured_at, md5(coalesce(title, '')) AS hash, lag(captured_at) OVER w AS old_at, lag(md5(coalesce(title, ''))) OVER w AS old_hash FROM (SELECT *, {_KEY} AS k FROM {_P}) WINDOW w AS (PARTITION BY k ORDER BY captured_at, page_id))""")
+def cache_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Cache result of each capture of a url: hit, stale, expired or miss."""
+    fetches = pages(spark, d).select(F.col("page_id").alias("fetch_id"), "url", F.col("captured_at").alias("fetched_at"), F.md5(F.coalesce("title", F.lit(""))).alias("content_hash"))
+    return policy.cache_outcomes(fetches).select("fetch_id", "outcome")
+
+
+_COSTS = "(SELECT DISTINCT * EXCLUDE (received_at) FROM token_costs)"
+
+
+def costs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "token_costs")
+    return latest(rows, ["cost_id"], ["received_at"] if "received_at" in rows.columns else None)
+
+
+@query("SELECT outcome, count(*) AS runs FROM (SELECT CASE WHEN error IS NULL OR trim(error) = '' THEN 'ok' WHEN regexp_matches(error, '(?i)blocked|denied|forbidden|captcha|human|unusual traffic') THEN 'blocked' ELSE 'failed' END AS outcome FROM (SELECT DISTINCT cost_id, error FROM token_costs)) GROUP BY 1")
+def coverage_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    error = F.col("error")
+    outcome = F.when(error.isNull() | (F.trim(error) == ""), "ok").when(error.rlike(scores.BLOCKED), "blocked").otherwise("failed")
+    return costs(spark, d).select(outcome.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("runs"))
+
+
+@query("""WITH x AS (SELECT list_sort(list(ratio)) AS l, count(*) AS n, avg(ratio) AS mean FROM (SELECT DISTINCT cost_id, ratio FROM token_costs) WHERE ratio IS NOT NULL AND NOT isnan(ratio))
+ SELECT n, round((l[(n - 1) // 2 + 1] + l[n // 2 + 1]) / 2, 6) AS median, round(mean, 6) AS mean, round(l[CAST(least(ceil(n * 0.95), n - 1) AS BIGINT) + 1], 6) AS p95, round(l[CAST(floor((n - 1) * 0.95 + 0.5) AS BIGINT) + 1], 6) AS bench_p95 FROM x""")
+def ratio_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Interpolated median, mean and the two p95 rules of the byte ratio."""
+    ranked = scores.ranked(costs(spark, d).withColumn("all", F.lit(1)), ["all"], "ratio")
+    return ranked.select("n", *(round6(F.col(c)).alias(c) for c in ("median", "mean", "p95", "bench_p95")))
+
+
+_D = "(SELECT DISTINCT * EXCLUDE (received_at) FROM delivery_measurements)"
+
+
+def deliveries(spark: SparkSession, d: str) -> DataFrame:
+    return latest(table(spark, d, "delivery_measurements"), ["measurement_id"], ["received_at"])
+
+
+@query(f"SELECT measurement_id, CASE WHEN source_html_bytes - delivered_bytes IS NOT NULL THEN greatest(source_html_bytes - delivered_bytes, 0) END AS not_delivered, delivered_bytes IS NOT NULL AND source_html_bytes IS NOT NULL AND delivered_bytes <= source_html_bytes AS consistent FROM {_D}")
+def delivery_balance(spark: SparkSession, d: str) -> DataFrame:
+    """What of each page was not delivered, and whether the numbers fit."""
+    diff = F.col("source_html_bytes") - F.col("delivered_bytes")
+    fits = F.col("delivered_bytes").isNotNull() & F.col("source_html_bytes").isNotNull() & (F.col("delivered_bytes") <= F.col("source_html_bytes"))
+    return deliveries(spark, d).select("measurement_id", F.when(diff.isNotNull(), F.greatest(diff, F.lit(0))).alias("not_delivered"), F.coalesce(fits, F.lit(False)).alias("consistent"))
+
+
+@query(f"""SELECT coalesce(kind, '*') AS kind, coalesce(operation, '*') AS operation, count(*) AS runs, sum(delivered_bytes) // 4 AS tokens FROM (SELECT coalesce(lower(trim(representation)), 'none') AS kind, coalesce(operation, 'none') AS operation, delivered_bytes FROM {_D} WHERE delivered_bytes > 0) GROUP BY GROUPING SETS ((kind, operation), (kind), ())""")
+def delivery_table(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries by representation and operation, with subtotals."""
+    rows = deliveries(spark, d).filter("delivered_bytes > 0").select(F.coalesce(F.lower(F.trim("representation")), F.lit("none")).alias("kind"), F.coalesce("operation", F.lit("none")).alias("operation"), "delivered_bytes")
+    sets = rows.groupingSets([["kind", "operation"], ["kind"], []], "kind", "operation")
+    return sets.agg(F.count("*").alias("runs"), F.floor(F.sum("delivered_bytes") / 4).cast("bigint").alias("tokens")).select(F.coalesce("kind", F.lit("*")).alias("kind"), F.coalesce("operation", F.lit("*")).alias("operation"), "runs", "tokens")
+
+
+@query("""WITH base(tasks, html_tokens, som_tokens, price) AS (VALUES (1000.0::DOUBLE, 33181.0::DOUBLE, 8301.0::DOUBLE, 3.0::DOUBLE)), v(parameter, factor) AS (VALUES ('tasks', 0.5::DOUBLE), ('tasks', 2.0::DOUBLE), ('html_tokens', 0.5::DOUBLE), ('html_tokens', 2.0::DOUBLE), ('som_tokens', 0.5::DOUBLE), ('som_tokens', 2.0::DOUBLE), ('price', 0.5::DOUBLE), ('price', 2.0::DOUBLE))
+ SELECT parameter, factor, round(t * (h - s) * p / 1000000, 4) AS saved FROM (SELECT parameter, factor, tasks * CASE WHEN parameter = 'tasks' THEN factor ELSE 1 END AS t, html_tokens * CASE WHEN parameter = 'html_tokens' THEN factor ELSE 1 END AS h, som_tokens * CASE WHEN parameter = 'som_tokens' THEN factor ELSE 1 END AS s, price * CASE WHEN parameter = 'price' THEN factor ELSE 1 END AS p FROM base, v)""")
+def token_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """One-at-a-time sensitivity of token savings; a table of parameters."""
+    base = {"tasks": 1000.0, "html_tokens": 33181.0, "som_tokens": 8301.0, "price": 3.0}
+    grid = spark.createDataFrame([(p, f) for p in base for f in (0.5, 2.0)], "parameter string, factor double")
+    v = {p: F.lit(x) * F.when(F.col("parameter") == p, F.col("factor")).otherwise(1.0) for p, x in base.items()}
+    return grid.select("parameter", "factor", F.round(v["tasks"] * (v["html_tokens"] - v["som_tokens"]) * v["price"] / 1e6, 4).alias("saved"))
+
+
+@query("SELECT user_id, event_id, nth FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 128")
+def trace_ring(spark: SparkSession, d: str) -> DataFrame:
+    """The last 128 events of each user; the bound is the feature."""
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc()))
+    return table(spark, d, "events").select("user_id", "event_id", nth.alias("nth")).filter("nth <= 128")
+
+
+@query("SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_type, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap_us FROM events")
+def session_history(spark: SparkSession, d: str) -> DataFrame:
+    """Each event against the user's event before."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("event_id", F.lag("event_type").over(by).alias("previous_type"), F.timestamp_diff("MICROSECOND", F.lag("ts").over(by), "ts").alias("gap_us"))
+
+
+@query("SELECT doc_id, CASE WHEN length(t) > 80 THEN left(t, 77) || '...' ELSE t END AS short_text FROM (SELECT doc_id, trim(regexp_replace(text, '[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS t FROM (SELECT DISTINCT doc_id, text FROM documents))")
+def short_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The beginning of each document with white space collapsed."""
+    rows = latest(table(spark, d, "documents").select("doc_id", "text", "received_at"), ["doc_id"], ["received_at"])
+    return rows.select("doc_id", T.truncate(F.col("text"), 80).alias("short_text"))
+
+
+@query()
+def corpus_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of each site's ordered urls: digests of parts in order, then of those."""
+    part = F.sha2(F.concat_ws("\n", F.sort_array(F.collect_set("url"))), 256)
+    parts = pages(spark, d).groupBy("site", F.pmod(F.xxhash64("url"), F.lit(64)).alias("part")).agg(part.alias("digest"))
+    return parts.groupBy("site").agg(F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"])), 256).alias("digest"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (page_scorecard,)}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
