@@ -16,7 +16,8 @@ ELEMENT_ROLES = {r: r for r in "link button text_input textarea select checkbox
 INTERACTIVE_ROLES = ("link", "button", "text_input", "textarea", "select", "checkbox", "radio", "details")
 INPUT_ROLES = ("text_input", "textarea", "select", "checkbox", "radio")
 
-BY_PAGE = Window.partitionBy("page_id")
+def by_page():
+    return Window.partitionBy("page_id")
 
 
 def attr(name: str) -> Column:
@@ -97,12 +98,12 @@ def select(placed: DataFrame, text: str) -> DataFrame:
     if is_id:
         name = text.strip()[1:]
         in_region, in_html = F.coalesce(F.col("region_id") == name, F.lit(False)), F.coalesce(F.col("html_id") == name, F.lit(False))
-        rows = placed.withColumn("__r", F.max(in_region).over(BY_PAGE)).withColumn("__h", F.max(in_html).over(BY_PAGE))
+        rows = placed.withColumn("__r", F.max(in_region).over(by_page())).withColumn("__h", F.max(in_html).over(by_page()))
         return rows.filter(F.when(F.col("__r"), in_region).when(F.col("__h"), in_html).otherwise(True)).drop("__r", "__h")
     if match is None:
         return placed
     match = F.coalesce(match, F.lit(False))
-    rows = placed.withColumn("__any", F.max(match).over(BY_PAGE))
+    rows = placed.withColumn("__any", F.max(match).over(by_page()))
     return rows.filter(match | ~F.col("__any")).drop("__any")
 
 
@@ -171,7 +172,7 @@ def meaningful() -> Column:
 
 def compact(elements: DataFrame, most_regions: int = 32, most_elements: int = 256) -> DataFrame:
     """The bounded structure of a page: its first regions and elements, strings cut."""
-    by = BY_PAGE.orderBy("el_ord", "element_key")
+    by = by_page().orderBy("el_ord", "element_key")
     rows = elements.filter(F.col("region_ord") < most_regions).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= most_elements)
     return rows.select("page_id", "place", F.left("id", F.lit(256)).alias("id"), "role", F.left("text", F.lit(512)).alias("text"), F.left("label", F.lit(512)).alias("label"), F.slice("actions", 1, 8).alias("actions"))
 
@@ -226,6 +227,6 @@ def accessibility_nodes(placed: DataFrame) -> DataFrame:
     """Regions as landmark nodes and elements as their children, ids by order in the page."""
     region = placed.select("page_id", "region_ord", F.lit(-1).alias("el_ord"), F.lit(-1).cast("bigint").alias("element_key"), F.col("region_role").alias("role"), F.col("region_label").alias("name")).dropDuplicates(["page_id", "region_ord"])
     own = placed.select("page_id", "region_ord", "el_ord", "element_key", "role", F.coalesce("label", "text").alias("name"))
-    nodes = region.unionByName(own).withColumn("node_id", F.row_number().over(BY_PAGE.orderBy("region_ord", "el_ord", "element_key")))
+    nodes = region.unionByName(own).withColumn("node_id", F.row_number().over(by_page().orderBy("region_ord", "el_ord", "element_key")))
     parent = F.when(F.col("el_ord") >= 0, F.min("node_id").over(Window.partitionBy("page_id", "region_ord"))).otherwise(0)
     return nodes.withColumn("parent_id", parent).select("page_id", "node_id", "parent_id", "role", "name")
