@@ -117,7 +117,10 @@ def region_text(spark: SparkSession, d: str) -> DataFrame:
     return E.ordered_text(elements(spark, d), ["page_id", "region_ord"], F.coalesce(E.non_empty(F.col("text")), F.col("label")))
 
 
-@query()
+@query(f"""SELECT page_id, string_agg(v, chr(10) || chr(10) ORDER BY el_ord, element_key) AS content FROM (SELECT page_id, el_ord, element_key, CASE WHEN role = 'heading' THEN repeat('#', least(coalesce(try_cast({_attr('level')} AS INTEGER), 1) + 2, 6)) || ' ' || words
+ WHEN role = 'link' THEN '[' || words || '](' || coalesce({_attr('href')}, '') || ')' WHEN role = 'image' THEN '![' || coalesce(nullif({_attr('alt')}, ''), words) || '](' || coalesce({_attr('src')}, '') || ')'
+ WHEN role = 'list' AND CASE WHEN json_valid(attrs) THEN json_array_length(attrs, '$.items') END > 0 THEN array_to_string(list_transform(json_extract_string(attrs, '$.items[*].text'), lambda x: '- ' || coalesce(x, '')), chr(10)) WHEN role = 'button' THEN '[' || words || ']' ELSE words END AS v
+ FROM (SELECT *, coalesce(nullif(text, ''), label, '') AS words FROM {_E})) WHERE v <> '' GROUP BY 1""")
 def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     return E.page_markdown(elements(spark, d))
 
@@ -226,7 +229,8 @@ def compact_structure(spark: SparkSession, d: str) -> DataFrame:
     return E.compact(elements(spark, d)).drop("actions")
 
 
-@query()
+@query(f"""WITH p AS (SELECT e.*, region_role, region_label FROM {_E} e LEFT JOIN {_R} r USING (page_id, region_ord)), n AS (SELECT DISTINCT page_id, region_ord, -1 AS el_ord, -1 AS element_key, region_role AS role, region_label AS name FROM p UNION ALL SELECT page_id, region_ord, el_ord, element_key, role, coalesce(label, text) FROM p),
+ k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY region_ord, el_ord, element_key) AS node_id FROM n) SELECT page_id, node_id, CASE WHEN el_ord >= 0 THEN min(node_id) OVER (PARTITION BY page_id, region_ord) ELSE 0 END AS parent_id, role, name FROM k""")
 def accessibility_tree(spark: SparkSession, d: str) -> DataFrame:
     return E.accessibility_nodes(placed(spark, d))
 
@@ -262,12 +266,25 @@ def region_changes(spark: SparkSession, d: str) -> DataFrame:
     return page_diff.region_changes(regions(spark, d), page_diff.captures(pages(spark, d)))
 
 
-@query()
+_SAME_R = f"(SELECT coalesce(o.pair_id, n.pair_id) AS pair_id, o.region_id, coalesce(o.role = 'main', false) OR coalesce(n.role = 'main', false) AS was_main, o.role IS DISTINCT FROM n.role OR o.label IS DISTINCT FROM n.label AS modified FROM (SELECT pair_id, region_id, role, label FROM {_LAST_R} r JOIN {_PAIRS} p ON r.page_id = p.old_page) o JOIN (SELECT pair_id, region_id, role, label FROM {_LAST_R} r JOIN {_PAIRS} p ON r.page_id = p.new_page) n ON o.pair_id = n.pair_id AND o.region_id = n.region_id)"
+_LAST_E = f"(SELECT page_id, region_id, id, arg_max(struct_pack(role := role, text := text, attrs := attrs, actions := coalesce(array_to_string(actions, ','), ''), hints := coalesce(array_to_string(hints, ','), '')), el_ord) AS x FROM {_E} JOIN {_R} USING (page_id, region_ord) GROUP BY 1, 2, 3)"
+_PRICE = "coalesce(regexp_matches(o.x.text, '[$€£¥][[:space:]]*[0-9,]+'), false) OR coalesce(regexp_matches(n.x.text, '[$€£¥][[:space:]]*[0-9,]+'), false)"
+_ELEMENT_CHANGES = f"""WITH m AS {_SAME_R}, e AS {_LAST_E}, p AS {_PAIRS}, o AS (SELECT p.pair_id, e.region_id, id, x, was_main FROM e JOIN p ON e.page_id = p.old_page JOIN m ON m.pair_id = p.pair_id AND m.region_id = e.region_id),
+ n AS (SELECT p.pair_id, e.region_id, id, x, was_main FROM e JOIN p ON e.page_id = p.new_page JOIN m ON m.pair_id = p.pair_id AND m.region_id = e.region_id)
+ SELECT pair_id, region_id, id, change, text_differs AND change = 'modified' AS text_changed, price, was_main FROM (SELECT coalesce(o.pair_id, n.pair_id) AS pair_id, coalesce(o.region_id, n.region_id) AS region_id, coalesce(o.id, n.id) AS id, o.x.text IS DISTINCT FROM n.x.text AS text_differs, {_PRICE} AS price, coalesce(o.was_main, n.was_main) AS was_main,
+ CASE WHEN o.pair_id IS NULL THEN 'added' WHEN n.pair_id IS NULL THEN 'removed' WHEN o.x.text IS DISTINCT FROM n.x.text OR o.x.role IS DISTINCT FROM n.x.role OR o.x.attrs IS DISTINCT FROM n.x.attrs OR o.x.actions IS DISTINCT FROM n.x.actions OR o.x.hints IS DISTINCT FROM n.x.hints THEN 'modified' ELSE 'same' END AS change
+ FROM o FULL JOIN n ON o.pair_id = n.pair_id AND o.region_id = n.region_id AND o.id = n.id) WHERE change <> 'same'"""
+
+
+@query(_ELEMENT_CHANGES)
 def element_changes(spark: SparkSession, d: str) -> DataFrame:
     return page_diff.element_changes(elements(spark, d), regions(spark, d), page_diff.captures(pages(spark, d)))
 
 
-@query()
+@query(f"""WITH r AS ({SQL['region_changes']}), e AS ({_ELEMENT_CHANGES}), rs AS (SELECT pair_id, count(*) FILTER (change = 'added') AS ra, count(*) FILTER (change = 'removed') AS rr, count(*) FILTER (change = 'modified') AS rm FROM r GROUP BY 1),
+ es AS (SELECT pair_id, count(*) FILTER (change = 'added') AS ea, count(*) FILTER (change = 'removed') AS er, count(*) FILTER (change = 'modified') AS em, bool_or(text_changed AND price) AS pc, bool_or(text_changed AND was_main) AS cc FROM e GROUP BY 1)
+ SELECT pair_id, coalesce(ra, 0) AS regions_added, coalesce(rr, 0) AS regions_removed, coalesce(rm, 0) AS regions_modified, coalesce(ea, 0) AS elements_added, coalesce(er, 0) AS elements_removed, coalesce(em, 0) AS elements_modified, coalesce(ra, 0) + coalesce(rr, 0) + coalesce(rm, 0) + coalesce(ea, 0) + coalesce(er, 0) + coalesce(em, 0) AS total_changes,
+ coalesce(pc, false) AS has_price_changes, coalesce(cc, false) AS has_content_changes, coalesce(ra, 0) + coalesce(rr, 0) + coalesce(ea, 0) + coalesce(er, 0) > 0 AS has_structural_changes FROM {_PAIRS} LEFT JOIN rs USING (pair_id) LEFT JOIN es USING (pair_id)""")
 def page_diffs(spark: SparkSession, d: str) -> DataFrame:
     """Counts and flags of every recapture."""
     return page_diff.summary(elements(spark, d), regions(spark, d), page_diff.captures(pages(spark, d)))
