@@ -44,11 +44,15 @@ def _plain() -> dict[int, str]:
 
 
 _PLAIN = _plain()
-_UNSTABLE = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_PLAIN)))) + "]")
+_UNSTABLE = frozenset(map(chr, _PLAIN))
 _WORD = re.compile(r"[^\s]*[^\x00-\x7f][^\s]*")
 _RUN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 
 
+#: Per script the tables that bring its look-alikes home: first the third script's to Latin, then all to it.
+_TABLES = {"latin": (_TO_LATIN, None), "cyrillic": (str.maketrans(_GREEK, _GREEK_LATIN), _TO_CYRILLIC), "greek": (str.maketrans(_CYRILLIC, _CYRILLIC_LATIN), _TO_GREEK)}
+
+
 def _script(run: str) -> str:
     """The script of a run's letters that are no look-alikes; Latin where there are none or several."""
     scripts = set()
@@ -64,9 +68,8 @@ def _run(match: re.Match) -> str:
     run = match.group()
     if run.isascii():
         return run
-    table = {"latin": _TO_LATIN, "cyrillic": _TO_CYRILLIC, "greek": _TO_GREEK}[_script(run)]
-    other = {"latin": None, "cyrillic": str.maketrans(_GREEK, _GREEK_LATIN), "greek": str.maketrans(_CYRILLIC, _CYRILLIC_LATIN)}[_script(run)]
-    return run.translate(other).translate(table) if other else run.translate(table)
+    first, then = _TABLES[_script(run)]
+    return run.translate(first).translate(then) if then else run.translate(first)
 
 
 def _word(match: re.Match) -> str:
@@ -84,9 +87,9 @@ def canonical(text: str | None) -> str | None:
     superscripts, symbols, fractions, dashes, punctuation and the number of spaces. Look-alike
     letters take the script of the other letters of their run; a run of only look-alikes is Latin.
     """
-    if text is None or text.isascii() and not _UNSTABLE.search(text):
+    if text is None or text.isascii() and text.isprintable():
         return text
-    if _UNSTABLE.search(text):
+    if not _UNSTABLE.isdisjoint(text):
         text = text.translate(_PLAIN)
     return text if text.isascii() else _WORD.sub(_word, text)
 

@@ -122,8 +122,16 @@ PREFILTER = (
 )
 
 
+#: Characters one of which every placeholder has (two colons, too).
+_MARKS = ("{", "[", "<", "~", "%", "$", "«", "@", "_", "*", "#", "&lt;")
+#: Longest texts that are taken for a message or filler phrase as a whole.
+MOST_MESSAGE, MOST_PHRASE = 600, 200
+
+
 def placeholders(text: str) -> list[str]:
     """The unfilled placeholders of a text, those in code marks left out."""
+    if not any(m in text for m in _MARKS) and text.count(":") < 2:
+        return []
     bare = _QUOTED.sub(" ", text)
     hits = [m.group() for m in _STRONG.finditer(bare)]
     for m in _WEAK.finditer(_STRONG.sub(" ", bare)):
@@ -136,9 +144,12 @@ def placeholders(text: str) -> list[str]:
 
 
 def _is_filler(text: str) -> bool:
-    if _FILLER.fullmatch(text):
+    if len(text) <= MOST_PHRASE and _FILLER.fullmatch(text):
         return True
-    words = [w.lower() for w in _WORD.findall(text)]
+    low = text.lower()
+    if _LOREM_STRONG.isdisjoint(low.replace(".", " ").replace(",", " ").split()):
+        return False
+    words = _WORD.findall(low)
     run = longest = strong = 0
     for w in words:
         run = run + 1 if w in _LOREM else 0
@@ -188,13 +199,13 @@ def residue(text: str | None, run_message: bool = False) -> str | None:
             return "placeholder"
     if _ALL_EMPTY.fullmatch(text) and not (run_message and text.lower() in ("none", "null", "nil")):
         return "empty_value"
-    if _OBJECT.search(text) and not _ABOUT_VALUES.search(text) and not _ABOUT.search(text):
+    if "[" in text and _OBJECT.search(text) and not _ABOUT_VALUES.search(text) and not _ABOUT.search(text):
         return "empty_value"
     if len(text) <= 90 and not run_message and _SOME_EMPTY.search(text) and not re.search(r"\bNone (?:of|the|was|were|is)\b|\bInfinity\b", text) and not _ABOUT_VALUES.search(text) and not _ABOUT.search(text):
         return "empty_value"
     if _is_filler(text):
         return "filler"
-    if _is_error_page(text):
+    if len(text) <= MOST_MESSAGE and _is_error_page(text):
         return "error_page"
     if len(text) <= _NOTICE_MOST and _NOTICE.fullmatch(text):
         return "script_notice"
