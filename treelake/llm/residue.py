@@ -116,7 +116,7 @@ _WRAPPED = re.compile(r"(?:blocked|no page text, only|body was the notice|receiv
 #: Rows that can be a case at all; a wide pattern for the JVM, so that plain text never goes to Python.
 PREFILTER = (
     r"(?i)[{}<>\[\]@~«$%*#]|&lt;|__|\d{3}|undefined|null|nan\b|none\b|nil\b|infinity|invalid|lorem|ipsum|dolor|consectetur|adipiscing|aliqua|laboris|cillum|veniam|nostrud|fugiat|mollit|proident|officia|tempor|culpa|irure|velit|labore|nulla"
-    r"|tb[da]\b|to ?do|fixme|xxx|insert|here|sample|dummy|filler|example|replace|click|test|asdf|qwert|:\w+:|texto|\w+ \w+ aquí|escriba|inserte|platzhalter|text\b|hier\b|ici\b|à remplacer|à compl|insér|saisis|ajoutez|здесь|заголовок|введите|вставьте|текст|foo|untitled|new (?:page|post|doc)|document|blah|script|скрипт|skript"
+    r"|tb[da]\b|to ?do|fixme|xxx|insert|here|sample|dummy|filler|example|replace|click|test|asdf|qwert|:[\w.-]+:|^\W*(\w+)(?: \1){2}|texto|\w+ \w+ aquí|escriba|inserte|platzhalter|text\b|hier\b|ici\b|à remplacer|à compl|insér|saisis|ajoutez|здесь|заголовок|введите|вставьте|текст|foo|untitled|new (?:page|post|doc)|document|blah|script|скрипт|skript"
     r"|error|not found|gone|exist|moved|denied|forbidden|authori|permission|blocked|human|browser|too many|expired|server|gateway|request|unavailable|suspended|overload|maintenance|wrong|unexpected|connect|timed|time-?out|certificate|upstream|engineer|try again|failed|fatal|trace|warning|notice|uncaught|exception|reference|oops|hmm|sorry|whoops|lives here|broken"
     r"|nicht|verweigert|fehler|später|abgelaufen|zeitüber|introuvable|existe|nulle part|refusé|interdit|erreur|indisponible|réessayer|expirée|délai|encontrad|denegado|prohibido|error|disponible|nuevo|caducada|страниц|адрес|доступ|ошибк|недоступ|попробуйте|повторите|не так|истекл"
 )
