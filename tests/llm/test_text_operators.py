@@ -15,10 +15,10 @@ def test_residue_kinds():
     cases = {
         "Our offer for {{city}} ends on %date%": "placeholder", "Hello [[HEADLINE]]": "placeholder", "Only &lt;PRODUCT_NAME&gt; left": "placeholder", "From %(price)s a night": "placeholder", "undefined": "empty_value",
         "Price: NaN": "empty_value", "Lorem ipsum dolor sit amet": "filler", "Your headline here": "filler", "404: Page not found | Shop": "error_page", "HTTP 500 - Internal server error. Please try again in a few minutes.": "error_page",
-        "Please enable JavaScript to see the content.": "script_notice", "Seite nicht gefunden": "error_page", "Bitte JavaScript einschalten, um diese Seite zu sehen.": "script_notice",
+        "Please enable JavaScript to see the content.": "script_notice", "Seite nicht gefunden": "error_page", "Bad gateway: Query failed: relation does not exist": "error_page", "Site suspended: Warning: missing argument 41 in view.php on line 4": "error_page", "Bitte JavaScript einschalten, um diese Seite zu sehen.": "script_notice",
     }
     assert {t: residue.residue(t) for t in cases} == cases
-    for text in (None, "", "  ", "Write {{ name }} in the template and it is filled.", "How to design a 404 page", "Access denied, a radio play", "A short history of lorem ipsum", "What does undefined mean?", "Between the braces {a} and {b} the set holds 9.", "If JavaScript is switched off, the static text shows.", "Null results in science", "None of the harbours was empty"):
+    for text in (None, "", "  ", "Write {{ name }} in the template and it is filled.", "How to design a 404 page", "Access denied, a radio play", "A short history of lorem ipsum", "What does undefined mean?", "Between the braces {a} and {b} the set holds 9.", "If JavaScript is switched off, the static text shows.", "Null results in science", "None of the harbours was empty", "Warning", "Fatal", "Warning: the bridge is closed"):
         assert residue.residue(text) is None, text
     assert residue.residue("fetch failed after 90 ms", True) == "failure" and residue.residue("retried 9 times, body complete", True) is None and residue.residue("none", True) is None and residue.residue("fetch failed after 90 ms") is None
 

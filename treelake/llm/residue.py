@@ -74,7 +74,7 @@ _MESSAGES = re.compile(
     r"|(?:access|permission) (?:was |is )?denied|forbidden|unauthori[sz]ed|you (?:do not|don't) have (?:permission|access)\b.*|your (?:address|ip|request|access) has been blocked.*|verify (?:that )?you are (?:a )?human.*|checking your browser.*|too many requests|(?:please )?log ?in to continue|(?:your )?session (?:has )?expired.*"
     # the server failed
     r"|(?:internal )?server error|bad (?:gateway|request)|gateway time-?out|(?:service|site|page|server) (?:is )?(?:temporarily )?(?:unavailable|suspended|overloaded|down)|(?:the )?service is unavailable|temporarily (?:unavailable|down)(?: for maintenance)?|(?:down|closed|offline) for maintenance|something went wrong|(?:an )?unexpected (?:application )?(?:error|failure)(?: occurred)?|an error (?:has )?occurred"
-    r"|could not connect to (?:the )?(?:database|server).*|error establishing a database connection|connection (?:timed out|refused|reset|closed)|request timed? ?-?out|time-?out|(?:ssl )?certificate (?:problem|error|expired)|the upstream server .*|our engineers have been told.*|please try again.*|query failed:.*|fatal(?: error)?: .*|traceback\b.*|(?:warning|notice): (?:missing argument|undefined (?:index|variable|offset))\b.*|uncaught \w+.*|stack trace.*|\w+(?:error|exception): .*|reference \d+"
+    r"|could not connect to (?:the )?(?:database|server).*|error establishing a database connection|connection (?:timed out|refused|reset|closed)|request timed? ?-?out|time-?out|(?:ssl )?certificate (?:problem|error|expired)|the upstream server .*|our engineers have been told.*|please try again.*|query failed(?::.*)?|fatal(?: error)?: .*|traceback\b.*|(?:warning|notice): (?:missing argument|undefined (?:index|variable|offset))\b.*|uncaught \w+.*|stack trace.*|\w+(?:error|exception): .*|reference \d+"
     # German
     r"|seite (?:wurde )?nicht gefunden|(?:die )?(?:angeforderte )?(?:seite|adresse)\b.{0,30}\b(?:nicht (?:\(mehr\)|mehr|gefunden|erreichbar|verfügbar)|gibt es nicht)\b.*|zugriff (?:wurde )?verweigert|interner serverfehler|(?:diese )?seite ist (?:vorübergehend )?nicht (?:erreichbar|verfügbar)|(?:dienst|service) (?:ist )?(?:vorübergehend )?nicht verfügbar|bitte versuchen sie es später.*|es ist ein (?:interner )?fehler aufgetreten|ein fehler ist aufgetreten|zeitüberschreitung.*|sitzung abgelaufen.*"
     # French
@@ -89,6 +89,7 @@ _MESSAGES = re.compile(
 _CODE = r"(?:(?:http )?(?:error |status |code |fehler |erreur |ошибка )?(?:e-?\d{1,4}|\d{2,4})|http \d{3}|error|fehler|erreur|ошибка)"
 _CODED = re.compile(rf"{_CODE}\s*(?:[:|–—-]\s*)?", re.I)
 _CODE_ONLY = re.compile(r"(?:http(?: error)?|error|status|code|fehler|erreur|ошибка) (?:[45]\d\d|1020)[.!]?", re.I)
+_OPENING = re.compile(r"warning|notice|fatal(?: error)?", re.I)
 _PIECES = re.compile(r"(?:\.{1,3}|…|[:!?]| [|–—-])\s+")
 _SITE_NAME = re.compile(r"[A-ZА-ЯЁ][\w'’&-]*(?: [A-ZА-ЯЁ][\w'’&-]*){0,2}[.!]?")
 
@@ -173,7 +174,7 @@ def _is_error_page(text: str) -> bool:
     for piece in _PIECES.split(rest):
         piece = piece.strip()
         coded = _CODED.match(piece)
-        if not piece or coded and coded.end() == len(piece):
+        if not piece or coded and coded.end() == len(piece) or found and _OPENING.fullmatch(piece):
             continue
         if _MESSAGES.fullmatch(piece) or coded and _MESSAGES.fullmatch(piece[coded.end() :]):
             found = True
