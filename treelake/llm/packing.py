@@ -22,6 +22,8 @@ from treelake.session import cut
 SHARD, WELL_FILLED, ROUNDS = 8_000, 0.97, 3
 #: Constraint weights (tokens, documents, attention), most documents per container, attention cost per squared capacity.
 WEIGHTS, MOST_DOCUMENTS, ATTENTION = (1.0, 0.05, 0.15), 256, 1.0
+#: Most rows of the parameter list of packs; a longer one is refused.
+MOST_PACKS = 64
 #: Open containers that can still take so few tokens are closed.
 CLOSED_AT = 8
 
@@ -78,8 +80,10 @@ def pieces(documents: DataFrame, packs: DataFrame, vocabulary: str = VOCABULARY)
     slim = latest(documents.select("doc_id", "text", *received).filter("doc_id is not null and text <> ''"), ["doc_id"], received).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     counted = with_tokens(slim, vocabulary=vocabulary).filter("tokens > 0")
     packs = packs.select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).filter("capacity_tokens > 0").distinct()
-    # every pack takes every document: the packs are a parameter list of a few rows
-    each = cut(counted).join(F.broadcast(packs.limit(64)))
+    # every pack takes every document: the packs are a parameter list of a few rows, refused if it isn't
+    if packs.limit(MOST_PACKS + 1).count() > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} packs")
+    each = cut(counted).join(F.broadcast(packs))
     full = F.sequence(F.lit(0), (F.ceil(F.col("tokens") / F.col("capacity_tokens")) - 1).cast("int"))
     split = each.select("pack_name", "capacity_tokens", "doc_id", F.explode(full).alias("piece"), F.col("tokens").alias("whole"))
     return split.select("pack_name", "capacity_tokens", "doc_id", "piece", F.least("capacity_tokens", F.col("whole") - F.col("piece") * F.col("capacity_tokens")).alias("tokens"))
