@@ -75,10 +75,34 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
 
 
-def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    means, weights = cluster(np.concatenate([np.asarray(m) for m in frame["means"]]), np.concatenate([np.asarray(w) for w in frame["weights"]]))
-    first = frame.iloc[0]
-    return pd.DataFrame([(first["metric"], first["grp"], first["day"], int(frame["n"].sum()), frame["low"].min(), frame["high"].max(), means.tolist(), weights.tolist())], columns=_ARROW.names)
+#: Digests of a group that are held before they are clustered into one.
+HELD = 64
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One digest for each run of rows with the same metric, group, day and heap."""
+
+    def joined(rows: list[dict]) -> dict:
+        means, weights = cluster(np.concatenate([np.asarray(r["means"]) for r in rows]), np.concatenate([np.asarray(r["weights"]) for r in rows]))
+        return rows[0] | {"n": sum(r["n"] for r in rows), "low": min(r["low"] for r in rows), "high": max(r["high"] for r in rows), "means": means.tolist(), "weights": weights.tolist()}
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in _ARROW], schema=_ARROW)
+
+    held: list[dict] = []
+    key = None
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            own = (row["metric"], row["grp"], row["day"], row["heap"])
+            if own != key:
+                out += [joined(held)] if held else []
+                key, held = own, []
+            held.append(row)
+            if len(held) >= HELD:
+                held = [joined(held)]
+        yield batch_of(out)
+    yield batch_of([joined(held)] if held else [])
 
 
 def digests(values: DataFrame) -> DataFrame:
@@ -93,11 +117,15 @@ def digests(values: DataFrame) -> DataFrame:
 
 def merge(parts: DataFrame, by_day: bool = False) -> DataFrame:
     """Digests of each metric and group (and day) combined, in heaps first; any digests can be combined."""
-    keys = ["metric", "grp", "day"] if by_day else ["metric", "grp"]
+    keys = ["metric", "grp", "day"]
     slim = parts if by_day else parts.withColumn("day", F.lit(None).cast("date"))
-    heaps = slim.withColumn("heap", F.pmod(F.xxhash64("n", "low", "high", F.size("means"), F.element_at("means", 1)), F.lit(HEAPS)))
-    first = heaps.groupBy(*keys, "heap").applyInPandas(_merge, DIGEST)
-    return first.groupBy(*keys).applyInPandas(_merge, DIGEST)
+
+    def merged(rows: DataFrame, heap: Column) -> DataFrame:
+        # equal keys come to one task in sorted runs and stream through: no frame is built per group
+        keyed = rows.withColumn("heap", heap).repartition(*keys, "heap").sortWithinPartitions(*keys, "heap")
+        return keyed.mapInArrow(_merge, DIGEST)
+
+    return merged(merged(slim, F.pmod(F.xxhash64("n", "low", "high", F.size("means"), F.element_at("means", 1)), F.lit(HEAPS)).cast("int")), F.lit(0))
 
 
 def estimates(merged: DataFrame, quantiles: Sequence[float]) -> DataFrame:
