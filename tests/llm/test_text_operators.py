@@ -30,6 +30,13 @@ def test_residue_prefilter_keeps_all_cases(spark):
     assert residue.residue_rows(df.limit(0), "k", "t").count() == 0
 
 
+def test_residue_rows_are_those_of_residue(spark):
+    texts = ["Страница не найдена", "Доступ запрещён", "Страница не найдена | Лавка", "Скрипты заблокированы.", "Введите заголовок", "Заголовок страницы", "&nbsp;", "Placeholder title", "Слово слово слово", "Plain harbour tale", "Паром вышел в море"]
+    assert [residue.residue(t) is not None for t in texts] == [True] * 9 + [False] * 2
+    df = spark.createDataFrame([(i, t, T0) for i, t in enumerate(texts)], "k bigint, t string, received_at timestamp")
+    assert sorted(tuple(r) for r in residue.residue_rows(df, "k", "t").collect()) == [(i, residue.residue(t)) for i, t in enumerate(texts[:9])]
+
+
 # problem 6
 def test_canonical_forms():
     same = ["Haut de page", "Ηaut de page", "Ｈａｕｔ ｄｅ ｐａｇｅ", "Ha​ut de page", "Haut de pa­ge"]

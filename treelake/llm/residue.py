@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelake.operators.dedupe import latest
@@ -114,15 +114,6 @@ _RUN_FAILED = re.compile(
 _RUN_WORKED = re.compile(r"\b(complete(?:d)?|page read|ok|fine|none|n/a|no errors?|0 errors?|note|warning|kept|skipped|succe\w+|redirected once)\b", re.I)
 _WRAPPED = re.compile(r"(?:blocked|no page text, only|body was the notice|received error page)\s*[:(]\s*", re.I)
 
-#: Rows that can be a case at all; a wide pattern for the JVM, so that plain text never goes to Python.
-PREFILTER = (
-    r"(?i)[{}<>\[\]@~«$%*#]|&lt;|__|\d{3}|undefined|null|nan\b|none\b|nil\b|infinity|invalid|lorem|ipsum|dolor|consectetur|adipiscing|aliqua|laboris|cillum|veniam|nostrud|fugiat|mollit|proident|officia|tempor|culpa|irure|velit|labore|nulla"
-    r"|tb[da]\b|to ?do|fixme|xxx|insert|here|sample|dummy|filler|example|replace|click|test|asdf|qwert|:[\w.-]+:|^\W*(\w+)(?: \1){2}|texto|\w+ \w+ aquí|escriba|inserte|platzhalter|text\b|hier\b|ici\b|à remplacer|à compl|insér|saisis|ajoutez|здесь|заголовок|введите|вставьте|текст|foo|untitled|new (?:page|post|doc)|document|blah|script|скрипт|skript"
-    r"|error|not found|gone|exist|moved|denied|forbidden|authori|permission|blocked|human|browser|too many|expired|server|gateway|request|unavailable|suspended|overload|maintenance|wrong|unexpected|connect|timed|time-?out|certificate|upstream|engineer|try again|failed|fatal|trace|warning|notice|uncaught|exception|reference|oops|hmm|sorry|whoops|lives here|broken"
-    r"|nicht|verweigert|fehler|später|abgelaufen|zeitüber|introuvable|existe|nulle part|refusé|interdit|erreur|indisponible|réessayer|expirée|délai|encontrad|denegado|prohibido|error|disponible|nuevo|caducada|страниц|адрес|доступ|ошибк|недоступ|попробуйте|повторите|не так|истекл"
-)
-
-
 #: Characters one of which every placeholder has (two colons, too).
 _MARKS = ("{", "[", "<", "~", "%", "$", "«", "@", "_", "*", "#", "&lt;")
 #: Longest texts that are taken for a message or filler phrase as a whole.
@@ -219,8 +210,10 @@ def residue(text: str | None, run_message: bool = False) -> str | None:
 
 def _classify(run_message: bool):
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = {}
         for batch in batches:
-            known: dict[str, str | None] = {}
+            if len(known) > 50_000:
+                known.clear()
             kinds = [known[t] if t in known else known.setdefault(t, residue(t, run_message)) for t in batch.column(1).to_pylist()]
             found = pa.array([k is not None for k in kinds])
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(found), pa.array([k for k in kinds if k], pa.string())], names=["record_key", "kind"])
@@ -228,20 +221,14 @@ def _classify(run_message: bool):
     return classify
 
 
-def suspects(text: Column) -> Column:
-    """Whether a text can be a case at all (JVM side)."""
-    return text.rlike(PREFILTER)
-
-
 def residue_rows(rows: DataFrame, key: str, text: str, run_message: bool = False) -> DataFrame:
     """(record_key, kind) of the rows whose text is residue instead of content.
 
     Redelivered rows count once (the last by ``received_at`` where the table has it). Null and empty
-    texts and null keys are no cases; whole texts are read, whatever their length.
+    texts and null keys are no cases; every other text is read whole, whatever its length.
     """
     columns = [F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"), *([F.col("received_at").alias("r")] if "received_at" in rows.columns else [])]
     slim = rows.select(*columns).filter("k is not null and t is not null")
-    slim = slim if run_message else slim.filter(suspects(F.col("t")))
     slim = latest(slim, ["k"], ["r"] if "r" in slim.columns else None)
     return slim.select("k", "t").mapInArrow(_classify(run_message), "record_key bigint, kind string")
 
