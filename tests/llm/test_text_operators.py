@@ -86,6 +86,19 @@ def test_main_content(spark):
     assert boilerplate.main_content(df.limit(0), where).count() == 0
 
 
+def test_fused_paths_decide_in_small_tables(spark):
+    rows, regions = [], []
+    for p in range(5):
+        texts = [("aside", "section", "Visit our partner portal"), ("main", "heading", f"Harbour {chr(97 + p)}"), ("main", "paragraph", f"The crew of boat {chr(97 + p)} sold boards, nets and rope."), ("strip", "paragraph", "Read more"), ("strip", "paragraph", "Read more"), ("strip", "paragraph", chr(97 + p)), ("strip", "paragraph", "Read more"), ("strip", "paragraph", "Read more")]
+        for i, (region, role, text) in enumerate(texts):
+            rows.append((p * 100 + i, p, "www.shopname.example", i, i, role, text, T0))
+            regions.append((p, i, region))
+    df = spark.createDataFrame(rows, "element_key bigint, page_id bigint, site string, region_ord int, el_ord int, role string, text string, received_at timestamp")
+    where = spark.createDataFrame(regions, "page_id bigint, region_ord int, role string")
+    # no phrase list knows the portal and the single letters: shares of five and too little prose tell them
+    assert {r.element_key for r in boilerplate.main_content(df, where).collect()} == {p * 100 + i for p in range(5) for i in (1, 2)}
+
+
 # problem 3
 @pytest.mark.parametrize("kind", ["ties", "tail", "even"])
 def test_percentiles_are_certified(spark, kind):

@@ -2,8 +2,9 @@
 
 Every element has a root-to-leaf path: its region's role, its own role and the template of its text
 (canonical form, site name and numbers masked). Text length and punctuation are added up per path of
-roles, and per template how often it stands in regions of page chrome; both are smoothed, fused with
-the elements around, and thresholded. An exact check on notices, adverts and prompts follows.
+roles, less what belongs to templates that stand in regions of page chrome elsewhere; the ratio is fused
+with the element's own text, the elements around and its template's share in chrome, and thresholded.
+An exact check on notices, adverts and prompts follows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from treelake.operators.dedupe import latest
 
 ROLES = ("heading", "paragraph", "list", "table", "section")
 CHROME_REGIONS = ("navigation", "footer", "aside", "dialog")
-#: A template counts as chrome from so many occurrences on, and from this smoothed share in chrome regions.
-LEAST_SEEN, CHROME_SHARE, PRIOR = 12, 0.42, 4.0
+#: Occurrences that a template's share in chrome regions and a path's ratio are smoothed with.
+PRIOR = 4.0
+#: The prose (0 to 1) that an element needs at least, and what is needed more times its template's squared share in chrome regions.
+LEAST_PROSE, MORE_PROSE = 0.1, 1.4
 
 _DIGITS = re.compile(r"\d+")
 _PUNCTUATION = ".,;:!?…"
@@ -95,8 +98,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def content_scores(elements: DataFrame, regions: DataFrame) -> DataFrame:
     """(element_key, page_id, role, template_seen, chrome_share, path_ratio, score, excluded) of text elements.
 
-    ``score`` above 0.5 means content by paths: the template's smoothed share in chrome regions,
-    the ratio of text to chrome of its path of roles, and the mean of the elements beside it.
+    ``score`` above 0.5 means content by paths: the mean of the element's own text, that of the
+    elements beside it and the ratio of text to chrome of its path of roles is more than what the
+    template's smoothed share in chrome regions asks for (nearly nothing for a small share). The share is taken over the template's
+    other occurrences, as the element's own region may be wrong.
     ``excluded`` is the exact check: notices, adverts, teasers, prompts, legal text and template
     residue. Redelivered rows count once (the last), elements without text, key or page not at all;
     an element without a region has the region role ''. Look-alike characters make no difference.
@@ -110,16 +115,16 @@ def content_scores(elements: DataFrame, regions: DataFrame) -> DataFrame:
     in_chrome = F.col("region_role").isin(*CHROME_REGIONS)
     # per template: seen, and in chrome regions; counted on the map side first
     shares = placed.groupBy("template").agg(F.count("*").alias("template_seen"), F.sum(in_chrome.cast("int")).alias("in_chrome"))
-    share = F.col("in_chrome") / (F.col("template_seen") + F.lit(PRIOR))
-    scored = placed.join(shares, "template").withColumn("chrome_share", F.when(F.col("template_seen") >= LEAST_SEEN, share).otherwise(0.0))
-    # per path of roles: text and punctuation against a short menu entry, smoothed; a table of roles x roles
-    paths = placed.groupBy("region_role", "role").agg(F.avg(F.log1p("length") + F.col("punctuation")).alias("density"), F.count("*").alias("n"))
+    others = F.col("in_chrome") - F.col("region_role").isin(*CHROME_REGIONS).cast("int")
+    scored = placed.join(shares, "template").withColumn("chrome_share", others / (F.col("template_seen") - 1 + F.lit(PRIOR)))
+    # per path of roles: text and punctuation outside chrome against a short menu entry, smoothed; a table of roles x roles
+    paths = scored.groupBy("region_role", "role").agg(F.avg(F.when(F.col("excluded"), 0.0).otherwise((F.log1p("length") + F.col("punctuation")) * (1 - F.col("chrome_share")))).alias("density"), F.count("*").alias("n"))
     ratio = (F.col("density") * F.col("n") + 4.0 * PRIOR) / ((F.col("n") + PRIOR) * 8.0)
     scored = scored.join(F.broadcast(paths.select("region_role", "role", F.least(ratio, F.lit(1.0)).alias("path_ratio"))), ["region_role", "role"])
     own = F.least(F.lit(1.0), (F.log1p("length") + F.col("punctuation")) / 8.0)
     beside = F.avg(F.when(F.col("excluded"), 0.0).otherwise(own)).over(Window.partitionBy("page_id").orderBy("region_ord", "el_ord", "k").rowsBetween(-2, 2))
-    prose = 0.55 + 0.15 * F.col("path_ratio") + 0.15 * own + 0.15 * beside
-    score = F.when(F.col("chrome_share") >= CHROME_SHARE, 0.5 * (1 - F.col("chrome_share"))).otherwise(prose)
+    prose = (F.col("path_ratio") + own + beside) / 3
+    score = 0.5 + (prose - LEAST_PROSE - MORE_PROSE * F.col("chrome_share") ** 2) / 2
     return scored.select(F.col("k").alias("element_key"), "page_id", "role", "template_seen", "chrome_share", "path_ratio", score.alias("score"), "excluded")
 
 
