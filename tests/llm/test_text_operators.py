@@ -99,6 +99,22 @@ def test_fused_paths_decide_in_small_tables(spark):
     assert {r.element_key for r in boilerplate.main_content(df, where).collect()} == {p * 100 + i for p in range(5) for i in (1, 2)}
 
 
+def test_index_error_and_script_pages_have_no_main_body(spark):
+    prose, teasers = ("paragraph", "The ferry crew moved 40 boards, and nobody minded."), [("heading", t) for t in ("A quiet harbour", "Notes on old trams", "The mill at dawn")]
+    links = [("link", f"More {i}") for i in range(4)]
+    bodies = {
+        1: teasers + links, 2: [("heading", "Oh dear"), ("paragraph", "Page not found")], 3: [("heading", "Our shop"), ("paragraph", "Please enable JavaScript to see the content.")],
+        4: teasers + links + [prose], 5: teasers + links, 6: teasers[:1] + links, 7: teasers, 8: [("heading", "Old harbour"), ("paragraph", "Page not found"), prose],
+    }
+    rows = [(p * 100 + i, p, "www.shopname.example", 0, i, role, text, T0) for p, body in bodies.items() for i, (role, text) in enumerate(body)]
+    df = spark.createDataFrame(rows, "element_key bigint, page_id bigint, site string, region_ord int, el_ord int, role string, text string, received_at timestamp")
+    where = spark.createDataFrame([(p, 0, "main") for p in bodies], "page_id bigint, region_ord int, role string")
+    pages = spark.createDataFrame([(p, "A quiet harbour | Shopname" if p == 5 else "Page not found" if p == 8 else None if p == 7 else "Shopname", "www.shopname.example", T0) for p in bodies], "page_id bigint, title string, site string, received_at timestamp")
+    got = [r.element_key for r in boilerplate.main_content(df, where, pages).collect()]
+    # 5 has its own headline, 6 and 7 too little of an index; 4 and 8 have prose
+    assert sorted(got) == [400, 401, 402, 407, 500, 501, 502, 600, 700, 701, 702, 800, 802]
+
+
 # problem 3
 @pytest.mark.parametrize("kind", ["ties", "tail", "even"])
 def test_percentiles_are_certified(spark, kind):

@@ -4,11 +4,13 @@ Every element has a root-to-leaf path: its region's role, its own role and the t
 (canonical form, site name and numbers masked). Text length and punctuation are added up per path of
 roles, less what belongs to templates that stand in regions of page chrome elsewhere; the ratio is fused
 with the element's own text, the elements around and its template's share in chrome, and thresholded.
-An exact check on notices, adverts and prompts follows.
+An exact check on notices, adverts and prompts follows. Last, pages that are a mere index, an error
+message or a demand for scripts are told by what else they have: they have no main body.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -21,11 +23,15 @@ from treelake.llm.residue import residue
 from treelake.operators.dedupe import latest
 
 ROLES = ("heading", "paragraph", "list", "table", "section")
+#: Kinds of residue that stand in place of a page.
+MESSAGES = ("error_page", "script_notice")
 CHROME_REGIONS = ("navigation", "footer", "aside", "dialog")
 #: Occurrences that a template's share in chrome regions and a path's ratio are smoothed with.
 PRIOR = 4.0
 #: The prose (0 to 1) that an element needs at least, and what is needed more times its template's squared share in chrome regions.
 LEAST_PROSE, MORE_PROSE = 0.1, 1.4
+#: Headings from which on a page with no other content and at least as many links can be an index.
+TEASERS = 3
 
 _DIGITS = re.compile(r"\d+")
 _PUNCTUATION = ".,;:!?…"
@@ -73,13 +79,15 @@ def is_chrome_text(form: str) -> bool:
     return _CHROME.fullmatch(form) is not None
 
 
-_FEATURES = pa.schema([("k", pa.int64()), ("page_id", pa.int64()), ("region_ord", pa.int32()), ("el_ord", pa.int32()), ("role", pa.string()), ("received", pa.timestamp("us", tz="UTC")), ("template", pa.binary()), ("length", pa.int32()), ("punctuation", pa.int32()), ("excluded", pa.bool_())])
-_FEATURES_DDL = "k bigint, page_id bigint, region_ord int, el_ord int, role string, received timestamp, template binary, length int, punctuation int, excluded boolean"
+_FEATURES = pa.schema([("k", pa.int64()), ("page_id", pa.int64()), ("region_ord", pa.int32()), ("el_ord", pa.int32()), ("role", pa.string()), ("received", pa.timestamp("us", tz="UTC")), ("template", pa.binary()), ("length", pa.int32()), ("punctuation", pa.int32()), ("excluded", pa.bool_()), ("message", pa.bool_())])
+_FEATURES_DDL = "k bigint, page_id bigint, region_ord int, el_ord int, role string, received timestamp, template binary, length int, punctuation int, excluded boolean, message boolean"
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
+def _digest(form: str) -> bytes:
+    return hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=12).digest()
+
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         known: dict[tuple, tuple] = {}
         rows = []
@@ -87,23 +95,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (text, site) not in known:
                 form = template(text, site)
                 stripped = text.strip()
-                excluded = not form or is_chrome_text(form) or residue(stripped) is not None
-                digest = hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=12).digest()
-                known[text, site] = (digest, len(form), sum(map(form.count, _PUNCTUATION)), excluded)
+                chrome = not form or is_chrome_text(form)
+                kind = None if chrome else residue(stripped)
+                known[text, site] = (_digest(form), len(form), sum(map(form.count, _PUNCTUATION)), chrome or kind is not None, kind in MESSAGES)
             rows.append(known[text, site])
-        columns = list(zip(*rows)) or [()] * 4
+        columns = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([*batch.columns[:6], *(pa.array(c, f.type) for c, f in zip(columns, list(_FEATURES)[6:]))], schema=_FEATURES)
 
 
 def content_scores(elements: DataFrame, regions: DataFrame) -> DataFrame:
-    """(element_key, page_id, role, template_seen, chrome_share, path_ratio, score, excluded) of text elements.
+    """(element_key, page_id, role, template_seen, chrome_share, path_ratio, score, excluded, message, template) of text elements.
 
     ``score`` above 0.5 means content by paths: the mean of the element's own text, that of the
     elements beside it and the ratio of text to chrome of its path of roles is more than what the
     template's smoothed share in chrome regions asks for (nearly nothing for a small share). The share is taken over the template's
     other occurrences, as the element's own region may be wrong.
     ``excluded`` is the exact check: notices, adverts, teasers, prompts, legal text and template
-    residue. Redelivered rows count once (the last), elements without text, key or page not at all;
+    residue; ``message`` an error message or script notice. Redelivered rows count once (the last), elements without text, key or page not at all;
     an element without a region has the region role ''. Look-alike characters make no difference.
     """
     received = F.col("received_at").cast("timestamp") if "received_at" in elements.columns else F.lit(None).cast("timestamp")
@@ -125,9 +133,49 @@ def content_scores(elements: DataFrame, regions: DataFrame) -> DataFrame:
     beside = F.avg(F.when(F.col("excluded"), 0.0).otherwise(own)).over(Window.partitionBy("page_id").orderBy("region_ord", "el_ord", "k").rowsBetween(-2, 2))
     prose = (F.col("path_ratio") + own + beside) / 3
     score = 0.5 + (prose - LEAST_PROSE - MORE_PROSE * F.col("chrome_share") ** 2) / 2
-    return scored.select(F.col("k").alias("element_key"), "page_id", "role", "template_seen", "chrome_share", "path_ratio", score.alias("score"), "excluded")
+    return scored.select(F.col("k").alias("element_key"), "page_id", "role", "template_seen", "chrome_share", "path_ratio", score.alias("score"), "excluded", "message", "template")
+
+
+_TITLE_PARTS = re.compile(r"\s+[|/–—-]\s+")
 
 
-def main_content(elements: DataFrame, regions: DataFrame) -> DataFrame:
+def _titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, own) with the templates of a title and of its parts up to each separator: one that a heading which repeats it has."""
+    for batch in batches:
+        own = []
+        for title, site in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            ends = [*(m.start() for m in _TITLE_PARTS.finditer(title)), len(title)]
+            own.append(list({_digest(template(title[:end], site)) for end in ends}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.binary()))], names=["page_id", "own"])
+
+
+def judged(elements: DataFrame, regions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """``content_scores`` with ``content``: by score and exact check, and on a page that has a main body.
+
+    Pages whose only content are headings have none if an error message or script notice stands
+    beside them, or if they are an index: ``TEASERS`` headings or more, none of which repeats the
+    page's title, and at least as many links. Without ``pages`` no title is known. A title that is
+    residue says nothing about the body: articles have such titles, too.
+    """
+    scored = content_scores(elements, regions).withColumn("content", (F.col("score") > 0.5) & ~F.col("excluded"))
+    links = elements.filter("role = 'link' and page_id is not null and element_key is not null").groupBy(F.col("page_id").cast("bigint").alias("page_id")).agg(F.count_distinct("element_key").alias("links"))
+    scored = scored.join(links, "page_id", "left")
+    if pages is None:
+        scored = scored.withColumn("own", F.lit(None).cast("array<binary>"))
+    else:
+        received = ["received_at"] if "received_at" in pages.columns else []
+        titled = latest(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "title", "site", *received).filter("page_id is not null"), ["page_id"], received).filter(F.trim("title") != "")
+        scored = scored.join(titled.select("page_id", "title", "site").mapInArrow(_titles, "page_id bigint, own array<binary>"), "page_id", "left")
+    # pages are whole in their partitions already: the sums need no further shuffle and no second pass
+    page, content, heading = Window.partitionBy("page_id"), F.col("content"), F.col("role") == "heading"
+    headline = heading & content & F.coalesce(F.array_contains("own", F.col("template")), F.lit(False))
+    of = {"prose": F.count_if(content & ~heading), "headings": F.count_if(content & heading), "messages": F.count_if("message"), "headlines": F.count_if(headline)}
+    scored = scored.withColumns({n: c.over(page) for n, c in of.items()})
+    index = (F.col("headings") >= TEASERS) & (F.col("headlines") == 0) & (F.coalesce("links", F.lit(0)) >= F.col("headings"))
+    void = (F.col("prose") == 0) & ((F.col("messages") > 0) | index)
+    return scored.withColumn("content", content & ~void).drop("links", "own", *of)
+
+
+def main_content(elements: DataFrame, regions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(element_key) of the elements that are their page's own content."""
-    return content_scores(elements, regions).filter((F.col("score") > 0.5) & ~F.col("excluded")).select("element_key")
+    return judged(elements, regions, pages).filter("content").select("element_key")

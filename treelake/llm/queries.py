@@ -13,14 +13,13 @@ from treelake.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.main_content(table(spark, d, "som_elements"), table(spark, d, "som_regions")).select("element_key")
+    return boilerplate.main_content(table(spark, d, "som_elements"), table(spark, d, "som_regions"), table(spark, d, "som_pages")).select("element_key")
 
 
 def p1_page_text(spark: SparkSession, d: str) -> DataFrame:
     """Content elements and kinds of elements left out per page."""
-    scored = boilerplate.content_scores(table(spark, d, "som_elements"), table(spark, d, "som_regions"))
-    content = (F.col("score") > 0.5) & ~F.col("excluded")
-    return scored.groupBy("page_id").agg(F.count_if(content).alias("content_elements"), F.count_if(~content).alias("other_elements"))
+    scored = boilerplate.judged(table(spark, d, "som_elements"), table(spark, d, "som_regions"), table(spark, d, "som_pages"))
+    return scored.groupBy("page_id").agg(F.count_if("content").alias("content_elements"), F.count_if(~F.col("content")).alias("other_elements"))
 
 
 def measures(spark: SparkSession, d: str) -> DataFrame:
