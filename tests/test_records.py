@@ -3,6 +3,7 @@ from datetime import datetime
 
 from treelake.operators import drift, nested, snapshots
 from treelake.operators.dedupe import latest
+from treelake.plans import record_queries
 from treelake.sources.payload import as_list, read_tree
 
 TREE = {"regions": [{"id": "r1", "role": "main", "elements": [
@@ -101,3 +102,19 @@ def test_schema_changes(spark):
     bad = drift.failed_casts(values, {"id": "bigint"}).collect()
     assert sum(r.n_failed for r in bad) == sum(r.n_values for r in bad) > 0
     assert drift.schema_changes(df.limit(0)).count() == 0
+
+
+def test_all_feeds_are_in_the_consistent_table(spark, tmp_path):
+    t = datetime(2026, 1, 2)
+    som = {"som_version": "0.2", "meta": {"html_bytes": "many"}, "regions": [{"id": "r", "elements": [{"id": "b", "attrs": {"level": 2}}, {"id": "a", "attrs": {"level": "two"}}]}]}
+    payloads = {"measurement-a": [{"source_id": "s", "delivered_bytes": 5, "http_status": 200}, {"unheard_of": True}], "som-b": [som]}
+    rows = [(f, 1, n, t, t, json.dumps(o)) for f, objects in payloads.items() for n, o in enumerate(objects)]
+    spark.createDataFrame(rows, "feed string, file_seq int, line_no int, opened_at timestamp, written_at timestamp, payload string").write.parquet(str(tmp_path / "feed_lines.parquet"))
+    got = {(r.feed, r.line_no): r for r in record_queries.p7_measurements(spark, str(tmp_path)).collect()}
+    assert set(got) == {("measurement-a", 0), ("measurement-a", 1), ("som-b", 0)}
+    assert got["measurement-a", 0].http_status == 200 and [tuple(o) for o in got["measurement-a", 1].others] == [("unheard_of", "boolean", "true")]
+    page = got["som-b", 0]
+    assert page.som_version == "0.2" and page.meta_html_bytes is None and page.failed_casts == 1
+    assert [(o.field.rsplit(".", 1)[-1], o.value) for o in page.others] == [("html_bytes", "many"), ("level", "2"), ("level", "two"), ("id", "a"), ("id", "b"), ("id", "r")]
+    casts = {(r.field, r.raw_type): (r.n_values, r.n_failed) for r in record_queries.p7_failed_casts(spark, str(tmp_path)).collect()}
+    assert casts["regions[].elements[].attrs.level", "string"] == (1, 1) and casts["regions[].elements[].id", "string"] == (2, 0) and casts["meta.html_bytes", "string"] == (1, 1) and casts["unheard_of", "boolean"] == (1, 0)

@@ -291,19 +291,27 @@ def consistent_values(values: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select("v.*", F.coalesce("n.canonical", "v.path").alias("field"))
 
 
-def project(values: DataFrame, schema: dict[str, str]) -> DataFrame:
+def _cast(schema: dict[str, str]):
+    return F.coalesce(*(F.when(F.col("field") == f, F.expr(f"try_cast(value as {t})").isNotNull()) for f, t in schema.items()))
+
+
+def project(values: DataFrame, schema: dict[str, str], rest: bool = False) -> DataFrame:
     """One typed row per line out of ``consistent_values``: columns of ``schema`` (field: SQL type).
 
     A value that its type can't hold is null in its column and counted in ``failed_casts``. Fields
-    under arrays have more than one value a line; such a column holds the least.
+    under arrays have more than one value a line; such a column holds the least. With ``rest`` every
+    line with a value has a row, and ``others`` has all values of fields that are not in ``schema``
+    and those its types can't hold, sorted, as (field, raw_type, value).
     """
-    wanted = values.filter(F.col("field").isin(*schema))
-    cast = F.coalesce(*(F.when(F.col("field") == f, F.expr(f"try_cast(value as {t})").isNotNull()) for f, t in schema.items()))
+    wanted = values if rest else values.filter(F.col("field").isin(*schema))
+    cast = _cast(schema)
     columns = [F.min(F.when(F.col("field") == f, F.expr(f"try_cast(value as {t})"))).alias(re.sub(r"\W+", "_", f).strip("_")) for f, t in schema.items()]
-    return wanted.groupBy("feed", "file_seq", "line_no").agg(*columns, F.count_if(~cast).alias("failed_casts"))
+    other = F.when(~F.coalesce(cast, F.lit(False)), F.struct("field", "raw_type", "value"))
+    others = [F.sort_array(F.collect_list(other)).alias("others")] if rest else []
+    return wanted.groupBy("feed", "file_seq", "line_no").agg(*columns, F.count_if(~cast).alias("failed_casts"), *others)
 
 
-def failed_casts(values: DataFrame, schema: dict[str, str]) -> DataFrame:
-    """(feed, file_seq, field, raw_type, n_values, n_failed) of the fields of ``schema``."""
-    cast = F.coalesce(*(F.when(F.col("field") == f, F.expr(f"try_cast(value as {t})").isNotNull()) for f, t in schema.items()))
-    return values.filter(F.col("field").isin(*schema)).groupBy("feed", "file_seq", "field", "raw_type").agg(F.count("*").alias("n_values"), F.count_if(~cast).alias("n_failed"))
+def failed_casts(values: DataFrame, schema: dict[str, str], rest: bool = False) -> DataFrame:
+    """(feed, file_seq, field, raw_type, n_values, n_failed) of the fields of ``schema``; with ``rest`` of the others, too, as strings."""
+    wanted = values if rest else values.filter(F.col("field").isin(*schema))
+    return wanted.groupBy("feed", "file_seq", "field", "raw_type").agg(F.count("*").alias("n_values"), F.count_if(~_cast(schema)).alias("n_failed"))

@@ -16,6 +16,21 @@ MEASUREMENT = {
     "source_html_bytes": "bigint", "delivered_bytes": "bigint", "bytes_not_delivered": "bigint", "cache_restored": "boolean",
 }
 
+#: Types of the fields added to it later.
+ADDED = {
+    "engine_build": "string", "tool_name": "string", "region_count": "bigint", "delivered_tokens": "bigint", "retry_count": "bigint", "truncated": "boolean", "http_status": "bigint", "page_lang": "string", "session_ref": "string",
+}
+#: Types of the page-tree feed's fields of one value a line, and of those with a value per region or element.
+PAGE_TREE = {
+    "som_version": "string", "url": "string", "title": "string", "lang": "string", "compiled_by": "string",
+    "meta.html_bytes": "bigint", "meta.som_bytes": "bigint", "meta.source_bytes": "bigint", "meta.element_count": "bigint", "meta.interactive_count": "bigint",
+}
+_ELEMENT = {
+    "id": "string", "role": "string", "text": "string", "attrs.href": "string", "attrs.src": "string", "attrs.rel": "string", "attrs.target": "string", "attrs.input_type": "string", "attrs.placeholder": "string", "attrs.section_label": "string",
+    "attrs.level": "bigint", "attrs.maxlength": "bigint", "attrs.tabindex": "bigint", "attrs.width": "bigint", "attrs.required": "boolean", "attrs.draggable": "boolean", "attrs.spellcheck": "boolean",
+}
+REPEATED = {"regions[].id": "string", "regions[].role": "string", "regions[].label": "string", **{f"regions[].elements[].{f}": t for f, t in _ELEMENT.items()}}
+
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     nodes = nested.emit_nodes(table(spark, d, "som_records"), payloads=False)
@@ -39,18 +54,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(table(spark, d, "feed_lines"))
 
 
-def _measurement_values(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "feed_lines").filter(F.col("feed").startswith("measurement"))
+def _feed_values(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "feed_lines")
     return drift.consistent_values(drift.path_values(lines), drift.schema_changes(lines))
 
 
 def p7_measurements(spark: SparkSession, d: str) -> DataFrame:
-    """One consistent table of the measurement feeds."""
-    return drift.project(_measurement_values(spark, d), MEASUREMENT)
+    """One consistent table of all feeds, a row per line; what has no column of its own is in ``others``."""
+    return drift.project(_feed_values(spark, d), MEASUREMENT | ADDED | PAGE_TREE, rest=True)
 
 
 def p7_failed_casts(spark: SparkSession, d: str) -> DataFrame:
-    return drift.failed_casts(_measurement_values(spark, d), MEASUREMENT)
+    """Failed casts of all fields of all feeds, those under arrays and those without a type (strings) included."""
+    return drift.failed_casts(_feed_values(spark, d), MEASUREMENT | ADDED | PAGE_TREE | REPEATED, rest=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
