@@ -37,6 +37,18 @@ def test_residue_rows_are_those_of_residue(spark):
     assert sorted(tuple(r) for r in residue.residue_rows(df, "k", "t").collect()) == [(i, residue.residue(t)) for i, t in enumerate(texts[:9])]
 
 
+def test_residue_in_long_texts():
+    prose = "The ferry crew moved forty boards across the harbour on Tuesday, and nobody minded the rain. " * 8
+    cases = {
+        prose + "The new lamp costs undefined crowns.": "empty_value", prose + "Your text here. " + prose: "filler", "Page not found. Please try again later. " * 20: "error_page",
+        "Please enable JavaScript in your browser to use this shop. You can turn on scripts in the settings of your browser, under privacy. Then reload the page in the same browser to see all our offers.": "script_notice",
+    }
+    assert {t: residue.residue(t) for t in cases} == cases
+    assert residue.residue("fetched undefined of 9 pages", True) == "empty_value" and residue.residue("complete, warnings None", True) is None
+    for text in (prose, prose + "None had seen it.", "Please use scripts with care. " + prose, prose + "The word undefined means that a value is missing.", "Sorry, we could not find a better harbour. " + prose):
+        assert residue.residue(text) is None, text
+
+
 # problem 6
 def test_canonical_forms():
     same = ["Haut de page", "Ηaut de page", "Ｈａｕｔ ｄｅ ｐａｇｅ", "Ha​ut de page", "Haut de pa­ge"]

@@ -103,7 +103,7 @@ _NOTICE = re.compile(
     rf"|(?:пожалуйста,? )?(?:включите|разрешите)\b.{{0,20}}(?:java ?script|скрипт\w*).*|(?:это|этот|эта|для) \w+.{{0,40}}(?:требует\w*|нуж\w+|необходим\w*)\b.{{0,20}}(?:java ?script|скрипт\w*).*|(?:скрипты|javascript) (?:заблокирован\w*|отключ[её]н\w*).*)",
     re.I,
 )
-_NOTICE_MOST = 160
+_BROWSER = re.compile(rf"\b(?:{_SCRIPTS}|browsers?|reload\w*|settings?|cookies?|navigateurs?|navegador\w*|einstellungen|браузер\w*)\b", re.I)
 
 #: Messages of a run that could not obtain or read a page, and remarks on one that could.
 _RUN_FAILED = re.compile(
@@ -116,8 +116,14 @@ _WRAPPED = re.compile(r"(?:blocked|no page text, only|body was the notice|receiv
 
 #: Characters one of which every placeholder has (two colons, too).
 _MARKS = ("{", "[", "<", "~", "%", "$", "«", "@", "_", "*", "#", "&lt;")
-#: Longest texts that are taken for a message or filler phrase as a whole.
-MOST_MESSAGE, MOST_PHRASE = 600, 200
+#: Up to these lengths a text is judged as a whole; longer ones sentence by sentence.
+WHOLE_MESSAGE, WHOLE_NOTICE, WHOLE_VALUE = 600, 160, 90
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
+_TRACE = re.compile(r"(?:traceback|stack trace|uncaught \w+|fatal(?: error)?:|query failed|\w+(?:error|exception):)", re.I)
+_NO_VALUE = re.compile(r"\bNone (?:of|the|was|were|is)\b|\bInfinity\b")
+#: Words in prose that are empty values elsewhere, and remarks on runs.
+_PROSE_VALUE = re.compile(r"\bNone (?=[a-z])|\bnull and void\b|\bnil\b")
+_RUN_REMARK = re.compile(r"\b(?:None|null|nil|Infinity)\b")
 
 
 def placeholders(text: str) -> list[str]:
@@ -136,7 +142,10 @@ def placeholders(text: str) -> list[str]:
 
 
 def _is_filler(text: str) -> bool:
-    if len(text) <= MOST_PHRASE and _FILLER.fullmatch(text):
+    if _FILLER.fullmatch(text):
+        return True
+    sentences = _SENTENCES.split(text)
+    if len(sentences) > 1 and any(_FILLER.fullmatch(x.strip()) for x in sentences) and not _ABOUT.search(text):
         return True
     low = text.lower()
     if _LOREM_STRONG.isdisjoint(low.replace(".", " ").replace(",", " ").split()):
@@ -156,10 +165,11 @@ def _is_filler(text: str) -> bool:
 
 def _is_error_page(text: str) -> bool:
     """Every piece of the value is an error message, a code or, behind one, a site's name."""
-    if _MESSAGES.fullmatch(text) or _CODE_ONLY.fullmatch(text):
+    whole = len(text) <= WHOLE_MESSAGE or _TRACE.match(text) is not None
+    if whole and _MESSAGES.fullmatch(text) or _CODE_ONLY.fullmatch(text):
         return True
     rest = _CODED.sub("", text, count=1) if _CODED.match(text) else text
-    if _MESSAGES.fullmatch(rest):
+    if whole and _MESSAGES.fullmatch(rest):
         return True
     found = False
     for piece in _PIECES.split(rest):
@@ -176,6 +186,26 @@ def _is_error_page(text: str) -> bool:
     return found
 
 
+def _has_empty_value(text: str, run_message: bool) -> bool:
+    """An empty value inside a text, but for texts about values; in long texts the sentence around it tells."""
+    if not _SOME_EMPTY.search(text) or _ABOUT.search(text):
+        return False
+    for part in [text] if len(text) <= WHOLE_VALUE else _SENTENCES.split(text):
+        bare = _RUN_REMARK.sub(" ", part) if run_message else part if len(text) <= WHOLE_VALUE else _PROSE_VALUE.sub(" ", part)
+        if _SOME_EMPTY.search(bare) and not _NO_VALUE.search(part) and not _ABOUT_VALUES.search(part):
+            return True
+    return False
+
+
+def _is_notice(text: str) -> bool:
+    """A script notice; in a long text most of it must be about scripts and browsers."""
+    if not _NOTICE.fullmatch(text):
+        return False
+    if len(text) <= WHOLE_NOTICE:
+        return True
+    return sum(len(x) for x in _SENTENCES.split(text) if _BROWSER.search(x)) >= 0.5 * len(text) and not _ABOUT.search(text)
+
+
 def residue(text: str | None, run_message: bool = False) -> str | None:
     """placeholder, empty_value, filler, error_page, script_notice or, for run messages, failure; else None.
 
@@ -193,13 +223,13 @@ def residue(text: str | None, run_message: bool = False) -> str | None:
         return "empty_value"
     if "[" in text and _OBJECT.search(text) and not _ABOUT_VALUES.search(text) and not _ABOUT.search(text):
         return "empty_value"
-    if len(text) <= 90 and not run_message and _SOME_EMPTY.search(text) and not re.search(r"\bNone (?:of|the|was|were|is)\b|\bInfinity\b", text) and not _ABOUT_VALUES.search(text) and not _ABOUT.search(text):
+    if _has_empty_value(text, run_message):
         return "empty_value"
     if _is_filler(text):
         return "filler"
-    if len(text) <= MOST_MESSAGE and _is_error_page(text):
+    if _is_error_page(text):
         return "error_page"
-    if len(text) <= _NOTICE_MOST and _NOTICE.fullmatch(text):
+    if _is_notice(text):
         return "script_notice"
     if run_message:
         inner = _WRAPPED.match(text)
