@@ -4,7 +4,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from treelake.operators import contracts, discovery
+from treelake.operators import contracts, discovery, policy
 from treelake.sources import readers
 
 
@@ -98,3 +98,11 @@ def test_readers(spark, tmp_path):
     assert readers.html_files(spark, str(tmp_path / "h")).first().html == "<p>a\n\nb"
     assert readers.decode_body(gzip.compress(b"x"), "gzip") == b"x" and readers.decode_body(zlib.compress(b"x"), "deflate") == b"x" and readers.decode_body(b"x", None) == b"x"
     assert readers.decode_body(b"x", "gzip") is None and readers.decode_body(gzip.compress(b"x" * 99), "gzip", 10) is None and readers.decode_body(b"x", "odd") is None
+
+
+def test_large_robots_files_keep_their_last_rules():
+    text = "User-agent: a\nUser-agent: b\n" + "".join(f"Disallow: /{i}\n" for i in range(30_000))
+    rules = policy.robots_rules(text + "Disallow: /" + "x" * 20_000)
+    assert len(rules) == 2 + 2 * 30_001 and rules[-1][3] == "/" + "x" * 20_000
+    rules = policy.robots_rules("User-agent: a\n" + "Disallow: /p\n" * 65_540)
+    assert len(rules) == 1 + 65_536 + 1 and rules[-1] == (-1, "", "", "", 4)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from treelake.functions.urls import cache_url, glob_column
 
-MOST_RULES = 10_000
-MOST_LINE_BYTES = 16_384
+MOST_RULES = 65_536
+MOST_LINE_BYTES = 500 * 1024
 _AGENT = re.compile(r"[A-Za-z_-]+")
 _UNRESERVED = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 _ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})|(.)", re.S)
@@ -59,13 +59,16 @@ def rule_matches(rule: str, path: str) -> bool:
 def robots_rules(text: str | None) -> list[tuple[int, str, str, str, int]]:
     """(group, agent, directive, normal rule, specificity) of a robots file; directive '' tells the agent only.
 
-    A user-agent line begins a new group only after a rule. Empty rules and lines over the limit
-    are passed over.
+    A user-agent line begins a new group only after a rule. Empty rules are passed over. Rules (each
+    once, for however many agents) and lines over the limits are left out and reported: a last row
+    of group -1 without an agent has their number as specificity.
     """
     out, agents, group, ruled = [], [], -1, True
+    rules = omitted = 0
     for at, line in enumerate((text or "").split("\n")):
         line = line.lstrip("﻿") if at == 0 else line
         if len(line.encode("utf-8", "surrogatepass")) > MOST_LINE_BYTES:
+            omitted += 1
             continue
         name, colon, value = line.split("#")[0].strip().partition(":")
         name, value = name.strip().lower(), value.strip()
@@ -76,11 +79,15 @@ def robots_rules(text: str | None) -> list[tuple[int, str, str, str, int]]:
                 group, agents, ruled = group + 1, [], False
             agents.append(value.lower())
             out.append((group, value.lower(), "", "", 0))
-        elif name in ("allow", "disallow") and agents and value and len(out) < MOST_RULES:
+        elif name in ("allow", "disallow") and agents and value:
             ruled = True
+            if rules >= MOST_RULES:
+                omitted += 1
+                continue
+            rules += 1
             rule = normal_path(value, True)
             out += [(group, a, name, rule, specificity(rule)) for a in agents]
-    return out
+    return out + [(-1, "", "", "", omitted)] * (omitted > 0)
 
 
 def parsed_robots(files: DataFrame, key: str = "host", text: str = "robots_txt") -> DataFrame:
