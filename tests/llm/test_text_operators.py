@@ -4,6 +4,7 @@ from datetime import date, datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from treelake.llm import boilerplate, canonical, mixing, packing, percentiles, residue, tokenizer, toxicity
 
@@ -129,24 +130,47 @@ def test_index_error_and_script_pages_have_no_main_body(spark):
 
 # problem 3
 @pytest.mark.parametrize("kind", ["ties", "tail", "even"])
-def test_percentiles_are_certified(spark, kind):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_percentiles_are_certified(spark, kind, broadcast, monkeypatch):
+    monkeypatch.setattr(percentiles, "MOST_BROADCAST", broadcast)
     rng = np.random.default_rng(3)
     values = {"ties": rng.integers(0, 5, 4000), "tail": rng.pareto(1.1, 4000), "even": rng.random(4000)}[kind].astype(float)
-    rows = [("m", None if i % 3 == 0 else "hot", date(2026, 1, 1 + i % 4), float(v)) for i, v in enumerate(values)] + [("m", "hot", None, float("nan")), ("m", "hot", None, None), ("m", "hot", None, math.inf)]
-    df = spark.createDataFrame(rows, "metric string, grp string, day date, value double").repartition(6)
+    rows = [("m", None if i % 3 == 0 else "hot", date(2026, 1, 1 + i % 4), "a" if i % 7 else None, float(v)) for i, v in enumerate(values)] + [("m", "hot", None, "a", float("nan")), ("m", "hot", None, "a", None), ("m", "hot", None, "a", math.inf), (None, "hot", None, "a", 1.0), ("m", "hot", None, "b", 2.0)]
+    df = spark.createDataFrame(rows, "metric string, grp string, day date, part string, value double").repartition(6).withColumn("n", F.lit("clash")).withColumn("salt", F.lit("clash"))
     got = percentiles.percentiles(df, (0.0, 0.05, 0.5, 0.95, 1.0)).collect()
-    assert len(got) == 10
+    # two groups in all, four days of both and one without, two parts of both and one of the hot
+    assert len(got) == 5 * (2 + 9 + 5)
     for r in got:
-        own = np.array([v for m, g, d, v in rows if (g or "") == r.grp and v is not None and math.isfinite(v)])
+        of = {"day": lambda x: str(x[2] or ""), "part": lambda x: x[3] or "", "all": lambda x: ""}[r.level]
+        own = np.array([x[4] for x in rows if x[0] and (x[1] or "") == r.grp and of(x) == r.part and x[4] is not None and math.isfinite(x[4])])
         assert r.n == len(own) and r.below == (own < r.estimate).sum() and r.at_most == (own <= r.estimate).sum()
         assert r.rank_error <= math.pi * math.sqrt(r.q * (1 - r.q)) / percentiles.COMPRESSION + 2 / r.n
     assert percentiles.percentiles(df.limit(0)).count() == 0
+    assert {r.level for r in percentiles.percentiles(df.drop("part"), (0.5,)).collect()} == {"day", "all"}
+
+
+def test_digests_stay_within_their_buffers(spark, monkeypatch):
+    monkeypatch.setattr(percentiles, "BUFFER", 500)
+    monkeypatch.setattr(percentiles, "MOST_HELD", 40)
+    rows = [("m", f"g{i % 90}", date(2026, 1, 1), float(i)) for i in range(9000)]
+    df = spark.createDataFrame(rows, "metric string, grp string, day date, value double").repartition(3)
+    got = percentiles.percentiles(df, (0.5,)).filter("level = 'all'").collect()
+    assert len(got) == 90 and all(r.n == 100 and r.rank_error <= 0.02 for r in got)
+
+
+def test_a_group_is_clustered_for_itself():
+    rng = np.random.default_rng(6)
+    values, groups = rng.random(3000), rng.integers(0, 3, 3000)
+    together = percentiles.cluster(values, np.ones(3000), groups)
+    for g in range(3):
+        alone = percentiles.cluster(values[groups == g], np.ones((groups == g).sum()))
+        assert np.allclose(together[0][together[2] == g], alone[0]) and np.allclose(together[1][together[2] == g], alone[1])
 
 
 def test_daily_digests_combine(spark):
     df = spark.createDataFrame([("m", "g", date(2026, 1, 1 + i % 9), float(i)) for i in range(9000)], "metric string, grp string, day date, value double")
-    daily = percentiles.merge(percentiles.digests(df), by_day=True)
-    merged = percentiles.estimates(percentiles.merge(daily), [0.5]).first()
+    daily = percentiles.merge(percentiles.digests(df))
+    merged = percentiles.estimates(percentiles.whole(daily), [0.5]).first()
     assert daily.count() == 9 and merged.n == 9000 and abs(merged.estimate - 4500) < 9000 * 0.01
 
 

@@ -24,26 +24,27 @@ def p1_page_text(spark: SparkSession, d: str) -> DataFrame:
 
 def measures(spark: SparkSession, d: str) -> DataFrame:
     """Valid values of the three measures, each row once: positive and finite ones."""
-    delivered = table(spark, d, "delivery_measurements").select("measurement_id", "received_at", "recorded_at", "representation", "delivered_bytes")
+    delivered = table(spark, d, "delivery_measurements").select("measurement_id", "received_at", "recorded_at", "representation", "source_id", "delivered_bytes")
     delivered = latest(delivered.filter("measurement_id is not null"), ["measurement_id"], ["received_at"]).filter("delivered_bytes > 0")
-    costs = latest(table(spark, d, "token_costs").select("cost_id", "run_date", "ratio", "som_tokens").filter("cost_id is not null"), ["cost_id"])
-    kind = F.lower(F.trim("representation"))
+    costs = latest(table(spark, d, "token_costs").select("cost_id", "run_date", "url", "ratio", "som_tokens").filter("cost_id is not null"), ["cost_id"])
+    kind, site = F.lower(F.trim("representation")), F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)
     parts = [
-        percentiles.metric(delivered, "delivered_bytes", kind, F.to_date("recorded_at"), F.col("delivered_bytes")),
-        percentiles.metric(costs.filter("ratio > 0 and not isnan(ratio)"), "ratio", F.lit("all"), F.col("run_date"), F.col("ratio")),
-        percentiles.metric(costs.filter("som_tokens > 0"), "som_tokens", F.lit("all"), F.col("run_date"), F.col("som_tokens")),
+        percentiles.metric(delivered, "delivered_bytes", kind, F.to_date("recorded_at"), F.col("delivered_bytes"), F.col("source_id")),
+        percentiles.metric(costs.filter("ratio > 0 and not isnan(ratio)"), "ratio", F.lit("all"), F.col("run_date"), F.col("ratio"), site),
+        percentiles.metric(costs.filter("som_tokens > 0"), "som_tokens", F.lit("all"), F.col("run_date"), F.col("som_tokens"), site),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each group by day, by source or site (level part) and in all, with their counted rank errors."""
     return percentiles.percentiles(measures(spark, d))
 
 
 def p3_daily(spark: SparkSession, d: str) -> DataFrame:
     """Daily summaries that can be kept and combined later, with their medians."""
-    daily = percentiles.merge(percentiles.digests(measures(spark, d)), by_day=True)
-    return percentiles.estimates(daily, [0.5]).select("metric", "grp", "day", "n", "q", "estimate")
+    daily = percentiles.merge(percentiles.digests(measures(spark, d)).filter("level = 'day'"))
+    return percentiles.estimates(daily, [0.5]).select("metric", "grp", F.expr("try_cast(part as date)").alias("day"), "n", "q", "estimate")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
