@@ -118,7 +118,45 @@ def test_budgets_and_links(spark):
     assert sorted(r.href for r in E.links(df).collect()) == ["/a", "/a/", "/b#x", "/c"]
 
 
-def test_rendering(spark):
-    df = rows(spark, {"role": "heading", "text": "T", "attrs": '{"level":2}'}, {"role": "link", "label": "L", "attrs": '{"href":"/l"}'}, {"role": "list", "attrs": '{"items":[{"text":"a"},{"text":"b"}]}'}, {"text": ""}, {"text": "p"})
-    assert E.page_markdown(df).first().content == "#### T\n\n[L](/l)\n\n- a\n- b\n\np"
-    assert E.page_text(df).first().content == "T\nL\np"
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_element_queries_filter_at_the_scan_and_shuffle_once(spark):
+    import re
+
+    from treelake.plans.page_queries import QUERIES
+
+    for name in ("page_headings", "page_links", "link_targets", "first_heading", "first_price", "interactive_elements"):
+        plan = _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert len(re.findall(r"Exchange \w", plan)) == 1, (name, plan)
+        assert re.search(r"PushedFilters: \[\w", plan), (name, plan)
+        read = plan[plan.index("ReadSchema") :]
+        assert "html_id" not in read and "received_at" not in read, name
+
+
+def test_renderers(spark):
+    attrs = {
+        "list": '{"items":[{"text":"one"},{"text":""},{"text":null}]}', "table": '{"caption":"C","headers":["A","B"],"rows":[["1","2"],[]]}', "select": '{"options":[{"text":"x"},{"text":""}]}', "text_input": '{"placeholder":"p"}', "checkbox": '{"checked":true}', "heading": '{"level":2}', "link": "[1]", "image": None, "separator": None, "section": "torn {",
+    }
+    df = rows(spark, *({"role": r, "attrs": a, "text": None if r in ("list", "table") else r.upper(), "label": "L" if r in ("text_input", "list") else None} for r, a in attrs.items()))
+    assert E.page_text(df).first().content == "L\none\nA | B\n1 | 2\nSELECT\nx\nTEXT_INPUT\nCHECKBOX\nHEADING\nLINK\nIMAGE\nSEPARATOR\nSECTION"
+    pages = spark.createDataFrame([(1, "T", "u"), (2, None, None)], "page_id bigint, title string, url string")
+    regions = spark.createDataFrame([(1, 0, "main", "Top"), (1, 1, "footer", None)], "page_id bigint, region_ord int, role string, label string")
+    got = {r.page_id: r.content for r in E.page_markdown(df, pages, regions).collect()}
+    assert got[1] == (
+        "# T\nURL: u\n\n## Main: Top\n\n- one\n- \n- \nC\n\n| A | B |\n| --- | --- |\n| 1 | 2 |\n\n[Select: SELECT]\n- x\n[Input: L placeholder=\"p\"]\n[x] CHECKBOX\n#### HEADING\n[LINK](#)\n![]()\n---\nSECTION\n\n## Footer\n\n"
+    )
+    assert got[2] == "# \nURL: \n"
+    cut = {r.page_id: r.content for r in E.extract_text(df, pages, 12).collect()}
+    assert cut == {1: "T\n\n• one\n• ...", 2: ""} and E.page_text(df.limit(0)).count() == 0
+    longer = spark.createDataFrame([("word",), ("twowords",), ("a b c d e f",), (None,)], "t string").select(E.cut_at_space(F.col("t"), 6).alias("t"))
+    assert [r.t for r in longer.collect()] == ["word", "twowor...", "a b...", None]
+    budget = spark.createDataFrame([("x" * 8,), ("é" * 5,)], "t string").select(E.within_budget(F.col("t"), 2).alias("t")).collect()
+    assert budget[0].t == "x" * 8 and '"original_bytes": 10' in budget[1].t
+
+
+def test_plan_fields(spark):
+    df = rows(spark, {"role": "link", "actions": ["click"], "attrs": '{"href":"/a","rel":"","level":3,"aria":{"expanded":false,"label":"x","checked":"mixed","unknown":1}}'}, {"actions": ["click"], "attrs": '{"checked":false,"aria":{"checked":true,"readonly":true}}'}, {"attrs": '{"href":"/b"}'}, {"actions": ["click"], "attrs": "[1]"}, {"actions": ["click"]})
+    got = sorted((r.element_key, r.field, r.value) for r in E.plan_fields(df).collect())
+    assert got == [(0, "aria_label", "x"), (0, "checked", "mixed"), (0, "expanded", "false"), (0, "href", "/a"), (1, "checked", "false"), (1, "readonly", "true")]

@@ -34,14 +34,8 @@ def non_empty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def first_elements(elements: DataFrame) -> DataFrame:
-    """Each element once: rows delivered again differ in received_at only."""
-    kept = [c for c in elements.columns if c != "received_at"]
-    return elements.select(*kept).dropDuplicates(["element_key"])
-
-
 def has_actions() -> Column:
-    return F.coalesce(F.size("actions") > 0, F.lit(False))
+    return F.col("actions").isNotNull() & (F.size("actions") > 0)
 
 
 def is_interactive() -> Column:
@@ -132,37 +126,129 @@ def headings(elements: DataFrame) -> DataFrame:
     return elements.filter(F.col("role") == "heading").select("page_id", "el_ord", "id", level.alias("level"), "text")
 
 
-def ordered_text(rows: DataFrame, keys: list[str], value: Column, separator: str = "\n") -> DataFrame:
-    """Values of each key joined in page order; nulls and empties left out. One page is one group."""
-    kept = rows.withColumn("__v", value).filter("__v <> ''")
-    lines = F.sort_array(F.collect_list(F.struct("el_ord", "element_key", "__v")))
-    return kept.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda x: x["__v"]), separator).alias("content"))
+#: What renderers read of attrs, parsed once an element.
+RENDERED = "items array<struct<text:string>>, options array<struct<text:string>>, headers array<string>, rows array<array<string>>, caption string, level string, href string, alt string, src string, placeholder string, checked string"
+
+
+def rendered() -> Column:
+    """The attributes that renderers read; null where attrs is absent or no object."""
+    return F.when(F.startswith(F.ltrim("attrs"), F.lit("{")), F.from_json("attrs", RENDERED))
+
+
+def _row_texts(a: Column) -> tuple[Column, Column]:
+    """A table's header line (in an array, empty without headers) and its lines of cells."""
+    head = F.when(F.size(a["headers"]) > 0, F.array(F.array_join(a["headers"], " | "))).otherwise(F.array())
+    return head, F.transform(F.filter(a["rows"], lambda r: F.size(r) > 0), lambda r: F.array_join(r, " | "))
+
+
+def _texts_of(list_: Column) -> Column:
+    return F.filter(F.transform(list_, lambda x: x["text"]), lambda t: t != "")
+
+
+def _lines(*parts: Column) -> Column:
+    """Arrays one after the other, absent ones passed over."""
+    none = F.array().cast("array<string>")
+    return F.filter(F.flatten(F.array(*(F.coalesce(p, none) for p in parts))), lambda t: t.isNotNull())
+
+
+def visible_parts() -> Column:
+    """An element's visible text: its text or else label, list items, options, table headers and rows."""
+    a = rendered()
+    head, rows = _row_texts(a)
+    return _lines(F.array(F.coalesce(non_empty(F.col("text")), non_empty(F.col("label")))), _texts_of(a["items"]), _texts_of(a["options"]), head, rows)
+
+
+def extracted_parts() -> Column:
+    """An element's text without its label: text, items with bullets, caption, headers and rows."""
+    a = rendered()
+    head, rows = _row_texts(a)
+    items = F.transform(F.filter(a["items"], lambda x: x["text"].isNotNull()), lambda x: F.concat(F.lit("• "), x["text"]))
+    return _lines(F.array(non_empty(F.col("text"))), items, F.array(non_empty(a["caption"])), head, rows)
+
+
+def ordered_parts(rows: DataFrame, keys: list[str], parts: Column) -> DataFrame:
+    """(keys, lines) with the parts of each key's elements in page order; one key is one group."""
+    lines = F.sort_array(F.collect_list(F.struct("el_ord", "element_key", parts.alias("__p"))))
+    return rows.groupBy(*keys).agg(F.flatten(F.transform(lines, lambda x: x["__p"])).alias("lines"))
+
 
+def page_text(elements: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(page_id, content): the visible text of each page (or other keys), a line per text, item, option and row."""
+    return ordered_parts(elements, keys or ["page_id"], visible_parts()).select(*(keys or ["page_id"]), F.array_join("lines", "\n").alias("content"))
 
-def page_text(elements: DataFrame) -> DataFrame:
-    """(page_id, content): the visible text of each page, text or else label of each element."""
-    return ordered_text(elements, ["page_id"], F.coalesce(non_empty(F.col("text")), F.col("label")))
 
+def cut_at_space(text: Column, most: int) -> Column:
+    """At most ``most`` characters; a longer text ends at its last white space before that, and dots."""
+    head = F.left(text, F.lit(most))
+    return F.when(F.length(text) > most, F.concat(F.regexp_replace(head, r"(?s)^(.*)\s.*?$", "$1"), F.lit("..."))).otherwise(text)
 
-def markdown_line() -> Column:
-    """One element as a line of Markdown."""
-    words = F.coalesce(non_empty(F.col("text")), F.col("label"), F.lit(""))
-    level = F.least(F.coalesce(attr("level").try_cast("int"), F.lit(1)) + 2, F.lit(6))
-    items = F.from_json(attr("items"), "array<struct<text:string>>")
-    listed = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), F.coalesce(x["text"], F.lit("")))), "\n")
+
+def extract_text(elements: DataFrame, pages: DataFrame, most: int | None = None) -> DataFrame:
+    """(page_id, content): title, blank line and the text of each page, cut at white space to ``most`` characters."""
+    body = ordered_parts(elements, ["page_id"], extracted_parts())
+    titled = pages.select("page_id", F.when(F.col("title") != "", F.array("title", F.lit(""))).otherwise(F.array()).alias("__t"))
+    text = F.array_join(_lines(F.col("__t"), F.col("lines")), "\n")
+    return titled.join(body, "page_id", "left").select("page_id", (text if most is None else cut_at_space(text, most)).alias("content"))
+
+
+def within_budget(payload: Column, tokens: int) -> Column:
+    """A payload of at most four bytes a token, or a note that it is larger: never a part of it."""
+    note = F.concat(F.lit('{"truncated": true, "original_bytes": '), F.octet_length(payload).cast("string"), F.lit(f', "message": "SOM exceeded budget of {tokens} tokens"}}'))
+    return F.when(F.octet_length(payload) > 4 * tokens, note).otherwise(payload)
+
+
+def markdown_lines() -> Column:
+    """One element's lines of Markdown."""
+    a = rendered()
+    text, label = F.coalesce("text", F.lit("")), F.coalesce("label", F.lit(""))
+    words, named = F.coalesce(non_empty(F.col("text")), label), F.coalesce(non_empty(F.col("label")), text)
+    role = F.col("role")
+
+    def own(name: str, absent: str) -> Column:
+        return F.when(a.isNull(), F.lit(absent)).otherwise(F.coalesce(a[name], F.lit("None")))
+
+    def line(*parts: Column | str) -> Column:
+        return F.array(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
+
+    level = a["level"].try_cast("int")
+    level = F.when(level != 0, level).otherwise(1)
+    place = F.when(a["placeholder"] != "", F.concat(F.lit(' placeholder="'), a["placeholder"], F.lit('"'))).otherwise("")
+    check = F.when(F.coalesce(~a["checked"].isin("false", ""), F.lit(False)), "x").otherwise("")
+    bars = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    head = F.when(F.size(a["headers"]) > 0, F.array(bars(a["headers"]), bars(F.transform(a["headers"], lambda _: F.lit("---")))))
+    table = _lines(F.when(a["caption"] != "", F.array(a["caption"], F.lit(""))), head, F.transform(F.filter(a["rows"], lambda r: F.size(r) > 0), bars), F.when(a.isNull() & (text != ""), F.array(text)))
+    options = F.transform(_texts_of(a["options"]), lambda t: F.concat(F.lit("- "), t))
+    items = F.transform(a["items"], lambda x: F.concat(F.lit("- "), F.coalesce(x["text"], F.lit(""))))
     return (
-        F.when(F.col("role") == "heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), words))
-        .when(F.col("role") == "link", F.concat(F.lit("["), words, F.lit("]("), F.coalesce(attr("href"), F.lit("")), F.lit(")")))
-        .when(F.col("role") == "image", F.concat(F.lit("!["), F.coalesce(non_empty(attr("alt")), words), F.lit("]("), F.coalesce(attr("src"), F.lit("")), F.lit(")")))
-        .when((F.col("role") == "list") & (F.size(items) > 0), listed)
-        .when(F.col("role") == "button", F.concat(F.lit("["), words, F.lit("]")))
-        .otherwise(words)
+        F.when(role == "heading", line(F.repeat(F.lit("#"), level + 2), " ", text))
+        .when(role == "paragraph", F.array(text, F.lit("")))
+        .when(role == "link", line("[", words, "](", own("href", "#"), ")"))
+        .when(role == "button", line("[Button: ", text, "]"))
+        .when(role == "image", line("![", own("alt", ""), "](", own("src", ""), ")"))
+        .when(role.isin("text_input", "textarea"), line("[Input: ", label, F.coalesce(place, F.lit("")), "]"))
+        .when(role == "select", _lines(line("[Select: ", named, "]"), options))
+        .when(role.isin("checkbox", "radio"), line("[", check, "] ", words))
+        .when(role == "list", F.coalesce(items, F.array().cast("array<string>")))
+        .when(role == "table", F.when(F.size(table) > 0, F.array_append(table, F.lit(""))).otherwise(table))
+        .when(role == "separator", F.array(F.lit("---")))
+        .when(text != "", F.array(text))
+        .otherwise(F.array().cast("array<string>"))
     )
 
 
-def page_markdown(elements: DataFrame) -> DataFrame:
-    """(page_id, content): each page as Markdown, elements parted by blank lines."""
-    return ordered_text(elements, ["page_id"], markdown_line(), "\n\n")
+def page_markdown(placed: DataFrame, pages: DataFrame, regions: DataFrame) -> DataFrame:
+    """(page_id, content): each page as Markdown: title, url, a heading per region and its elements.
+
+    ``placed`` are elements with page_id and region_ord, all three tables without repeated rows. A
+    region without elements has its heading only; elements without a region are left out.
+    """
+    body = ordered_parts(placed, ["page_id", "region_ord"], markdown_lines())
+    name = F.concat(F.lit("## "), F.initcap("role"), F.when(F.col("label") != "", F.concat(F.lit(": "), F.col("label"))).otherwise(""))
+    blocks = regions.select("page_id", "region_ord", name.alias("__n")).join(body, ["page_id", "region_ord"], "left")
+    block = F.concat(F.array("__n", F.lit("")), F.coalesce("lines", F.array().cast("array<string>")), F.array(F.lit("")))
+    parts = blocks.groupBy("page_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("region_ord", block.alias("b")))), lambda x: x["b"])).alias("lines"))
+    top = F.array(F.concat(F.lit("# "), F.coalesce("title", F.lit(""))), F.concat(F.lit("URL: "), F.coalesce("url", F.lit(""))), F.lit(""))
+    return pages.join(parts, "page_id", "left").select("page_id", F.array_join(_lines(top, F.col("lines")), "\n").alias("content"))
 
 
 def meaningful() -> Column:
@@ -178,8 +264,9 @@ def compact(elements: DataFrame, most_regions: int = 32, most_elements: int = 25
 
 
 def blocked_reason() -> Column:
-    """Why an action target is blocked: inert before disabled; readonly counts only without inert."""
-    return F.when(truthy("inert"), "inert").when(truthy("disabled"), "disabled").when(attr("inert").isNull() & truthy("readonly"), "readonly")
+    """Why an action target is blocked: inert before disabled; readonly, its own or else its state, counts only without inert."""
+    readonly = F.coalesce(F.lower(F.coalesce(attr("readonly"), attr("aria.readonly"))) == "true", F.lit(False))
+    return F.when(truthy("inert"), "inert").when(truthy("disabled"), "disabled").when(attr("inert").isNull() & readonly, "readonly")
 
 
 def action_plan(placed: DataFrame) -> DataFrame:
@@ -190,6 +277,35 @@ def action_plan(placed: DataFrame) -> DataFrame:
     return rows.select("page_id", "el_ord", "element_key", "id", "role", label.alias("label"), non_empty(F.col("html_id")).alias("html_id"), "actions", blocked_reason().isNull().alias("enabled"), blocked_reason().alias("blocked_reason"), *(c.alias(n) for n, c in fields.items()), F.col("action").alias("form_action"), F.col("method").alias("form_method"))
 
 
+# Attributes of a target that a plan names where they aren't empty, where they are there at all, and states.
+PLAN_TEXT = (
+    "href target rel hreflang type referrerpolicy name accept selected_values autocomplete inputmode enterkeyhint autocapitalize dirname form list popovertarget popovertargetaction commandfor command popover "
+    "button_type formaction formmethod formenctype formtarget accesskey title source_role test_id input_type value placeholder step pattern description group"
+).split()
+PLAN_ANY = "download capture multiple size formnovalidate spellcheck draggable minlength maxlength min max checked required readonly disabled inert".split()
+PLAN_STATES = (
+    "expanded readonly pressed selected current controls haspopup invalid placeholder autocomplete active_descendant errormessage keyshortcuts roledescription busy live atomic relevant owns flowto details multiline "
+    "multiselectable orientation sort level posinset setsize grabbed dropeffect valuemin valuemax valuenow valuetext label labelledby describedby checked"
+).split()
+RENAMED_STATES = ("autocomplete", "placeholder", "label")
+
+
+def plan_fields(elements: DataFrame) -> DataFrame:
+    """(page_id, element_key, field, value): every field of every action target, the values as JSON text has them.
+
+    An attribute of a target's own goes before the state of that name. Empty texts and lists are no
+    fields where the plan wants a value. attrs that are no object give no fields.
+    """
+    own, states = F.from_json("attrs", "map<string,string>"), F.from_json(F.get_json_object("attrs", "$.aria"), "map<string,string>")
+    named = F.filter(F.map_entries(own), lambda e: e["value"].isNotNull() & (e["key"].isin(*PLAN_TEXT) & ~e["value"].isin("", "[]", "false") | e["key"].isin(*PLAN_ANY)))
+    renamed = lambda k: F.when(k.isin(*RENAMED_STATES), F.concat(F.lit("aria_"), k)).otherwise(k)
+    extra = F.transform(F.filter(F.map_entries(states), lambda e: e["key"].isin(*PLAN_STATES)), lambda e: F.struct(renamed(e["key"]).alias("key"), e["value"].alias("value")))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    rows = elements.filter(has_actions()).select("page_id", "element_key", F.coalesce(named, none).alias("__own"), F.coalesce(extra, none).alias("__more"))
+    both = F.concat("__own", F.filter("__more", lambda e: ~F.exists("__own", lambda o: o["key"] == e["key"])))
+    return rows.select("page_id", "element_key", F.explode(both).alias("e")).select("page_id", "element_key", F.col("e.key").alias("field"), F.col("e.value").alias("value"))
+
+
 def plan_index(plan: DataFrame, key: str) -> DataFrame:
     """The first target of each page with each value of ``key`` (id, html_id, label, test_id)."""
     rows = plan.filter(F.col(key).isNotNull())

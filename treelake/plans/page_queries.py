@@ -42,18 +42,33 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return latest(table(spark, d, "som_pages"), ["page_id"], ["received_at"])
 
 
-def elements(spark: SparkSession, d: str) -> DataFrame:
-    """som_elements, each element once."""
-    return E.first_elements(table(spark, d, "som_elements"))
+def elements(spark: SparkSession, d: str, columns: str, where: Column | str | None = None, by: str | None = None) -> DataFrame:
+    """Columns of som_elements, each element once: the rows that ``where`` keeps.
+
+    Rows delivered again differ in received_at only, so rows are filtered and columns dropped before
+    repeated ones are: what isn't asked for is neither read nor shuffled. With ``by`` rows are brought
+    together by that key first, which later groupings, windows and joins by it need no shuffle for.
+    """
+    rows = table(spark, d, "som_elements")
+    rows = rows if where is None else rows.filter(where)
+    rows = rows.select("element_key", *columns.split())
+    return (rows.repartition(by) if by else rows).distinct()
+
+
+def regions(spark: SparkSession, d: str, by: str | None = None) -> DataFrame:
+    """som_regions, each region once."""
+    rows = table(spark, d, "som_regions")
+    rows = (rows.repartition(by) if by else rows).groupBy("page_id", "region_ord")
+    return rows.agg(*(F.min(c).alias(c) for c in ("region_id", "role", "label", "action", "method")))
 
 
-def regions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "som_regions").groupBy("page_id", "region_ord")
-    return rows.agg(*(F.min(c).alias(c) for c in ("region_id", "role", "label", "action", "method")))
+def placed(spark: SparkSession, d: str, columns: str, where: Column | str | None = None) -> DataFrame:
+    """Elements beside their regions; a page's rows are together."""
+    return E.with_regions(elements(spark, d, f"page_id region_ord {columns}", where, by="page_id"), regions(spark, d, by="page_id"))
 
 
-def placed(spark: SparkSession, d: str) -> DataFrame:
-    return E.with_regions(elements(spark, d), regions(spark, d))
+#: Columns that an action plan reads.
+_TARGET = "el_ord id html_id role text label actions attrs"
 
 
 def round6(c: Column) -> Column:
@@ -81,48 +96,79 @@ def grade_distribution(spark: SparkSession, d: str) -> DataFrame:
  count(*) FILTER (WHERE role IN ('link','button','text_input','textarea','select','checkbox','radio','details') OR trim(coalesce(text,'')) <> '' OR trim(coalesce(label,'')) <> '') AS meaningful FROM {_E} GROUP BY 1""")
 def element_counts(spark: SparkSession, d: str) -> DataFrame:
     """Elements of each page: all, with actions, of interactive roles, meaningful."""
-    rows = elements(spark, d).groupBy("page_id")
-    return rows.agg(F.count("*").alias("element_count"), F.count_if(E.has_actions()).alias("with_actions"), F.count_if(E.is_interactive()).alias("interactive"), F.count_if(E.meaningful()).alias("meaningful"))
+    flags = {"with_actions": E.has_actions(), "interactive": E.is_interactive(), "meaningful": E.meaningful()}
+    rows = table(spark, d, "som_elements").select("element_key", "page_id", *(c.alias(n) for n, c in flags.items())).distinct().groupBy("page_id")
+    return rows.agg(F.count("*").alias("element_count"), *(F.count_if(n).alias(n) for n in flags))
 
 
 @query(f"SELECT element_key, page_id, id, role FROM {_E} WHERE len(actions) > 0")
 def interactive_elements(spark: SparkSession, d: str) -> DataFrame:
-    return elements(spark, d).filter(E.has_actions()).select("element_key", "page_id", "id", "role")
+    return elements(spark, d, "page_id id role", E.has_actions())
 
 
 @query(f"""SELECT page_id, href, min(el_ord) AS first_ord, arg_min(coalesce(text, label), el_ord) AS link_text FROM (SELECT *, {_attr('href')} AS href FROM {_E} WHERE role = 'link') WHERE href <> '' AND href <> '#' GROUP BY 1, 2""")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of each page, each target once, in order of first appearance."""
-    return E.links(elements(spark, d))
+    return E.links(elements(spark, d, "page_id el_ord role text label attrs", "role = 'link'", by="page_id"))
 
 
 @query(f"""SELECT DISTINCT page_id, regexp_replace(regexp_replace(href, '#.*$', ''), '/$', '') AS target FROM (SELECT page_id, {_attr('href')} AS href FROM {_E} WHERE role = 'link') WHERE href <> '' AND href <> '#'""")
 def link_targets(spark: SparkSession, d: str) -> DataFrame:
-    rows = elements(spark, d).filter(F.col("role") == "link").select("page_id", E.attr("href").alias("href")).filter("href <> '' and href <> '#'")
+    rows = table(spark, d, "som_elements").filter("role = 'link'").select("page_id", E.attr("href").alias("href")).filter("href <> '' and href <> '#'")
     return rows.select("page_id", E.normal_href(F.col("href")).alias("target")).distinct()
 
 
 @query(f"SELECT page_id, el_ord, id, coalesce(try_cast({_attr('level')} AS INTEGER), 0) AS level, text FROM {_E} WHERE role = 'heading'")
 def page_headings(spark: SparkSession, d: str) -> DataFrame:
-    return E.headings(elements(spark, d))
+    return E.headings(elements(spark, d, "page_id el_ord id role text attrs", "role = 'heading'")).drop("element_key")
+
 
+# attributes that renderers read, and an element's visible lines, as SQL
+_RENDERED = """json_transform(CASE WHEN json_valid(attrs) AND json_type(attrs) = 'OBJECT' THEN attrs END, '{"items":[{"text":"VARCHAR"}],"options":[{"text":"VARCHAR"}],"headers":["VARCHAR"],"rows":[["VARCHAR"]],"caption":"VARCHAR","level":"VARCHAR","href":"VARCHAR","alt":"VARCHAR","src":"VARCHAR","placeholder":"VARCHAR","checked":"VARCHAR"}')"""
+_ROWS = "CASE WHEN len(a.headers) > 0 THEN [array_to_string(a.headers, ' | ')] END, list_transform(list_filter(a.rows, lambda r: len(r) > 0), lambda r: array_to_string(r, ' | '))"
+_VISIBLE = f"list_filter(flatten([[coalesce(nullif(text, ''), nullif(label, ''))], list_filter(list_transform(a.items, lambda i: i.text), lambda t: t <> ''), list_filter(list_transform(a.options, lambda o: o.text), lambda t: t <> ''), {_ROWS}]), lambda t: t IS NOT NULL)"
+_EXTRACTED = f"list_filter(flatten([[nullif(text, '')], list_transform(list_filter(a.items, lambda i: i.text IS NOT NULL), lambda i: '• ' || i.text), [nullif(a.caption, '')], {_ROWS}]), lambda t: t IS NOT NULL)"
+_A = f"(SELECT *, {_RENDERED} AS a FROM {_E})"
 
-@query(f"SELECT page_id, string_agg(v, chr(10) ORDER BY el_ord, element_key) AS content FROM (SELECT page_id, el_ord, element_key, coalesce(nullif(text,''), label) AS v FROM {_E}) WHERE v <> '' GROUP BY 1")
+
+@query(f"SELECT page_id, array_to_string(flatten(list({_VISIBLE} ORDER BY el_ord, element_key)), chr(10)) AS content FROM {_A} GROUP BY 1")
 def page_text(spark: SparkSession, d: str) -> DataFrame:
-    return E.page_text(elements(spark, d))
+    """The visible text of each page, list items, options and table cells included."""
+    return E.page_text(elements(spark, d, "page_id el_ord text label attrs", by="page_id"))
 
 
-@query(f"SELECT page_id, region_ord, string_agg(v, chr(10) ORDER BY el_ord, element_key) AS content FROM (SELECT page_id, region_ord, el_ord, element_key, coalesce(nullif(text,''), label) AS v FROM {_E}) WHERE v <> '' GROUP BY 1, 2")
+@query(f"SELECT page_id, region_ord, array_to_string(flatten(list({_VISIBLE} ORDER BY el_ord, element_key)), chr(10)) AS content FROM {_A} GROUP BY 1, 2")
 def region_text(spark: SparkSession, d: str) -> DataFrame:
-    return E.ordered_text(elements(spark, d), ["page_id", "region_ord"], F.coalesce(E.non_empty(F.col("text")), F.col("label")))
+    return E.page_text(elements(spark, d, "page_id region_ord el_ord text label attrs", by="page_id"), ["page_id", "region_ord"])
+
+
+@query(f"""WITH b AS (SELECT page_id, array_to_string(flatten(list({_EXTRACTED} ORDER BY el_ord, element_key)), chr(10)) AS t, len(flatten(list({_EXTRACTED}))) AS n FROM {_A} GROUP BY 1), w AS (SELECT page_id, CASE WHEN title <> '' THEN title || chr(10) || CASE WHEN n > 0 THEN chr(10) || t ELSE '' END ELSE coalesce(t, '') END AS t FROM {_P} LEFT JOIN b USING (page_id))
+ SELECT page_id, CASE WHEN length(t) > 300 THEN regexp_replace(left(t, 300), '^(.*)\\s.*?$', '\\1', 's') || '...' ELSE t END AS content FROM w""")
+def extracted_text(spark: SparkSession, d: str) -> DataFrame:
+    """Title and text of each page, cut at white space to 300 characters; the cut is the feature."""
+    return E.extract_text(elements(spark, d, "page_id el_ord text attrs", by="page_id"), pages(spark, d), 300)
+
+
+@query(f"""WITH l AS (SELECT page_id, region_ord, el_ord, element_key, CASE
+ WHEN role = 'heading' THEN [repeat('#', coalesce(nullif(try_cast(a.level AS INTEGER), 0), 1) + 2) || ' ' || coalesce(text, '')] WHEN role = 'paragraph' THEN [coalesce(text, ''), ''] WHEN role = 'link' THEN ['[' || coalesce(nullif(text, ''), label, '') || '](' || CASE WHEN a IS NULL THEN '#' ELSE coalesce(a.href, 'None') END || ')']
+ WHEN role = 'button' THEN ['[Button: ' || coalesce(text, '') || ']'] WHEN role = 'image' THEN ['![' || CASE WHEN a IS NULL THEN '' ELSE coalesce(a.alt, 'None') END || '](' || CASE WHEN a IS NULL THEN '' ELSE coalesce(a.src, 'None') END || ')']
+ WHEN role IN ('text_input', 'textarea') THEN ['[Input: ' || coalesce(label, '') || CASE WHEN a.placeholder <> '' THEN ' placeholder="' || a.placeholder || '"' ELSE '' END || ']'] WHEN role = 'select' THEN list_concat(['[Select: ' || coalesce(nullif(label, ''), text, '') || ']'], list_transform(list_filter(a.options, lambda o: o.text <> ''), lambda o: '- ' || o.text))
+ WHEN role IN ('checkbox', 'radio') THEN ['[' || CASE WHEN a.checked NOT IN ('false', '') THEN 'x' ELSE '' END || '] ' || coalesce(nullif(text, ''), label, '')] WHEN role = 'list' THEN list_transform(a.items, lambda i: '- ' || coalesce(i.text, ''))
+ WHEN role = 'table' THEN list_concat(CASE WHEN a.caption <> '' THEN [a.caption, ''] END, CASE WHEN len(a.headers) > 0 THEN ['| ' || array_to_string(a.headers, ' | ') || ' |', '| ' || array_to_string(list_transform(a.headers, lambda h: '---'), ' | ') || ' |'] END, list_transform(list_filter(a.rows, lambda r: len(r) > 0), lambda r: '| ' || array_to_string(r, ' | ') || ' |'), CASE WHEN a IS NULL AND text <> '' THEN [text] END,
+  CASE WHEN a.caption <> '' OR len(a.headers) > 0 OR len(list_filter(a.rows, lambda r: len(r) > 0)) > 0 OR a IS NULL AND text <> '' THEN [''] END)
+ WHEN role = 'separator' THEN ['---'] WHEN text <> '' THEN [text] ELSE [] END AS lines FROM {_A}),
+ b AS (SELECT page_id, region_ord, flatten(list(coalesce(lines, []) ORDER BY el_ord, element_key)) AS lines FROM l GROUP BY 1, 2),
+ r AS (SELECT page_id, flatten(list(list_concat(['## ' || upper(left(region_role, 1)) || lower(substr(region_role, 2)) || CASE WHEN region_label <> '' THEN ': ' || region_label ELSE '' END, ''], coalesce(lines, []), ['']) ORDER BY region_ord)) AS lines FROM {_R} LEFT JOIN b USING (page_id, region_ord) GROUP BY 1)
+ SELECT page_id, array_to_string(list_concat(['# ' || coalesce(title, ''), 'URL: ' || coalesce(url, ''), ''], coalesce(lines, [])), chr(10)) AS content FROM {_P} LEFT JOIN r USING (page_id)""")
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Each page as Markdown: title, url, its regions and their elements."""
+    return E.page_markdown(elements(spark, d, "page_id region_ord el_ord role text label attrs", by="page_id"), pages(spark, d), regions(spark, d, by="page_id"))
 
 
-@query(f"""SELECT page_id, string_agg(v, chr(10) || chr(10) ORDER BY el_ord, element_key) AS content FROM (SELECT page_id, el_ord, element_key, CASE WHEN role = 'heading' THEN repeat('#', least(coalesce(try_cast({_attr('level')} AS INTEGER), 1) + 2, 6)) || ' ' || words
- WHEN role = 'link' THEN '[' || words || '](' || coalesce({_attr('href')}, '') || ')' WHEN role = 'image' THEN '![' || coalesce(nullif({_attr('alt')}, ''), words) || '](' || coalesce({_attr('src')}, '') || ')'
- WHEN role = 'list' AND CASE WHEN json_valid(attrs) THEN json_array_length(attrs, '$.items') END > 0 THEN array_to_string(list_transform(json_extract_string(attrs, '$.items[*].text'), lambda x: '- ' || coalesce(x, '')), chr(10)) WHEN role = 'button' THEN '[' || words || ']' ELSE words END AS v
- FROM (SELECT *, coalesce(nullif(text, ''), label, '') AS words FROM {_E})) WHERE v <> '' GROUP BY 1""")
-def page_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return E.page_markdown(elements(spark, d))
+@query("SELECT record_id, CASE WHEN strlen(som_json) > 4000 THEN '{\"truncated\": true, \"original_bytes\": ' || strlen(som_json) || ', \"message\": \"SOM exceeded budget of 1000 tokens\"}' ELSE som_json END AS delivered FROM (SELECT DISTINCT record_id, som_json FROM som_records)")
+def budgeted_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Trees as delivered within 1,000 tokens, or a note in place of a larger one; the budget is the feature."""
+    return table(spark, d, "som_records").select("record_id", E.within_budget(F.col("som_json"), 1000).alias("delivered")).distinct()
 
 
 @query(f"SELECT page_id, CASE WHEN som_bytes > 0 THEN round(html_bytes / som_bytes::DOUBLE, 6) END AS compression_ratio, CAST(ceil(som_bytes / 4.0) AS BIGINT) AS tokens, html_bytes // 4 AS html_tokens, som_bytes // 4 AS som_tokens, CASE WHEN html_bytes // 4 > 0 THEN round(100.0 * (1 - (som_bytes // 4) / (html_bytes // 4)::DOUBLE), 1) END AS savings_percent FROM {_P}")
@@ -140,79 +186,90 @@ def _select_sql(match: str) -> str:
 @query(_select_sql("region_role = 'main'"))
 def select_main(spark: SparkSession, d: str) -> DataFrame:
     """The main region's elements of each page, or the whole page."""
-    return E.select(placed(spark, d), "main").select("element_key")
+    return E.select(placed(spark, d, "html_id"), "main").select("element_key")
 
 
 @query(_select_sql("role = 'text_input'"))
 def select_inputs(spark: SparkSession, d: str) -> DataFrame:
-    return E.select(placed(spark, d), "textbox").select("element_key")
+    return E.select(placed(spark, d, "role"), "textbox").select("element_key")
 
 
 @query(_select_sql("list_contains(list_transform(actions, lambda x: lower(x)), 'click')"))
 def select_click(spark: SparkSession, d: str) -> DataFrame:
-    return E.select(placed(spark, d), "action: Click").select("element_key")
+    return E.select(placed(spark, d, "actions"), "action: Click").select("element_key")
 
 
 @query(_select_sql("region_id = 'r_footer'"))
 def select_region_id(spark: SparkSession, d: str) -> DataFrame:
-    return E.select(placed(spark, d), "#r_footer").select("element_key")
+    return E.select(placed(spark, d, "html_id"), "#r_footer").select("element_key")
 
 
 @query(f"SELECT element_key FROM {_E} WHERE contains(lower(text), 'garden') OR contains(lower(label), 'garden')")
 def find_text(spark: SparkSession, d: str) -> DataFrame:
-    return elements(spark, d).filter(E.by_text("Garden")).select("element_key")
+    return elements(spark, d, "", E.by_text("Garden"))
 
 
 @query(f"SELECT element_key, role FROM {_E} WHERE list_contains(hints, 'primary') AND role IN ('paragraph', 'heading')")
 def find_hint(spark: SparkSession, d: str) -> DataFrame:
-    rows = elements(spark, d).filter(E.by_hint("primary") & (E.by_role("Paragraph") | E.by_role("heading")))
-    return rows.select("element_key", "role")
+    return elements(spark, d, "role", E.by_hint("primary") & (E.by_role("Paragraph") | E.by_role("heading")))
 
 
 @query(f"""WITH x AS (SELECT page_id, element_key, role, label, text, {_attr('href')} AS href, lower({_attr('disabled')}) = 'true' AS disabled FROM {_E} WHERE len(actions) > 0)
  SELECT page_id, count(*) AS total, count(*) FILTER (WHERE NOT coalesce(disabled, false)) AS enabled, count(*) FILTER (WHERE role = 'link' AND contains(lower(coalesce(label, text)), 'news')) AS matched FROM x GROUP BY 1""")
 def interactive_filter(spark: SparkSession, d: str) -> DataFrame:
     """Per page: action targets in all, enabled ones, and those a filter on role and label keeps."""
-    rows = elements(spark, d).filter(E.has_actions()).groupBy("page_id")
+    rows = elements(spark, d, "page_id role text label attrs", E.has_actions()).groupBy("page_id")
     named = (F.col("role") == "link") & E.parts(F.coalesce("label", "text"), "news")
     return rows.agg(F.count("*").alias("total"), F.count_if(~E.truthy("disabled")).alias("enabled"), F.count_if(named).alias("matched"))
 
 
 @query(f"SELECT page_id, arg_min(text, struct_pack(a := el_ord, b := element_key)) AS value, arg_min(id, struct_pack(a := el_ord, b := element_key)) AS provenance FROM (SELECT page_id, el_ord, element_key, coalesce(text, chr(0)) AS t, text, id FROM {_E} WHERE role = 'heading' AND {_attr('level')} = '1') GROUP BY 1")
 def first_heading(spark: SparkSession, d: str) -> DataFrame:
-    return E.field(elements(spark, d), "heading", 1)
+    return E.field(elements(spark, d, "page_id el_ord id role text attrs", "role = 'heading'", by="page_id"), "heading", 1)
 
 
 @query(f"SELECT page_id, arg_min(text, struct_pack(a := el_ord, b := element_key)) AS value, arg_min(id, struct_pack(a := el_ord, b := element_key)) AS provenance FROM {_E} WHERE regexp_matches(text, '[0-9]+ crowns') GROUP BY 1")
 def first_price(spark: SparkSession, d: str) -> DataFrame:
-    return E.field_matching(elements(spark, d), r"[0-9]+ crowns")
+    return E.field_matching(elements(spark, d, "page_id el_ord id text", F.col("text").rlike(r"[0-9]+ crowns"), by="page_id"), r"[0-9]+ crowns")
 
 
 _PLAN = f"""SELECT e.page_id, el_ord, element_key, id, role, coalesce(nullif(label,''), nullif(text,'')) AS label, nullif(html_id,'') AS html_id, b IS NULL AS enabled, b AS blocked_reason, nullif(href,'') AS href, nullif(input_type,'') AS input_type, form_action, form_method FROM
- (SELECT *, {_attr('href')} AS href, {_attr('input_type')} AS input_type, CASE WHEN lower({_attr('inert')}) = 'true' THEN 'inert' WHEN lower({_attr('disabled')}) = 'true' THEN 'disabled' WHEN {_attr('inert')} IS NULL AND lower({_attr('readonly')}) = 'true' THEN 'readonly' END AS b FROM {_E} WHERE len(actions) > 0) e
+ (SELECT *, {_attr('href')} AS href, {_attr('input_type')} AS input_type, CASE WHEN lower({_attr('inert')}) = 'true' THEN 'inert' WHEN lower({_attr('disabled')}) = 'true' THEN 'disabled' WHEN {_attr('inert')} IS NULL AND lower(coalesce({_attr('readonly')}, {_attr('aria.readonly')})) = 'true' THEN 'readonly' END AS b FROM {_E} WHERE len(actions) > 0) e
  LEFT JOIN {_R} r ON r.page_id = e.page_id AND r.region_ord = e.region_ord"""
 
 
 @query(_PLAN)
 def action_plan(spark: SparkSession, d: str) -> DataFrame:
     """Action targets of each page with state and form context."""
-    plan = E.action_plan(placed(spark, d))
+    plan = E.action_plan(placed(spark, d, _TARGET, E.has_actions()))
     return plan.select("page_id", "el_ord", "element_key", "id", "role", "label", "html_id", "enabled", "blocked_reason", "href", "input_type", "form_action", "form_method")
 
 
+_FIELDS = f"""WITH t AS (SELECT page_id, element_key, attrs, json_extract(attrs, '$.aria') AS aria FROM {_E} WHERE len(actions) > 0 AND json_valid(attrs) AND json_type(attrs) = 'OBJECT'),
+ o AS (SELECT * FROM (SELECT page_id, element_key, k AS field, json_extract_string(attrs, '$."' || k || '"') AS value FROM (SELECT *, unnest(json_keys(attrs)) AS k FROM t)) WHERE value IS NOT NULL AND (field IN ({", ".join(f"'{n}'" for n in E.PLAN_TEXT)}) AND value NOT IN ('', '[]', 'false') OR field IN ({", ".join(f"'{n}'" for n in E.PLAN_ANY)}))),
+ m AS (SELECT page_id, element_key, CASE WHEN k IN ('autocomplete', 'placeholder', 'label') THEN 'aria_' || k ELSE k END AS field, json_extract_string(aria, '$."' || k || '"') AS value FROM (SELECT *, unnest(json_keys(aria)) AS k FROM t WHERE json_type(aria) = 'OBJECT') WHERE k IN ({", ".join(f"'{n}'" for n in E.PLAN_STATES)}))
+ SELECT * FROM o UNION ALL SELECT m.* FROM m ANTI JOIN o ON m.element_key = o.element_key AND m.field = o.field"""
+
+
+@query(_FIELDS)
+def action_plan_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every attribute and state that an action plan names, a row each."""
+    return E.plan_fields(elements(spark, d, "page_id actions attrs", E.has_actions() & F.col("attrs").isNotNull()))
+
+
 @query()
 def action_plan_keys(spark: SparkSession, d: str) -> DataFrame:
     """The stable key of each action target."""
     from treelake.functions.digests import action_keys
 
-    plan = E.action_plan(placed(spark, d))
+    plan = E.action_plan(placed(spark, d, _TARGET, E.has_actions()))
     parts = F.array("id", "role", "label", F.array_join(F.array_sort("actions"), ","), "name", "href", "input_type", "group", "placeholder")
     return plan.select("element_key", action_keys(parts).alias("cache_key"))
 
 
 @query(f"SELECT page_id, label, arg_min(element_key, struct_pack(a := el_ord, b := element_key)) AS element_key FROM ({_PLAN}) WHERE label IS NOT NULL GROUP BY 1, 2")
 def action_index(spark: SparkSession, d: str) -> DataFrame:
-    return E.plan_index(E.action_plan(placed(spark, d)), "label")
+    return E.plan_index(E.action_plan(placed(spark, d, _TARGET, E.has_actions())), "label")
 
 
 @query(f"""SELECT element_key FROM (SELECT *, row_number() OVER (PARTITION BY page_id, region_ord, role ORDER BY el_ord, element_key) AS nth FROM
@@ -220,19 +277,19 @@ def action_index(spark: SparkSession, d: str) -> DataFrame:
  WHERE coalesce(target, '') = '' OR seen = 1) WHERE CASE role WHEN 'link' THEN nth <= CASE WHEN region_role = 'navigation' THEN 3 ELSE 5 END WHEN 'paragraph' THEN nth <= 2 ELSE true END""")
 def region_budgets(spark: SparkSession, d: str) -> DataFrame:
     """Elements within the budgets of their regions, here small ones."""
-    return E.budgets(placed(spark, d), most_links=5, most_navigation_links=3, most_paragraphs=2).select("element_key")
+    return E.budgets(placed(spark, d, "el_ord role attrs"), most_links=5, most_navigation_links=3, most_paragraphs=2).select("element_key")
 
 
 @query(f"SELECT page_id, place, left(id, 256) AS id, role, left(text, 512) AS text, left(label, 512) AS label FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY el_ord, element_key) AS place FROM {_E} WHERE region_ord < 32) WHERE place <= 256")
 def compact_structure(spark: SparkSession, d: str) -> DataFrame:
     """The bounded structure of each page; the bounds are the feature."""
-    return E.compact(elements(spark, d)).drop("actions")
+    return E.compact(elements(spark, d, "page_id region_ord el_ord id role text label actions", "region_ord < 32", by="page_id")).drop("actions")
 
 
 @query(f"""WITH p AS (SELECT e.*, region_role, region_label FROM {_E} e LEFT JOIN {_R} r USING (page_id, region_ord)), n AS (SELECT DISTINCT page_id, region_ord, -1 AS el_ord, -1 AS element_key, region_role AS role, region_label AS name FROM p UNION ALL SELECT page_id, region_ord, el_ord, element_key, role, coalesce(label, text) FROM p),
  k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY region_ord, el_ord, element_key) AS node_id FROM n) SELECT page_id, node_id, CASE WHEN el_ord >= 0 THEN min(node_id) OVER (PARTITION BY page_id, region_ord) ELSE 0 END AS parent_id, role, name FROM k""")
 def accessibility_tree(spark: SparkSession, d: str) -> DataFrame:
-    return E.accessibility_nodes(placed(spark, d))
+    return E.accessibility_nodes(placed(spark, d, "el_ord role text label"))
 
 
 @query(f"""SELECT page_id, region_ord, CASE WHEN n = 0 THEN 'r_' || region_role ELSE 'r_' || region_role || '_' || n END AS generated_id FROM (SELECT page_id, region_ord, region_role, row_number() OVER (PARTITION BY page_id, region_role ORDER BY region_ord) - 1 AS n FROM {_R})""")
@@ -249,7 +306,7 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     """Content-derived ids of elements, numbered where they fall together."""
     name = F.left(F.trim(F.lower(F.coalesce("label", "text", F.lit("")))), F.lit(100))
     base = F.concat(F.lit("e_"), F.substring(F.sha2(F.concat_ws("|", "site", "role", name, F.col("region_ord").cast("string")), 256), 1, 12))
-    rows = elements(spark, d).filter("site is not null and role is not null and region_ord is not null").withColumn("base", base)
+    rows = elements(spark, d, "page_id region_ord el_ord site role text label", "site is not null and role is not null and region_ord is not null", by="page_id").withColumn("base", base)
     n = F.row_number().over(Window.partitionBy("page_id", "base").orderBy("el_ord", "element_key"))
     return rows.withColumn("n", n).select("element_key", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("n"))).alias("stable_id"))
 
@@ -276,9 +333,13 @@ _ELEMENT_CHANGES = f"""WITH m AS {_SAME_R}, e AS {_LAST_E}, p AS {_PAIRS}, o AS
  FROM o FULL JOIN n ON o.pair_id = n.pair_id AND o.region_id = n.region_id AND o.id = n.id) WHERE change <> 'same'"""
 
 
+#: Columns that page diffs read.
+_COMPARED = "page_id region_ord el_ord id role text attrs actions hints"
+
+
 @query(_ELEMENT_CHANGES)
 def element_changes(spark: SparkSession, d: str) -> DataFrame:
-    return page_diff.element_changes(elements(spark, d), regions(spark, d), page_diff.captures(pages(spark, d)))
+    return page_diff.element_changes(elements(spark, d, _COMPARED), regions(spark, d), page_diff.captures(pages(spark, d)))
 
 
 @query(f"""WITH r AS ({SQL['region_changes']}), e AS ({_ELEMENT_CHANGES}), rs AS (SELECT pair_id, count(*) FILTER (change = 'added') AS ra, count(*) FILTER (change = 'removed') AS rr, count(*) FILTER (change = 'modified') AS rm FROM r GROUP BY 1),
@@ -287,7 +348,7 @@ def element_changes(spark: SparkSession, d: str) -> DataFrame:
  coalesce(pc, false) AS has_price_changes, coalesce(cc, false) AS has_content_changes, coalesce(ra, 0) + coalesce(rr, 0) + coalesce(ea, 0) + coalesce(er, 0) > 0 AS has_structural_changes FROM {_PAIRS} LEFT JOIN rs USING (pair_id) LEFT JOIN es USING (pair_id)""")
 def page_diffs(spark: SparkSession, d: str) -> DataFrame:
     """Counts and flags of every recapture."""
-    return page_diff.summary(elements(spark, d), regions(spark, d), page_diff.captures(pages(spark, d)))
+    return page_diff.summary(elements(spark, d, _COMPARED), regions(spark, d), page_diff.captures(pages(spark, d)))
 
 
 _KEY = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^([^?]*[^/?])/+(\\?.*)?$', '\\1\\2')"
