@@ -151,7 +151,7 @@ def test_renderers(spark):
     cut = {r.page_id: r.content for r in E.extract_text(df, pages, 12).collect()}
     assert cut == {1: "T\n\n• one\n• ...", 2: ""} and E.page_text(df.limit(0)).count() == 0
     longer = spark.createDataFrame([("word",), ("twowords",), ("a b c d e f",), (None,)], "t string").select(E.cut_at_space(F.col("t"), 6).alias("t"))
-    assert [r.t for r in longer.collect()] == ["word", "twowor...", "a b...", None]
+    assert [r.t for r in longer.collect()] == ["word", "twowor...", "a b c...", None]
     budget = spark.createDataFrame([("x" * 8,), ("é" * 5,)], "t string").select(E.within_budget(F.col("t"), 2).alias("t")).collect()
     assert budget[0].t == "x" * 8 and '"original_bytes": 10' in budget[1].t
 
