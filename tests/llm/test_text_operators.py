@@ -185,6 +185,71 @@ def test_best_fit_keeps_every_constraint():
         assert filled.sum() / (len(filled) * 512) > 0.9
 
 
+def _plain_best_fit(sizes, capacity, score, most_documents, attention):
+    limit = np.array([capacity, most_documents, attention * capacity**2])
+    scale = np.array(packing.WEIGHTS) / limit**2
+    bins, closed = [], []
+    for i in np.argsort(-sizes, kind="stable"):
+        item = np.array([sizes[i], 1.0, float(sizes[i]) ** 2])
+        able = [b for b in range(len(bins)) if not closed[b] and (bins[b] >= item).all()]
+        costs = [((bins[b] - item) ** 2) @ scale if score == "norm" else -((bins[b] * item) @ scale) for b in able]
+        if able:
+            at = able[int(np.argmin(costs))]
+        else:
+            bins.append(limit.copy())
+            closed.append(False)
+            at = len(bins) - 1
+        bins[at] = bins[at] - item
+        closed[at] = bins[at][0] < packing.CLOSED_AT or bins[at][1] < 1 or bins[at][2] < packing.CLOSED_AT**2
+    return len(bins)
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_best_fit_finds_what_a_plain_search_finds(score, monkeypatch):
+    monkeypatch.setattr(packing, "STEP", 3)
+    rng = np.random.default_rng(9)
+    for _ in range(12):
+        sizes = rng.integers(1, 257, 160)
+        bins = packing.best_fit(sizes, 256, score, most_documents=7, attention=0.6)
+        assert bins.max() + 1 == _plain_best_fit(sizes, 256, score, 7, 0.6)
+
+
+def test_each_constraint_binds():
+    short, long, mixed = np.full(600, 5), np.full(40, 300), np.r_[np.full(40, 300), np.full(200, 90)]
+    assert np.bincount(packing.best_fit(short, 512)).max() == 512 // packing.TOKENS_A_DOCUMENT
+    assert packing.best_fit(short, 512, most_documents=10**6).max() + 1 == 6
+    assert packing.best_fit(long, 512).max() + 1 == 40
+    cost = np.bincount(packing.best_fit(np.r_[np.full(40, 400), np.full(200, 90)], 512), np.r_[np.full(40, 400), np.full(200, 90)] ** 2.0)
+    assert cost.max() <= packing.ATTENTION * 512**2
+    tight, loose = packing.best_fit(mixed, 512, attention=0.4).max(), packing.best_fit(mixed, 512, attention=1.0).max()
+    assert tight > loose
+    # one that alone costs more stands alone
+    assert (np.bincount(packing.best_fit(np.r_[np.full(3, 500), np.full(30, 10)], 512))[:3] == 1).all()
+    assert packing.best_fit(np.zeros(0, np.int64), 512).size == 0
+
+
+def test_rounds_keep_shards_bounded(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 200)
+    monkeypatch.setattr(packing, "PACKED", packing.PACKED + ", held int")
+    whole = packing._pack
+
+    def counted(score):
+        def run(frame):
+            return whole(score)(frame).assign(held=len(frame))
+
+        return run
+
+    monkeypatch.setattr(packing, "_pack", counted)
+    # lengths that don't pair up: every container stays badly filled, in every round
+    docs = spark.createDataFrame([(i, "word " * (70 + i % 9)) for i in range(3000)], "doc_id bigint, text string")
+    packs = spark.createDataFrame([("a", 128)], "pack_name string, capacity_tokens int")
+    got = packing.pack(docs, packs)
+    seen = [r.held for r in got.select("held").distinct().collect()]
+    assert max(seen) < 400 and got.count() == got.select("doc_id").distinct().count() == 3000
+    report = packing.fill_report(got).first()
+    assert report.over_capacity == 0 and report.well_filled == 0.0 and report.pieces == 3000
+
+
 def test_packing(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(["harbour", "the", "garden", "ferry"]) for _ in range(rng.randint(1, 90))), T0) for i in range(400)] + [(900, "word " * 700, T0), (901, "", T0), (902, None, T0), (None, "x", T0)]
@@ -202,7 +267,9 @@ def test_packing(spark):
         assert by_doc == {i: len(encode(t)) for i, t, _ in rows if i is not None and t}
         assert max(by_bin.values()) <= capacity and all(r.piece == 0 for r in own if by_doc[r.doc_id] <= capacity)
         assert sum(by_bin.values()) / (capacity * len(by_bin)) > 0.93
-    assert packing.pack(docs.limit(0), packs).count() == 0
+    assert packing.pack(docs.limit(0), packs).count() == 0 == packing.pack(docs, packs.limit(0)).count()
+    with pytest.raises(ValueError):
+        packing.pack(docs, spark.range(70).selectExpr("cast(id as string) as pack_name", "99 as capacity_tokens"))
 
 
 # problem 9
