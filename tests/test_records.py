@@ -1,6 +1,8 @@
 import json
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from treelake.operators import drift, nested, snapshots
 from treelake.operators.dedupe import latest
 from treelake.plans import record_queries
@@ -118,3 +120,20 @@ def test_all_feeds_are_in_the_consistent_table(spark, tmp_path):
     assert [(o.field.rsplit(".", 1)[-1], o.value) for o in page.others] == [("html_bytes", "many"), ("level", "2"), ("level", "two"), ("id", "a"), ("id", "b"), ("id", "r")]
     casts = {(r.field, r.raw_type): (r.n_values, r.n_failed) for r in record_queries.p7_failed_casts(spark, str(tmp_path)).collect()}
     assert casts["regions[].elements[].attrs.level", "string"] == (1, 1) and casts["regions[].elements[].id", "string"] == (2, 0) and casts["meta.html_bytes", "string"] == (1, 1) and casts["unheard_of", "boolean"] == (1, 0)
+
+
+def test_states_with_marks_and_repeated_keys_are_read(spark):
+    tree = '{"regions":[{"id":"r","elements":[{"id":"%s","role":"link"}]}]}'
+    rows = [("s", 1, None, "\ufeff" + tree % "a", None), ("s", 2, None, tree.replace('"role":"link"', '"role":"x","role":"link"') % "b", None), ("s", 3, None, tree[:-3] % "c", None), ("t", 5, None, tree % "a", tree % "d"), ("t", 7, None, tree % "a", "torn {"), ("u", 2, None, '{"regions":[]}', tree % "a")]
+    df = spark.createDataFrame(rows, "session_id string, som_cursor bigint, received_at timestamp, current_som string, previous_som string")
+    want = [("s", 2, "a", "removed"), ("s", 2, "b", "added"), ("t", 5, "a", "added"), ("t", 5, "d", "removed"), ("u", 2, "a", "removed")]
+    assert sorted(map(tuple, snapshots.session_changes(df).collect())) == want
+    assert sorted(map(tuple, snapshots.session_changes(df.drop("received_at").withColumn("tie", F.lit(1)).withColumn("state", F.lit(2))).collect())) == want
+
+
+def test_a_torn_delivery_never_hides_a_whole_one(spark):
+    whole = '\ufefflog line\n{"regions":[{"id":"r","id":"r2","elements":[{"id":"a"}]}]}'
+    rows = [(1, "2026-01-01", whole), (1, "2026-01-02", whole[:-4]), (2, "2026-01-01", whole), (2, "2026-01-02", '{"regions":[]}'), (3, "2026-01-01", None)]
+    df = spark.createDataFrame(rows, "record_id bigint, received_at string, som_json string").withColumn("nodes", F.lit("clash")).withColumn("k", F.lit(0))
+    got = [(r.record_key, r.node_ord, r.kind) for r in nested.emit_nodes(df).orderBy("record_key", "node_ord").collect()]
+    assert got == [(1, 0, "region"), (1, 1, "element")]

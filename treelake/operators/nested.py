@@ -7,18 +7,17 @@ tagged rows are written partitioned by tag, and each tag is then read with its o
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treelake.operators.dedupe import latest
 from treelake.sources.payload import as_list, as_object, read_tree
 
 TAGGED = "record_key bigint, node_ord int, parent_ord int, tag string, kind string, node string"
-_ARROW = pa.schema([("record_key", pa.int64()), ("node_ord", pa.int32()), ("parent_ord", pa.int32()), ("tag", pa.string()), ("kind", pa.string()), ("node", pa.string())])
 #: Tag (table) of each kind of node.
 TAGS = {"region": "regions", "element": "elements", "child": "elements", "shadow": "elements", "option": "options", "item": "items"}
 SCHEMAS = {
@@ -70,19 +69,31 @@ def _payload(node: object, kind: str) -> str:
     return json.dumps({k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in own.items()}, ensure_ascii=False)
 
 
+_NODE = pa.struct([("parent_ord", pa.int32()), ("kind", pa.string()), ("node", pa.string())])
+_NODES_DDL = "k bigint, r timestamp, t binary, nodes array<struct<parent_ord:int,kind:string,node:string>>"
+
+
 def _emitter(payloads: bool):
+    """One row per readable payload: its key, when it was received, its digest and its nodes in pre-order."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            kept, offsets, ties = [], [0], []
+            parents, kinds, nodes = [], [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
                 tree = read_tree(text)
-                for at, parent, kind, node in walk(tree) if tree is not None else ():
-                    for column, value in zip(out, (key, at, parent, TAGS[kind], kind, _payload(node, kind) if payloads else None)):
-                        column.append(value)
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ARROW)], schema=_ARROW)
-                    out = [[], [], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ARROW)], schema=_ARROW)
+                if tree is None:
+                    continue
+                for _, parent, kind, node in walk(tree):
+                    parents.append(parent)
+                    kinds.append(kind)
+                    nodes.append(_payload(node, kind) if payloads else None)
+                kept.append(row)
+                offsets.append(len(parents))
+                ties.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+            flat = pa.StructArray.from_arrays([pa.array(parents, pa.int32()), pa.array(kinds, pa.string()), pa.array(nodes, pa.string())], fields=list(_NODE))
+            own = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(ties, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["k", "r", "t", "nodes"])
 
     return emit
 
@@ -90,16 +101,19 @@ def _emitter(payloads: bool):
 def emit_nodes(records: DataFrame, key: str = "record_id", payload: str = "som_json", payloads: bool = True) -> DataFrame:
     """Tagged node rows (``TAGGED``) of every readable record.
 
-    Of several deliveries of a key the last received whole one counts (by ``received_at`` where the
-    table has it); a torn delivery never hides a whole one. A null or empty payload, one without a
-    tree and a torn one give no rows, as do null keys. Other columns are not read.
-    ``payloads=False`` leaves ``node`` null, for queries on links only.
+    Each payload is read once. Of several deliveries of a key the last received readable one counts
+    (by ``received_at`` where the table has it, then by digest); a torn delivery never hides a whole
+    one. A null or empty payload, one without a tree and a torn one give no rows, as do null keys.
+    Other columns are not read. ``payloads=False`` leaves ``node`` null, for queries on links only.
     """
-    slim = records.select(F.col(key).cast("bigint").alias("k"), F.col(payload).alias("p"), *([F.col("received_at").alias("r")] if "received_at" in records.columns else []))
-    slim = slim.filter("k is not null and p is not null")
-    whole = F.try_parse_json(F.regexp_replace("p", r"^[^{]*\n|^[^{]+", "")).isNotNull()
-    slim = latest(slim.withColumn("w", whole), ["k"], ["w", *(["r"] if "r" in slim.columns else [])])
-    return slim.select("k", "p").mapInArrow(_emitter(payloads), TAGGED)
+    received = F.col("received_at").cast("timestamp") if "received_at" in records.columns else F.lit(None).cast("timestamp")
+    slim = records.select(F.col(key).cast("bigint").alias("k"), received.alias("r"), F.col(payload).cast("string").alias("p")).filter("k is not null and p is not null")
+    read = slim.mapInArrow(_emitter(payloads), _NODES_DDL)
+    by = Window.partitionBy("k").orderBy(F.col("r").desc_nulls_last(), F.col("t").desc())
+    last = read.withColumn("n", F.row_number().over(by)).filter("n = 1")
+    rows = last.select(F.col("k").alias("record_key"), F.posexplode("nodes").alias("node_ord", "x"))
+    tag = F.element_at(F.create_map(*(F.lit(x) for pair in TAGS.items() for x in pair)), F.col("x.kind"))
+    return rows.select("record_key", "node_ord", "x.parent_ord", tag.alias("tag"), "x.kind", "x.node")
 
 
 def write_tagged(nodes: DataFrame, path: str) -> None:

@@ -13,10 +13,9 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treelake.operators.dedupe import latest
 from treelake.sources.payload import as_list, as_object, read_tree
 
 
@@ -75,24 +74,35 @@ def elements_of(tree: dict) -> Iterator[tuple[str, str]]:
                 yield str(element["id"]), json.dumps([region.get("id"), form], sort_keys=True, ensure_ascii=False)
 
 
-_STATE = pa.schema([("session_id", pa.string()), ("som_cursor", pa.int64()), ("side", pa.int8()), ("element_id", pa.string()), ("state", pa.binary())])
-_STATE_DDL = "session_id string, som_cursor bigint, side tinyint, element_id string, state binary"
+_ELEMENT = pa.struct([("element_id", pa.string()), ("state", pa.binary())])
+_STATES = "array<struct<element_id:string,state:binary>>"
+_PARSED_DDL = f"session_id string, som_cursor bigint, received timestamp, tie binary, current {_STATES}, previous {_STATES}"
 
 
-def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sides a row gives: its state (1), the same as base of the next cursor (-1), its fallback base (-1)."""
+def _list_of(trees: list[dict | None]) -> pa.ListArray:
+    """Per tree the ids and digests of its elements; null where there is no tree."""
+    offsets, ids, states = [0], [], []
+    for tree in trees:
+        for element, form in elements_of(tree) if tree is not None else ():
+            ids.append(element)
+            states.append(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        offsets.append(len(ids))
+    flat = pa.StructArray.from_arrays([pa.array(ids, pa.string()), pa.array(states, pa.binary())], fields=list(_ELEMENT))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array([t is None for t in trees], pa.bool_()))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every delivery with a readable current state, both of its trees read once."""
     for batch in batches:
-        rows = []
-        for session, cursor, current, fallback, compared, is_base in zip(*(c.to_pylist() for c in batch.columns)):
-            base = read_tree(fallback) if fallback else None
-            sides = [(cursor, 1)] if compared or base is not None else []
-            sides += [(cursor + 1, -1)] if is_base else []
-            for tree, at_sides in ((read_tree(current) if sides else None, sides), (base, [(cursor, -1)])):
-                for element, form in elements_of(tree) if tree else ():
-                    digest = hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    rows += [(session, at, side, element, digest) for at, side in at_sides]
-        columns = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _STATE)], schema=_STATE)
+        texts, olds = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        trees = [read_tree(t) for t in texts]
+        kept = [i for i, t in enumerate(trees) if t is not None]
+        ties = [hashlib.blake2b(json.dumps([texts[i], olds[i]]).encode(), digest_size=8).digest() for i in kept]
+        own = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i).take(own) for i in range(3)), pa.array(ties, pa.binary()), _list_of([trees[i] for i in kept]), _list_of([read_tree(olds[i]) if olds[i] else None for i in kept])],
+            names=["session_id", "som_cursor", "received", "tie", "current", "previous"],
+        )
 
 
 def session_changes(snapshots: DataFrame) -> DataFrame:
@@ -100,20 +110,24 @@ def session_changes(snapshots: DataFrame) -> DataFrame:
 
     The base of a cursor is the state delivered for the cursor before; where that was never
     delivered, the row's own previous state; a row with neither is not compared. Of several
-    deliveries of a cursor the last received counts. Elements are compared by id: region id and all
-    fields by value, without key order, spacing, order of elements, or absent against null or empty.
-    Rows with a null session or cursor, or without a readable current state, are no deliveries.
-    States are compared by 128-bit digests of their canonical form.
+    deliveries of a cursor the last received counts (by ``received_at`` where the table has it, then
+    by digest). Elements are compared by id: region id and all fields by value, without key order,
+    spacing, order of elements, or absent against null or empty. Rows with a null session or cursor,
+    or without a readable current state, are no deliveries. States are compared by 128-bit digests
+    of their canonical form. Each tree is read once; its digests go to its own cursor and to the
+    next, whose rows lie together, so that two shuffles do and no join.
     """
-    keys = ["session_id", "som_cursor"]
-    raw = snapshots.select("session_id", F.col("som_cursor").cast("bigint").alias("som_cursor"), "received_at", "current_som", "previous_som")
-    raw = raw.filter("session_id is not null and som_cursor is not null and try_parse_json(current_som) is not null")
-    rows = latest(raw, keys, ["received_at"])
-    near = F.explode(F.array(F.struct((F.col("som_cursor") + 1).alias("c"), F.lit(True).alias("b")), F.struct((F.col("som_cursor") - 1).alias("c"), F.lit(False).alias("b"))))
-    near = raw.select("session_id", near.alias("x")).groupBy("session_id", F.col("x.c").alias("som_cursor")).agg(F.max(F.when(F.col("x.b"), True)).alias("has_before"), F.max(F.when(~F.col("x.b"), True)).alias("has_after"))
-    rows = rows.join(near, keys, "left")
-    compared, is_base = F.col("has_before").isNotNull(), F.col("has_after").isNotNull()
-    rows = rows.select(*keys, "current_som", F.when(~compared, F.col("previous_som")).alias("fallback"), compared.alias("compared"), is_base.alias("is_base"))
-    states = rows.mapInArrow(_states, _STATE_DDL)
-    keys = [*keys, "element_id"]
+    received = F.col("received_at").cast("timestamp") if "received_at" in snapshots.columns else F.lit(None).cast("timestamp")
+    raw = snapshots.select("session_id", F.col("som_cursor").cast("bigint").alias("som_cursor"), received.alias("received"), F.col("current_som").cast("string"), F.col("previous_som").cast("string"))
+    raw = raw.filter("session_id is not null and som_cursor is not null and current_som is not null").mapInArrow(_parsed, _PARSED_DDL)
+    by = Window.partitionBy("session_id", "som_cursor").orderBy(F.col("received").desc_nulls_last(), F.col("tie").desc())
+    last = raw.withColumn("n", F.row_number().over(by)).filter("n = 1")
+    at = F.col("som_cursor")
+    roles = [("state", at, F.col("current")), ("base", at + 1, F.col("current")), ("fallback", at, F.col("previous"))]
+    given = last.select("session_id", F.explode(F.array(*(F.struct(F.lit(r).alias("part"), c.alias("som_cursor"), t.alias("elements")) for r, c, t in roles))).alias("x")).select("session_id", "x.som_cursor", "x.part", "x.elements").filter("elements is not null")
+    cursor = Window.partitionBy("session_id", "som_cursor")
+    has = {r: F.max(F.col("part") == r).over(cursor) for r, _, _ in roles}
+    given = given.withColumns({f"has_{r}": c for r, c in has.items()}).filter("has_state and (has_base or has_fallback) and not (part = 'fallback' and has_base)")
+    states = given.select("session_id", "som_cursor", F.when(F.col("part") == "state", 1).otherwise(-1).alias("side"), F.explode("elements").alias("e")).select("session_id", "som_cursor", "side", "e.element_id", "e.state")
+    keys = ["session_id", "som_cursor", "element_id"]
     return label(residue(states, keys, ["state"]), keys)
