@@ -1,12 +1,14 @@
 """One consistent form of texts that look the same.
 
-Only segments that fail a quick check are normalized: pure ASCII is stable and passes untouched;
-in other texts the words that hold an unstable character are put into canonical form with their own
-boundaries as context and spliced back into the unchanged rest.
+Only segments that fail a quick check are normalized. ASCII is stable, and so is a text or a word that
+has the quick-check property of its composed form and no letter of a second script; what is left is
+put into canonical form word by word, with the word's own boundaries as context, and spliced back into
+the unchanged rest.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -72,11 +74,35 @@ def _run(match: re.Match) -> str:
     return run.translate(first).translate(then) if then else run.translate(first)
 
 
-def _word(match: re.Match) -> str:
+#: Characters of runs that may be of another script: look-alikes, those with accents, too, and accents.
+_NOT_TELLING = _LOOKALIKE | {chr(c) for c in range(0x300, 0x530) if c < 0x370 or unicodedata.normalize("NFD", chr(c))[0] in _LOOKALIKE}
+#: Letters of the scripts that look-alikes come from.
+_OTHER_SCRIPT = re.compile(r"[\u0370-\u03ff\u0400-\u052f]")
+#: Words of one script whose letters can't be taken for another's: Cyrillic or Greek without Latin and the other one.
+_ONE_SCRIPT = re.compile(r"[\u0400-\u052f\W\d_]*|[\u0370-\u03ff\W\d_]*")
+
+
+def stable(segment: str) -> bool:
+    """The quick check: whether a segment without plain replacements is surely canonical already."""
+    if not unicodedata.is_normalized("NFC", segment):
+        return False
+    if not _OTHER_SCRIPT.search(segment):
+        return True
+    # one script throughout, each run with a letter that only this script has
+    return _ONE_SCRIPT.fullmatch(segment) is not None and all(not _NOT_TELLING.issuperset(run) for run in _RUN.findall(segment))
+
+
+def _canonical_word(word: str) -> str:
     """The canonical form of one segment: letters of one script, accents composed."""
+    return word if stable(word) else unicodedata.normalize("NFC", _RUN.sub(_run, unicodedata.normalize("NFD", word)))
+
+
+_known_word = functools.lru_cache(maxsize=1 << 16)(_canonical_word)
+
+
+def _word(match: re.Match) -> str:
     word = match.group()
-    parts = unicodedata.normalize("NFD", word)
-    return unicodedata.normalize("NFC", _RUN.sub(_run, parts))
+    return _known_word(word) if len(word) <= 64 else _canonical_word(word)
 
 
 def canonical(text: str | None) -> str | None:
@@ -91,7 +117,9 @@ def canonical(text: str | None) -> str | None:
         return text
     if not _UNSTABLE.isdisjoint(text):
         text = text.translate(_PLAIN)
-    return text if text.isascii() else _WORD.sub(_word, text)
+    if text.isascii() or not _OTHER_SCRIPT.search(text) and unicodedata.is_normalized("NFC", text):
+        return text
+    return _WORD.sub(_word, text)
 
 
 def canonical_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
