@@ -326,6 +326,33 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.toxic_documents(df.limit(0), labels).count() == 0
 
 
+def test_term_frequency_and_unknown_words_count():
+    index = toxicity.Index([("a b c", 1.0, 0.0)], {f: 3 for f in toxicity.features("a b c".split())}, 100)
+    once, often, strange = (index.vector(w.split()) for w in ("a b", "a a a b", "a b x y"))
+    assert often["a"] > once["a"] == once["b"] > often["b"] and strange["a"] < once["a"]
+    assert sum(w * w for w in once.values()) == pytest.approx(1.0) and index.vector([]) == {}
+
+
+def test_scores_are_calibrated_on_reviews_held_out(spark):
+    assert toxicity.calibration([])[0] > 0
+    rng = random.Random(12)
+    scored = [(s, float(rng.random() < s)) for s in (rng.random() for _ in range(4000))]
+    slope, intercept = toxicity.calibration(scored)
+    for low in (0.1, 0.5, 0.8):
+        said = [1 / (1 + math.exp(-(slope * s + intercept))) for s, _ in scored if low <= s < low + 0.1]
+        was = [y for s, y in scored if low <= s < low + 0.1]
+        assert abs(sum(said) / len(said) - sum(was) / len(was)) < 0.08
+    # a document is judged without what it gave: the only toxic one has no example but itself
+    docs = _documents(60, random.Random(13))
+    lone = [(100, "You utterly vile snake.", "s", T0)]
+    df = spark.createDataFrame([d[:4] for d in docs if not d[4]] + lone, "doc_id bigint, text string, source string, received_at timestamp")
+    labels = spark.createDataFrame([(100, 1)] + [(d[0], 0) for d in docs if not d[4]], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.scores(df, labels).collect()}
+    index, _ = toxicity.fit(df, labels)
+    assert got[100].score > 0.9 and index.value.held_out(list(toxicity.passages(lone[0][1])), 1.0) < 0.1
+    assert all(0 < r.probability < 1 for r in got.values())
+
+
 def test_index_is_exact():
     rng = random.Random(11)
     words = "a b c d e f g h i j k l".split()
