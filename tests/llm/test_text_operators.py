@@ -87,7 +87,7 @@ def test_lookalike_pairs_against_brute_force(spark):
 def test_main_content(spark):
     rows, regions = [], []
     for p in range(30):
-        texts = [("footer", "paragraph", f"© {p} Shopname. All rights reserved."), ("main", "heading", f"About the harbour {p}"), ("main", "paragraph", f"The ferry crew moved {p} boards, and nobody minded."), ("aside", "paragraph", "Advertisement"), ("aside", "paragraph", "No."), ("main", "link", "More"), ("aside", "section", "Visit our partner portal"), ("main", "paragraph", "Page not found"), ("main", "list", None), ("main", "paragraph", "Our bakery explains how to keep cookies crisp: store them with bread.")]
+        texts = [("footer", "paragraph", f"© {p} Shopname. All rights reserved."), ("main", "heading", f"About the harbour {p}"), ("main", "paragraph", f"The ferry crew moved {p} boards, and nobody minded."), ("aside", "paragraph", "Advertisement"), ("aside", "paragraph", f"{chr(97 + p % 26) * 3}{chr(97 + p // 26)} wrote of {chr(98 + p % 25) * 4} planks, and {chr(97 + p % 26) * 5}{p // 26 * 'x'} replied."), ("main", "link", "More"), ("aside", "section", "Visit our partner portal"), ("main", "paragraph", "Page not found"), ("main", "list", None), ("main", "paragraph", "Our bakery explains how to keep cookies crisp: store them with bread.")]
         for i, (region, role, text) in enumerate(texts):
             rows.append((p * 100 + i, p, "www.shopname.example", i, i, role, text, T0))
             regions.append((p, i, region))
@@ -99,17 +99,38 @@ def test_main_content(spark):
     assert boilerplate.main_content(df.limit(0), where).count() == 0
 
 
-def test_fused_paths_decide_in_small_tables(spark):
-    rows, regions = [], []
-    for p in range(5):
-        texts = [("aside", "section", "Visit our partner portal"), ("main", "heading", f"Harbour {chr(97 + p)}"), ("main", "paragraph", f"The crew of boat {chr(97 + p)} sold boards, nets and rope."), ("strip", "paragraph", "Read more"), ("strip", "paragraph", "Read more"), ("strip", "paragraph", chr(97 + p)), ("strip", "paragraph", "Read more"), ("strip", "paragraph", "Read more")]
-        for i, (region, role, text) in enumerate(texts):
-            rows.append((p * 100 + i, p, "www.shopname.example", i, i, role, text, T0))
+def _pages_of_mixed_text(spark, pages, misplaced):
+    """Pages of own text and of notices put together from parts; every third notice stands in a content region."""
+    rng = random.Random(21)
+    parts = [["We set cookies", "Our partners store cookies", "This shop uses cookies"], ["to measure visits.", "for statistics and adverts.", "so that pages load faster."], ["You can change this at any time.", "Accept all or choose settings.", "By staying here you agree."]]
+    rows, regions, own = [], [], set()
+    for p in range(pages):
+        body = [("main", "heading", f"{rng.choice(['Quiet', 'Old', 'Long'])} {rng.choice(['ferries', 'mills', 'trams'])} of {rng.choice(['Dolrum', 'Velbek', 'Sorden'])} {p}"), ("main", "paragraph", f"The {rng.choice(['crew', 'miller', 'guard'])} {rng.choice(['moved', 'sold', 'counted'])} {p} {rng.choice(['boards', 'sacks', 'tickets'])}, and {rng.choice(['nobody', 'everyone', 'the mayor'])} watched.")]
+        notice = [("main" if misplaced and p % 3 == 0 else "dialog", "paragraph", " ".join(map(rng.choice, parts))), ("content" if misplaced and p % 3 == 1 else "footer", "section", f"Read next: {rng.choice(['orchard', 'choir', 'harbour'])}")]
+        for i, (region, role, text) in enumerate(body + notice):
+            rows.append((p * 10 + i, p, "www.shopname.example", i, i, role, text, T0))
             regions.append((p, i, region))
+            own |= {p * 10 + i} if i < 2 else set()
     df = spark.createDataFrame(rows, "element_key bigint, page_id bigint, site string, region_ord int, el_ord int, role string, text string, received_at timestamp")
-    where = spark.createDataFrame(regions, "page_id bigint, region_ord int, role string")
-    # no phrase list knows the portal and the single letters: shares of five and too little prose tell them
-    assert {r.element_key for r in boilerplate.main_content(df, where).collect()} == {p * 100 + i for p in range(5) for i in (1, 2)}
+    return df, spark.createDataFrame(regions, "page_id bigint, region_ord int, role string"), own
+
+
+def test_paths_alone_tell_content_from_chrome(spark):
+    df, where, own = _pages_of_mixed_text(spark, 200, misplaced=True)
+    got = {r.element_key for r in boilerplate.main_content(df, where).collect()}
+    assert len(got & own) >= 0.95 * len(own) and len(got & own) >= 0.95 * len(got)
+
+
+def test_the_path_score_is_what_decides(spark, monkeypatch):
+    df, where, own = _pages_of_mixed_text(spark, 200, misplaced=True)
+    monkeypatch.setattr(boilerplate, "MORE_PROSE", 0.0)
+    got = {r.element_key for r in boilerplate.main_content(df, where).collect()}
+    assert len(got & own) < 0.7 * len(got), "a constant share in chrome must cost precision"
+
+
+def test_fragments():
+    assert boilerplate.fragments("read next: the old harbour of dolrum. yes.") == ["read next", "^the old harbour", "harbour of dolrum$", "yes"]
+    assert boilerplate.fragments("") == [] == boilerplate.fragments("...") and boilerplate.fragments("a. a. a.") == ["a"]
 
 
 def test_index_error_and_script_pages_have_no_main_body(spark):

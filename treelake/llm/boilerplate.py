@@ -1,11 +1,13 @@
 """Main content of pages, by tag-path ratios.
 
-Every element has a root-to-leaf path: its region's role, its own role and the template of its text
-(canonical form, site name and numbers masked). Text length and punctuation are added up per path of
-roles, less what belongs to templates that stand in regions of page chrome elsewhere; the ratio is fused
-with the element's own text, the elements around and its template's share in chrome, and thresholded.
-An exact check on notices, adverts and prompts follows. Last, pages that are a mere index, an error
-message or a demand for scripts are told by what else they have: they have no main body.
+Every element has root-to-leaf paths: its region's role, its own role and a fragment of its text, the
+beginning or end of a sentence (canonical form, site name and numbers masked). Fragments that stand in
+regions of page chrome elsewhere speak for chrome, by their smoothed share of occurrences there. Text
+length and punctuation are added up per path of roles, less what such fragments take; this ratio is
+smoothed, fused with the element's own text and that of the elements around, and thresholded by the
+element's share in chrome. There is no list of phrases. Then template residue (problem 5) is left out,
+and pages that are a mere index, an error message or a demand for scripts are told by what else they
+have: they have no main body.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,28 +29,20 @@ ROLES = ("heading", "paragraph", "list", "table", "section")
 #: Kinds of residue that stand in place of a page.
 MESSAGES = ("error_page", "script_notice")
 CHROME_REGIONS = ("navigation", "footer", "aside", "dialog")
-#: Occurrences that a template's share in chrome regions and a path's ratio are smoothed with.
+#: Region roles with a ratio of their own; all others are one.
+REGION_ROLES = (*CHROME_REGIONS, "main", "header", "form", "content")
+#: Occurrences that a fragment's share in chrome regions and a path's ratio are smoothed with.
 PRIOR = 4.0
-#: The prose (0 to 1) that an element needs at least, and what is needed more times its template's squared share in chrome regions.
-LEAST_PROSE, MORE_PROSE = 0.1, 1.4
+#: The prose (0 to 1) that an element needs at least, and what is needed more times its squared share in chrome.
+LEAST_PROSE, MORE_PROSE = 0.2, 4.0
+#: Words of a fragment, and salted parts that a frequent fragment's occurrences are joined in.
+WORDS, SALTS = 3, 16
 #: Headings from which on a page with no other content and at least as many links can be an index.
 TEASERS = 3
 
 _DIGITS = re.compile(r"\d+")
 _PUNCTUATION = ".,;:!?…"
-
-# Prompts, teasers, adverts, notices and legal lines, with site names as § and numbers as #.
-_CHROME = re.compile(
-    r"(?:advertisements?|advertorial|sponsored(?: (?:content|links?|post))?|(?:sponsored|promoted|ad): .+|popular tags|tags?|you may also like|# (?:people|visitors|users) are (?:looking|viewing)\b.*|was this (?:page|article) helpful\?|most (?:read|viewed|popular)|recently viewed|back to top|(?:go|return) to top|"
-    r"(?:share|print|e-?mail|bookmark) this (?:page|article|story)|related (?:articles|posts|stories|pages|topics)|tell a friend|(?:read|up) next(?::.*)?|read more|see also|more from .{0,40}|sign up and never miss .+|(?:subscribe|sign up) (?:to|for) (?:our|the) newsletter\b.*|follow .{1,40} for updates\.?|follow us(?: on .*)?|main menu|skip to (?:main )?content|"
-    r"© ?#.*|copyright\b.*|.{0,60}all rights reserved\.?|all trademarks belong to .*|imprint · .*|.{1,40} ltd,? registered under no\. .*|made by .{1,40} with care\. version .*|prices include tax\b.{0,60}|terms of use(?: · .*)?|privacy(?: policy)?(?: · .*)?|"
-    r"(?:.{1,40}|our partners and we) (?:sets?|stores?|uses?|rely on|relies on|would like to place)\b.{0,30}\bcookies\b.*(?:accept all|choose settings|only necessary|allow all|privacy page|at any time|you agree)\b.*|(?:accept|allow) (?:all )?cookies\b.*|"
-    r"anzeigen?|werbung|gesponsert(?::.*)?|nach oben|seite teilen|jetzt (?:rundbrief|newsletter) abonnieren|(?:rundbrief|newsletter) abonnieren|meistgelesen|ähnliche (?:beiträge|artikel)|weiterlesen(?::.*)?|zuletzt angesehen|das könnte .{0,20}interessieren|impressum · .*|alle preise inkl\b.*|wir nutzen kleine dateien\b.*|.{1,40} verwendet cookies\b.*(?:einstellungen|akzeptieren|zustimmen).*|"
-    r"publicités?|(?:contenu )?sponsorisé(?::.*)?|haut de page|partager cette page|abonnez-vous à .{1,40}|les plus lus|à lire (?:aussi|ensuite)(?: ?:.*)?|déjà consultés|articles (?:liés|similaires)|lire la suite(?: ?:.*)?|mentions légales · .*|.{1,40} dépose des traceurs\b.*|en poursuivant, vous acceptez\b.*|.{0,60}tous droits réservés\.?|"
-    r"publicidad|patrocinado(?::.*)?|volver arriba|compartir página|suscríbase al .{1,30}|lo más leído|artículos relacionados|(?:leer|siga leyendo|lea) (?:más|a continuación|también)(?: ?:.*)?|siga leyendo(?: ?:.*)?|vistos recientemente|aviso legal · .*|usamos galletas\b.*|.{1,40} guarda datos de navegación\b.*|.{0,60}todos los derechos reservados\.?|"
-    r"реклама|на правах рекламы.*|наверх|поделиться|подписаться на .{1,30}|самое читаемое|похожие (?:статьи|материалы)|читайте (?:также|далее)(?: ?:.*)?|вы недавно смотрели|правила · .*|.{1,40} сохраняет файлы\b.*|продолжая, вы соглашаетесь\b.*|.{0,60}все права защищены\.?)",
-    re.I | re.S,
-)
+_SENTENCES = re.compile(r"[.!?…:;|·—–/]+(?:\s+|$)|\n+")
 
 
 def site_name(site: str | None) -> str:
@@ -63,30 +58,30 @@ def template(text: str, site: str | None) -> str:
     return _DIGITS.sub("#", form.replace(name, "§") if len(name) > 2 else form)
 
 
-#: Words that every text the exact check can match begins with, or has inside.
-_BEGINNINGS = re.compile(
-    r"advert|sponsored|promoted|ad:|popular|tags?$|you may|# |was this|most |recently|back to|go to|return to|share|print|e-?mail|bookmark|related|tell a|read|up next|see also|more from|sign up|subscribe|follow|main menu|skip to|©|copyright|all trade|imprint|made by|prices inc|terms|privacy|accept|allow|"
-    r"anzeige|werbung|gesponsert|nach oben|seite |jetzt |rundbrief|newsletter|meistgelesen|ähnliche|weiterlesen|zuletzt|das könnte|impressum|alle preise|wir nutzen|publicité|contenu|sponsorisé|haut de|partager|abonnez|les plus|à lire|déjà|articles|lire la|mentions|en poursuivant|"
-    r"publicidad|patrocinado|volver|compartir|suscríbase|lo más|artículos|leer|siga|lea |vistos|aviso|usamos|реклама|на правах|наверх|поделиться|подписаться|самое|похожие|читайте|вы недавно|правила|продолжая"
-)
-_INSIDE = ("reserv", "vorbehalten", "защищены", "registered under", "cookies", "traceurs", "guarda datos", "сохраняет", " · ")
-
-
-def is_chrome_text(form: str) -> bool:
-    """The exact check: a template that is a notice, advert, teaser, prompt, navigation or legal text."""
-    if not _BEGINNINGS.match(form) and not any(x in form for x in _INSIDE):
-        return False
-    return _CHROME.fullmatch(form) is not None
+def fragments(form: str) -> list[str]:
+    """The different leaves of a template: the first and last words of its sentences, short sentences whole."""
+    out: dict[str, None] = {}
+    for sentence in _SENTENCES.split(form):
+        words = sentence.split()
+        if len(words) > WORDS:
+            out["^" + " ".join(words[:WORDS])] = out[" ".join(words[-WORDS:]) + "$"] = None
+        elif words:
+            out[" ".join(words)] = None
+    return list(out)
 
 
-_FEATURES = pa.schema([("k", pa.int64()), ("page_id", pa.int64()), ("region_ord", pa.int32()), ("el_ord", pa.int32()), ("role", pa.string()), ("received", pa.timestamp("us", tz="UTC")), ("template", pa.binary()), ("length", pa.int32()), ("punctuation", pa.int32()), ("excluded", pa.bool_()), ("message", pa.bool_())])
-_FEATURES_DDL = "k bigint, page_id bigint, region_ord int, el_ord int, role string, received timestamp, template binary, length int, punctuation int, excluded boolean, message boolean"
+_FEATURES = pa.schema([("k", pa.int64()), ("page_id", pa.int64()), ("region_ord", pa.int32()), ("el_ord", pa.int32()), ("role", pa.string()), ("received", pa.timestamp("us", tz="UTC")), ("template", pa.binary()), ("fragments", pa.list_(pa.int64())), ("length", pa.int32()), ("punctuation", pa.int32()), ("excluded", pa.bool_()), ("message", pa.bool_())])
+_FEATURES_DDL = "k bigint, page_id bigint, region_ord int, el_ord int, role string, received timestamp, template binary, fragments array<bigint>, length int, punctuation int, excluded boolean, message boolean"
 
 
 def _digest(form: str) -> bytes:
     return hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=12).digest()
 
 
+def _number(fragment: str) -> int:
+    return xxhash.xxh3_64_intdigest(fragment.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         known: dict[tuple, tuple] = {}
@@ -94,46 +89,51 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, site in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist()):
             if (text, site) not in known:
                 form = template(text, site)
-                stripped = text.strip()
-                chrome = not form or is_chrome_text(form)
-                kind = None if chrome else residue(stripped)
-                known[text, site] = (_digest(form), len(form), sum(map(form.count, _PUNCTUATION)), chrome or kind is not None, kind in MESSAGES)
+                kind = residue(text.strip()) if form else None
+                known[text, site] = (_digest(form), list(map(_number, fragments(form))), len(form), sum(map(form.count, _PUNCTUATION)), not form or kind is not None, kind in MESSAGES)
             rows.append(known[text, site])
-        columns = list(zip(*rows)) or [()] * 5
+        columns = list(zip(*rows)) or [()] * 6
         yield pa.RecordBatch.from_arrays([*batch.columns[:6], *(pa.array(c, f.type) for c, f in zip(columns, list(_FEATURES)[6:]))], schema=_FEATURES)
 
 
 def content_scores(elements: DataFrame, regions: DataFrame) -> DataFrame:
-    """(element_key, page_id, role, template_seen, chrome_share, path_ratio, score, excluded, message, template) of text elements.
+    """(element_key, page_id, role, chrome_share, path_ratio, score, excluded, message, template) of text elements.
 
     ``score`` above 0.5 means content by paths: the mean of the element's own text, that of the
     elements beside it and the ratio of text to chrome of its path of roles is more than what the
-    template's smoothed share in chrome regions asks for (nearly nothing for a small share). The share is taken over the template's
-    other occurrences, as the element's own region may be wrong.
-    ``excluded`` is the exact check: notices, adverts, teasers, prompts, legal text and template
-    residue; ``message`` an error message or script notice. Redelivered rows count once (the last), elements without text, key or page not at all;
-    an element without a region has the region role ''. Look-alike characters make no difference.
+    element's share in chrome asks for (nearly nothing for a small share). That share is the mean over
+    the element's fragments of their smoothed share of other occurrences in chrome regions; the
+    element's own is left out, as its region may be wrong. ``excluded`` is template residue, ``message``
+    an error message or script notice. Redelivered rows count once (the last), elements without text,
+    key or page not at all; an element without a region, or in one of an unknown role, has the region
+    role 'other'. Look-alike characters make no difference.
     """
     received = F.col("received_at").cast("timestamp") if "received_at" in elements.columns else F.lit(None).cast("timestamp")
     rows = elements.filter(F.col("role").isin(*ROLES) & F.col("element_key").isNotNull() & F.col("page_id").isNotNull() & (F.trim("text") != ""))
     rows = rows.select(F.col("element_key").cast("bigint"), F.col("page_id").cast("bigint"), F.coalesce(F.col("region_ord").cast("int"), F.lit(-1)), F.coalesce(F.col("el_ord").cast("int"), F.lit(-1)), "role", received, "text", "site")
-    slim = latest(rows.mapInArrow(_features, _FEATURES_DDL), ["k"], ["received"])
-    roles = regions.filter("page_id is not null").groupBy(F.col("page_id").cast("bigint").alias("page_id"), F.col("region_ord").cast("int").alias("region_ord")).agg(F.min("role").alias("region_role"))
-    placed = slim.join(roles, ["page_id", "region_ord"], "left").withColumn("region_role", F.coalesce("region_role", F.lit("")))
-    in_chrome = F.col("region_role").isin(*CHROME_REGIONS)
-    # per template: seen, and in chrome regions; counted on the map side first
-    shares = placed.groupBy("template").agg(F.count("*").alias("template_seen"), F.sum(in_chrome.cast("int")).alias("in_chrome"))
-    others = F.col("in_chrome") - F.col("region_role").isin(*CHROME_REGIONS).cast("int")
-    scored = placed.join(shares, "template").withColumn("chrome_share", others / (F.col("template_seen") - 1 + F.lit(PRIOR)))
-    # per path of roles: text and punctuation outside chrome against a short menu entry, smoothed; a table of roles x roles
-    paths = scored.groupBy("region_role", "role").agg(F.avg(F.when(F.col("excluded"), 0.0).otherwise((F.log1p("length") + F.col("punctuation")) * (1 - F.col("chrome_share")))).alias("density"), F.count("*").alias("n"))
+    slim = latest(rows.mapInArrow(_features, _FEATURES_DDL), ["k"], ["received"]).repartition("page_id")
+    slots = regions.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("region_ord").cast("int").alias("region_ord"), F.col("role").alias("region_role")).filter("page_id is not null").repartition("page_id")
+    roles = slots.groupBy("page_id", "region_ord").agg(F.min("region_role").alias("region_role"))
+    placed = slim.join(roles, ["page_id", "region_ord"], "left").withColumn("region_role", F.when(F.col("region_role").isin(*REGION_ROLES), F.col("region_role")).otherwise("other"))
+    chrome = F.col("region_role").isin(*CHROME_REGIONS).cast("int")
+    # per fragment: seen, and in chrome regions, counted on the map side first; those never in chrome have no share
+    each = placed.select("page_id", "k", chrome.alias("own"), F.explode("fragments").alias("fragment"))
+    seen = each.groupBy("fragment").agg(F.count("*").alias("seen"), F.sum("own").alias("in_chrome")).filter("in_chrome > 0")
+    seen = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = each.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(seen, ["fragment", "salt"])
+    hits = hits.select("page_id", "k", ((F.col("in_chrome") - F.col("own")) / (F.col("seen") - 1 + F.lit(PRIOR))).alias("share")).repartition("page_id")
+    hits = hits.groupBy("page_id", "k").agg(F.sum("share").alias("shares"))
+    share = F.when(F.size("fragments") > 0, F.coalesce("shares", F.lit(0.0)) / F.size("fragments")).otherwise(0.0)
+    scored = placed.join(hits, ["page_id", "k"], "left").withColumn("chrome_share", share)
+    # per path of roles: text and punctuation outside chrome against a short menu entry, smoothed; a table of 9 x 5 rows
+    paths = scored.groupBy("region_role", "role").agg(F.avg((F.log1p("length") + F.col("punctuation")) * (1 - F.col("chrome_share"))).alias("density"), F.count("*").alias("n"))
     ratio = (F.col("density") * F.col("n") + 4.0 * PRIOR) / ((F.col("n") + PRIOR) * 8.0)
     scored = scored.join(F.broadcast(paths.select("region_role", "role", F.least(ratio, F.lit(1.0)).alias("path_ratio"))), ["region_role", "role"])
     own = F.least(F.lit(1.0), (F.log1p("length") + F.col("punctuation")) / 8.0)
-    beside = F.avg(F.when(F.col("excluded"), 0.0).otherwise(own)).over(Window.partitionBy("page_id").orderBy("region_ord", "el_ord", "k").rowsBetween(-2, 2))
+    beside = F.avg(own * (1 - F.col("chrome_share"))).over(Window.partitionBy("page_id").orderBy("region_ord", "el_ord", "k").rowsBetween(-2, 2))
     prose = (F.col("path_ratio") + own + beside) / 3
     score = 0.5 + (prose - LEAST_PROSE - MORE_PROSE * F.col("chrome_share") ** 2) / 2
-    return scored.select(F.col("k").alias("element_key"), "page_id", "role", "template_seen", "chrome_share", "path_ratio", score.alias("score"), "excluded", "message", "template")
+    return scored.select(F.col("k").alias("element_key"), "page_id", "role", "chrome_share", "path_ratio", score.alias("score"), "excluded", "message", "template")
 
 
 _TITLE_PARTS = re.compile(r"\s+[|/–—-]\s+")
@@ -150,7 +150,7 @@ def _titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def judged(elements: DataFrame, regions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """``content_scores`` with ``content``: by score and exact check, and on a page that has a main body.
+    """``content_scores`` with ``content``: by score, no residue, and on a page that has a main body.
 
     Pages whose only content are headings have none if an error message or script notice stands
     beside them, or if they are an index: ``TEASERS`` headings or more, none of which repeats the
