@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from treelake.llm.canonical import canonical
 from treelake.llm.residue import residue
 from treelake.operators.dedupe import latest
+from treelake.session import cut
 
 ROLES = ("heading", "paragraph", "list", "table", "section")
 #: Kinds of residue that stand in place of a page.
@@ -104,17 +105,20 @@ def content_scores(elements: DataFrame, regions: DataFrame) -> DataFrame:
     element's share in chrome asks for (nearly nothing for a small share). That share is the mean over
     the element's fragments of their smoothed share of other occurrences in chrome regions; the
     element's own is left out, as its region may be wrong. ``excluded`` is template residue, ``message``
-    an error message or script notice. Redelivered rows count once (the last), elements without text,
-    key or page not at all; an element without a region, or in one of an unknown role, has the region
+    an error message or script notice. Redelivered rows of a page count once (the last), elements without
+    text, key or page not at all; an element without a region, or in one of an unknown role, has the region
     role 'other'. Look-alike characters make no difference.
     """
     received = F.col("received_at").cast("timestamp") if "received_at" in elements.columns else F.lit(None).cast("timestamp")
     rows = elements.filter(F.col("role").isin(*ROLES) & F.col("element_key").isNotNull() & F.col("page_id").isNotNull() & (F.trim("text") != ""))
     rows = rows.select(F.col("element_key").cast("bigint"), F.col("page_id").cast("bigint"), F.coalesce(F.col("region_ord").cast("int"), F.lit(-1)), F.coalesce(F.col("el_ord").cast("int"), F.lit(-1)), "role", received, "text", "site")
-    slim = latest(rows.mapInArrow(_features, _FEATURES_DDL), ["k"], ["received"]).repartition("page_id")
+    # a page's rows come together at once: what follows, the removal of repeated ones included, needs no other shuffle of them
+    slim = latest(rows.mapInArrow(_features, _FEATURES_DDL).repartition("page_id"), ["page_id", "k"], ["received"]).drop("received")
     slots = regions.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("region_ord").cast("int").alias("region_ord"), F.col("role").alias("region_role")).filter("page_id is not null").repartition("page_id")
     roles = slots.groupBy("page_id", "region_ord").agg(F.min("region_role").alias("region_role"))
     placed = slim.join(roles, ["page_id", "region_ord"], "left").withColumn("region_role", F.when(F.col("region_role").isin(*REGION_ROLES), F.col("region_role")).otherwise("other"))
+    # three passes read these features: texts are taken apart once
+    placed = cut(placed)
     chrome = F.col("region_role").isin(*CHROME_REGIONS).cast("int")
     # per fragment: seen, and in chrome regions, counted on the map side first; those never in chrome have no share
     each = placed.select("page_id", "k", chrome.alias("own"), F.explode("fragments").alias("fragment"))
