@@ -100,9 +100,45 @@ def test_readers(spark, tmp_path):
     assert readers.decode_body(b"x", "gzip") is None and readers.decode_body(gzip.compress(b"x" * 99), "gzip", 10) is None and readers.decode_body(b"x", "odd") is None
 
 
-def test_large_robots_files_keep_their_last_rules():
-    text = "User-agent: a\nUser-agent: b\n" + "".join(f"Disallow: /{i}\n" for i in range(30_000))
-    rules = policy.robots_rules(text + "Disallow: /" + "x" * 20_000)
-    assert len(rules) == 2 + 2 * 30_001 and rules[-1][3] == "/" + "x" * 20_000
+def test_large_robots_files():
+    text = "User-agent: a\n" + "Disallow: /p\n" * 12_000 + "Disallow: /last\nDisallow: /" + "x" * 20_000
+    rules = policy.robots_rules(text)
+    assert len(rules) == 12_003 and rules[-2][3] == "/last" and len(rules[-1][3]) == 20_001
+    rules = policy.robots_rules("User-agent: a\nUser-agent: b\n" + "".join(f"Disallow: /{i}\n" for i in range(40_000)))
+    assert len(rules) == 2 + 2 * 40_000 and rules[-1][3] == "/39999"
     rules = policy.robots_rules("User-agent: a\n" + "Disallow: /p\n" * 65_540)
-    assert len(rules) == 1 + 65_536 + 1 and rules[-1] == (-1, "", "", "", 4)
+    assert len(rules) == 65_536 + 2 and rules[-1] == (-1, "", "rules_omitted", "", 4)
+    assert policy.robots_rules("User-agent: a\n# " + "x" * 512_000)[-1] == (-1, "", "lines_over_limit", "", 1)
+
+
+def test_rule_regexes_match_as_rules_do(spark):
+    rules = ["/a", "/a*b$", "/*.php$", "/a*", "/a*$", "/$", "/*a*b", "/a.b", "/%2A"]
+    paths = ["/a", "/ab", "/axbxb", "/x.php", "/x.php/y.php", "/", "/acb", "/%2A", "/x.php5"]
+    df = spark.createDataFrame([(r, policy.rule_regex(r), p) for r in rules for p in paths], "rule string, regex string, path string")
+    got = df.select("rule", "path", F.regexp_like("path", F.col("regex")).alias("hit")).collect()
+    assert all(r.hit == policy.rule_matches(r.rule, r.path) for r in got) and any(r.hit for r in got)
+
+
+def test_robots_fetches_that_fail(spark):
+    long = "User-agent: *\nAllow: /\n# " + "x" * 512_000
+    cases = {
+        "ok": ("User-agent: *\nDisallow: /x", 200, None), "gone": (None, 404, None), "down": (None, 503, None), "big": (None, None, "too_large"), "slow": (None, None, "timeout"), "blocked": (None, None, "blocked"), "long": (long, 200, None), "empty": (None, 200, None),
+    }
+    fetches = spark.createDataFrame([(h, *c) for h, c in cases.items()], "host string, robots_txt string, http_status int, failure string")
+    targets = spark.createDataFrame([(h, "/x") for h in [*cases, "unknown"]] + [("long", "/robots.txt"), (None, "/x"), ("ok", "/x")], "host string, path string")
+    got = {(r.host, r.path): (r.allowed, r.reason, r.classification, r.checks_completed) for r in policy.robots_policies(targets, fetches, "spider").collect()}
+    assert got == {
+        ("ok", "/x"): (False, "disallow_rule", "available", 1), ("gone", "/x"): (True, "robots_unavailable", "unavailable", 1), ("down", "/x"): (False, "robots_unreachable", "unreachable", 1), ("big", "/x"): (False, "robots_invalid", "invalid_too_large", 0),
+        ("slow", "/x"): (False, "robots_unreachable", "unreachable", 0), ("blocked", "/x"): (False, "robots_unreachable", "blocked_redirect_or_destination", 0), ("long", "/x"): (False, "robots_invalid_line_limit", "available", 1), ("long", "/robots.txt"): (False, "robots_invalid_line_limit", "available", 1),
+        ("empty", "/x"): (True, "no_matching_rule", "available", 1), ("unknown", "/x"): (False, "robots_unreachable", "unreachable", 0),
+    }
+    assert policy.robots_policies(targets.limit(0), fetches, "spider").count() == 0
+
+
+def test_ordered_digests(spark):
+    from treelake.functions import digests
+
+    rows = [("a", i, f"https://a/{'é' * i}") for i in range(50)] + [("b", 1, "x"), ("b", 0, None), (None, 1, "y")]
+    df = spark.createDataFrame(rows, "site string, n int, url string").repartition(5)
+    got = {r.site: (r.digest, r.n) for r in digests.ordered_digests(df.withColumnRenamed("n", "at"), "t", "site", ["at"], "url").collect()}
+    assert got == {"a": (digests.corpus_digest("t", [u for s, _, u in rows if s == "a"]), 50), "b": (digests.corpus_digest("t", ["x"]), 1)}

@@ -70,3 +70,38 @@ def test_compiled_pages_feed_the_nested_tables(spark):
     nodes = nested.emit_nodes(C.compile_pages(df), "page_id").groupBy("record_key", "kind").count().collect()
     counts = {(n.record_key, n.kind): n["count"] for n in nodes}
     assert counts[1, "region"] == 5 and counts[1, "option"] == 2 and counts[3, "element"] == 1
+
+
+def test_deep_pages_compile_in_linear_time():
+    som = C.compile_page("<div>" * 5000 + "deep" + "</div>" * 5000, "u")
+    assert [(r["role"], [e["text"] for e in r["elements"]]) for r in som["regions"]] == [("content", ["deep"])]
+    som = C.compile_page("<main>" + "<section>" * 3000 + "<a href=x>y</a>" + "</section>" * 3000 + "</main>", "u")
+    assert som["meta"]["element_count"] == 2 and C.compile_page("<nav>" * 1500 + "<a href=x>y</a>", "u")["regions"][0]["role"] == "navigation"
+
+
+def test_summaries_say_what_was_left_out():
+    links = "".join(f"<a href='/{i % 90}'>t{i}</a>" for i in range(100))
+    nav = C.compile_page(f"<nav>{links}</nav>", "u")["regions"][0]["elements"]
+    assert nav[-1]["id"] == "e_summary_20" and nav[-1]["text"] == "[10 duplicate links, 10 more links dropped, ~60 chars]" and len(nav) == 81
+    main = C.compile_page("<main>" + "<p>same</p>" * 15 + "</main>", "u")["regions"][0]["elements"]
+    assert main[-1]["text"] == "[5 more paragraphs dropped, ~20 chars]"
+
+
+def test_attributes_of_elements():
+    def one(html):
+        return C.compile_page(f"<main>{html}</main>", "u")["regions"][0]["elements"][0]
+
+    a = one('<a href="" download target=_b type=t data-test="d" tabindex=2 aria-current=page aria-expanded=" True " aria-unknown=x>l</a>')["attrs"]
+    assert a == {"href": "", "target": "_b", "type": "t", "download": True, "tabindex": 2, "test_id": "d", "aria": {"current": "page", "expanded": True}}
+    i = one('<input type=RADIO name=n value="" checked maxlength=x min=3 readonly accesskey=k spellcheck contenteditable=false draggable=auto capture>')["attrs"]
+    assert i == {"input_type": "radio", "value": "", "checked": True, "group": "n", "maxlength": "x", "min": 3, "accesskey": "k", "name": "n", "capture": True, "contenteditable": False, "spellcheck": True, "draggable": "auto", "readonly": True}
+    s = one("<select multiple size=4 required><option value=1 selected>a<option selected>b<option>c</select>")["attrs"]
+    assert s["selected_values"] == ["1", "b"] and s["value"] == "1" and s["size"] == 4 and s["multiple"] is s["required"] is True
+    f = one("<fieldset disabled><legend>L <b>m</b></legend>x</fieldset>")
+    assert f["attrs"] == {"legend": "L m", "disabled": True} and f["label"] == "L m"
+    d = one("<details><summary>S</summary>x</details>")["attrs"]
+    assert d == {"open": False, "summary": "S"} and one("<iframe srcdoc='<p>'></iframe>")["attrs"] == {"has_srcdoc": True, "srcdoc_preview": "<p>"}
+    b = one("<b id=h>help <i hidden>no</i></b><button aria-describedby=h type=x aria-disabled=true>B</button>")
+    button = C.compile_page("<main><b id=h>help <i hidden>no</i></b><button aria-describedby=h type=x aria-disabled=true>B</button></main>", "u")["regions"][0]["elements"][-1]["attrs"]
+    assert b["text"] == "help" and button == {"button_type": "submit", "disabled": True, "description": "help", "aria": {"disabled": True, "describedby": "h"}}
+    assert one("<label>Name <input id=q></label>")["text"] == "Name" and C.compile_page("<label>Name <input id=q></label>", "u")["regions"][0]["elements"][-1]["label"] == "Name"

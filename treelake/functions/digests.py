@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StringType
 
@@ -57,3 +60,33 @@ def corpus_digest(tag: str, urls: list[str]) -> str:
         digest.update(len(raw).to_bytes(8, "big"))
         digest.update(raw)
     return digest.hexdigest()
+
+
+def ordered_digests(rows: DataFrame, tag: str, key: str, order: list[str], value: str) -> DataFrame:
+    """(key, digest, n): ``corpus_digest`` of each key's values in order.
+
+    A key's rows come to one task sorted, as the digest asks for, and stream through it: none are
+    held. Rows with a null key or value are left out.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=[key, "digest", "n"])
+
+        own, state, n = None, None, 0
+        for batch in batches:
+            done = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != own:
+                    if state is not None:
+                        done.append((own, state.hexdigest(), n))
+                    own, state, n = k, hashlib.sha256(tag.encode()), 0
+                raw = v.encode("utf-8", "surrogatepass")
+                state.update(len(raw).to_bytes(8, "big") + raw)
+                n += 1
+            yield batch_of(done)
+        yield batch_of([(own, state.hexdigest(), n)] if state is not None else [])
+
+    slim = rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
+    return slim.select(F.col(key).cast("string"), F.col(value).cast("string")).mapInArrow(digest, f"`{key}` string, digest string, n bigint")

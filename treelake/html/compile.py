@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -44,13 +46,16 @@ def hidden(node: Node) -> bool:
         return "shadowrootmode" not in a
     if node.tag == "svg":
         return not (a.get("role") == "img" and ("aria-label" in a or "title" in a))
-    style = re.sub(r"\s", "", a.get("style", "")).lower()
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDING.search(style):
-        return True
-    if "overflow:hidden" in style and re.search(r"height:0|width:0", style) or "clip:rect(0" in style and "position:absolute" in style:
+    if not a:
+        return False
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
+    if "style" in a:
+        style = re.sub(r"\s", "", a["style"]).lower()
+        if HIDING.search(style) or "overflow:hidden" in style and re.search(r"height:0|width:0", style) or "clip:rect(0" in style and "position:absolute" in style:
+            return True
     names = [a.get("class", "").lower(), a.get("id", "").lower()]
-    if any(map(CONSENT.search, names)) or re.search("cookie|consent", a.get("aria-label", "").lower()):
+    if any(map(CONSENT.search, names)) or "aria-label" in a and re.search("cookie|consent", a["aria-label"].lower()):
         return True
     if a.get("role", "").lower() in ("dialog", "alertdialog") and node.tag in ("div", "aside", "section") and (re.search("modal|overlay|popup", names[0]) or re.search("modal|overlay", names[1])):
         return True
@@ -90,24 +95,36 @@ def role_of(node: Node) -> str | None:
     return TAG_ROLES.get(node.tag)
 
 
+@lru_cache(maxsize=1 << 14)
+def _hinted_region(names: str, html_id: str) -> str | None:
+    for name in (names.lower(), html_id.lower()):
+        for role, parts in REGION_HINTS:
+            if name and any(p in name for p in parts):
+                return role
+    return None
+
+
 def landmark_of(node: Node) -> str | None:
-    known = [ARIA_LANDMARKS[r] for r in node.attrs.get("role", "").lower().split() if r in ARIA_LANDMARKS]
-    if known or node.tag in LANDMARKS:
-        return known[0] if known else LANDMARKS[node.tag]
-    if node.tag in ("div", "section", "article", "ul", "ol"):
-        for name in (node.attrs.get("class", "").lower(), node.attrs.get("id", "").lower()):
-            for role, parts in REGION_HINTS:
-                if name and any(p in name for p in parts):
-                    return role
+    if "role" in node.attrs and (known := [ARIA_LANDMARKS[r] for r in node.attrs["role"].lower().split() if r in ARIA_LANDMARKS]):
+        return known[0]
+    if node.tag in LANDMARKS:
+        return LANDMARKS[node.tag]
+    if node.tag in ("div", "section", "article", "ul", "ol") and node.attrs:
+        return _hinted_region(node.attrs.get("class", ""), node.attrs.get("id", ""))
     return None
 
 
-def class_hints(names: str | None) -> list[str] | None:
-    low = (names or "").lower()
+@lru_cache(maxsize=1 << 14)
+def _hints(names: str) -> tuple[str, ...]:
+    low = names.lower()
     found = {hint for hint, parts in CLASS_HINTS.items() if any(p in low for p in parts)}
     if "card" in low and "discard" not in low:
         found.add("card")
-    return sorted(found) or None
+    return tuple(sorted(found))
+
+
+def class_hints(names: str | None) -> list[str] | None:
+    return list(_hints(names)) or None if names else None
 
 
 def rows_of(table: Node) -> list[list[Node]]:
@@ -135,35 +152,119 @@ def is_layout(table: Node) -> bool:
     return nested or widest <= 1 or blocks * 2 > sum(map(len, cells))
 
 
+def measure(root: Node, skip: Callable[[Node], bool]) -> tuple[str, str]:
+    """(all text, seen text) of a page; every node learns whether it is skipped, and its part of both texts and of the page's links and main parts.
+
+    One walk up and down: a node's text is a slice from then on, however deep it lies.
+    """
+    whole: list[str] = []
+    seen: list[str] = []
+    at = [0, 0, 0, 0]
+    hidden_above = 0
+    stack: list[tuple[Node, tuple | None]] = [(root, None)]
+    while stack:
+        node, began = stack.pop()
+        if began is not None:
+            node.span = (began[0], at[0], began[1], at[1], began[2], at[2], began[3], at[3])
+            hidden_above -= node.off
+            continue
+        if node.tag == "#text":
+            start = tuple(at)
+            whole.append(node.text)
+            at[0] += len(node.text)
+            if not hidden_above:
+                seen.append(node.text)
+                at[1] += len(node.text)
+            node.span = (start[0], at[0], start[1], at[1], at[2], at[2], at[3], at[3])
+            continue
+        node.off = skip(node)
+        # what stands in a declared shadow root is seen there only
+        hidden_above += node.off
+        began = tuple(at)
+        at[2] += node.tag == "a" and "href" in node.attrs
+        at[3] += node.tag in ("main", "article")
+        if node.children:
+            stack.append((node, began))
+            stack.extend((c, None) for c in reversed(node.children))
+        else:
+            node.span = (began[0], at[0], began[1], at[1], began[2], at[2], began[3], at[3])
+            hidden_above -= node.off
+    return "".join(whole), "".join(seen)
+
+
+# Attributes that come as given, as numbers where they are, as true where they are empty, and states.
+AS_GIVEN = "accesskey title accept autocomplete inputmode enterkeyhint autocapitalize dirname form formaction formmethod formenctype formtarget list popovertarget popovertargetaction commandfor command popover name step pattern".split()
+OF_LINKS = "href target rel hreflang type referrerpolicy".split()
+OF_FRAMES = "src sandbox allow width height".split()
+NUMBERS = ("tabindex", "minlength", "maxlength", "min", "max")
+STATES = {s: s for s in "expanded selected checked readonly disabled current pressed hidden controls haspopup invalid placeholder autocomplete errormessage keyshortcuts roledescription busy live atomic relevant owns flowto details multiline multiselectable orientation sort level posinset setsize grabbed dropeffect valuemin valuemax valuenow valuetext label labelledby describedby".split()} | {"activedescendant": "active_descendant"}
+LABELABLE = frozenset("button input meter output progress select textarea".split())
+
+
+def number_or_text(value: str) -> int | str:
+    return int(value) if re.fullmatch(r"[+-]?\d{1,18}", value, re.A) else value
+
+
+def said(value: str) -> bool | str:
+    """A state as written: true and false as such, all else trimmed text."""
+    return {"true": True, "false": False}.get(value.strip().lower(), value.strip())
+
+
 class Compiler:
-    """One page: regions in the order their content closes, ids in reading order."""
+    """One page: regions in the order their content closes, ids in reading order.
+
+    Walks keep their own stacks, and texts are slices of the page's, so time grows with the size of
+    the page, not with its depth.
+    """
 
     def __init__(self, html: str, url: str):
         self.root = parse(html)
         split = urlsplit(url or "")
         self.origin = f"{split.scheme}://{split.netloc}" if split.netloc else ""
-        self.styles = StyleRules([n.all_text() for n in self.root.walk() if n.tag == "style"])
+        nodes = list(self.root.walk())
+        self.styles = StyleRules([n.all_text() for n in nodes if n.tag == "style"])
         self.ids: Counter = Counter()
         self.counts: Counter = Counter()
         self.regions: list[dict] = []
         self.in_main, self.paragraphs = False, 0
-        self.by_id = {n.attrs["id"]: n for n in reversed(list(self.root.walk())) if n.attrs.get("id")}
-        self.by_for = {n.attrs["for"]: collapse_text(n.all_text()) for n in reversed(list(self.root.walk())) if n.tag == "label" and n.attrs.get("for")}
+        self.whole, self.seen = measure(self.root, lambda n: hidden(n) or self.styles.hide(n))
+        self.footers = [m.start() for m in re.finditer(FOOTER.pattern, self.whole, re.I)]
+        self.by_id: dict[str, str] = {}
+        self.by_for: dict[str, str] = {}
+        stack = [self.root]
+        while stack:
+            n = stack.pop()
+            if n.off:
+                continue
+            stack.extend(reversed(n.children))
+            if n.tag.startswith("#") or "id" not in n.attrs and n.tag != "label":
+                continue
+            if text := normalize_text(self.text(n)):
+                if own := n.attrs.get("id", "").strip():
+                    self.by_id[own] = text
+                if n.tag == "label":
+                    target = n.attrs["for"].strip() if "for" in n.attrs else next((i for x in n.walk() if x.tag in LABELABLE and (i := x.attrs.get("id", "").strip())), "")
+                    if target:
+                        self.by_for[target] = text
 
     def skip(self, node: Node) -> bool:
-        return hidden(node) or self.styles.hide(node)
+        return node.off
 
     def text(self, node: Node) -> str:
+        """What a reader sees of a node, without separators."""
         if node.tag == "#text":
             return node.text
-        return "" if self.skip(node) else "".join(map(self.text, node.children))
+        return self.seen[node.span[2] : node.span[3]]
+
+    def named(self, names: str) -> str:
+        return " ".join(self.by_id[i] for i in names.split() if i in self.by_id)
 
     def label(self, node: Node, text: str | None) -> str | None:
         a, tag = node.attrs, node.tag
-        named = " ".join(collapse_text(self.by_id[i].all_text()) for i in a.get("aria-labelledby", "").split() if i in self.by_id)
+        named = self.named(a.get("aria-labelledby", ""))
         kind = a.get("type", "text").lower() if tag == "input" else ""
         last = a.get("alt") if kind == "image" else a.get("value") if kind in ("submit", "button", "reset") else None
-        for given in (named, a.get("aria-label"), self.by_for.get(a.get("id", "")), a.get("title")):
+        for given in (named, a.get("aria-label"), self.by_for.get(a.get("id", "").strip()), a.get("title")):
             if given and (form := normalize_text(given)) and form != text:
                 return form
         if a.get("placeholder"):
@@ -172,38 +273,83 @@ class Compiler:
         return form if form and form != text else None
 
     def attrs(self, node: Node, role: str, off: bool, inert: bool) -> dict | None:
-        a, out = node.attrs, {}
-        names = {"link": ["href", "target", "rel", "hreflang", "download"], "image": ["src", "alt", "srcset"], "iframe": ["src", "sandbox", "width", "height", "title"]}.get(role, [])
-        names += ["name", "value", "placeholder", "min", "max", "step", "pattern", "autocomplete", "inputmode", "minlength", "maxlength", "form"] if role in ("text_input", "textarea", "select", "checkbox", "radio", "button") else []
-        out |= {n: a[n] for n in names if n in a and (a[n] or n in ("alt", "download", "sandbox"))}
-        if role == "text_input" and node.tag == "input":
-            out["input_type"] = a.get("type", "text").lower()
-        if node.tag == "button":
-            out["button_type"] = a.get("type", "").lower() if a.get("type", "").lower() in ("button", "reset") else "submit"
-        for flag in ("required", "checked", "multiple", "readonly", "disabled", "open"):
-            if flag in a and (flag != "open" or node.tag == "details"):
-                out[flag] = True
-        if off and role in ACTIONS and role not in ("link", "details"):
-            out["disabled"] = True
-        if inert:
-            out["inert"] = True
-        if role == "heading":
-            out["level"] = int(a["aria-level"]) if a.get("aria-level", "").isdigit() else int(node.tag[1]) if node.tag[1:].isdigit() else 2
-        if node.tag == "select":
-            out["options"] = self.options(node)
-        if role == "list":
-            items = [collapse_text(self.text(c)) for c in node.children if c.tag == "li" and not self.skip(c)]
+        a, tag, out = node.attrs, node.tag, {}
+        disabled = off or "disabled" in a
+        if tag == "a":
+            out |= {n: a[n] for n in OF_LINKS if n in a}
+            if "download" in a:
+                out["download"] = a["download"] or True
+        elif tag == "input":
+            kind = a.get("type", "text").lower()
+            out["input_type"] = kind
+            if kind in ("submit", "button", "reset", "image"):
+                out["button_type"] = kind
+            out |= {n: a[n] for n in ("value", *(("alt", "src") if kind == "image" else ()), "placeholder") if n in a}
+            flags = {"required": "required" in a, "disabled": disabled, "checked": kind in ("checkbox", "radio") and "checked" in a, "multiple": "multiple" in a}
+            out |= {n: True for n, on in flags.items() if on}
+            if kind == "radio" and "name" in a:
+                out["group"] = a["name"]
+        elif tag == "textarea":
+            if value := normalize_text(self.text(node)):
+                out["value"] = value
+            out |= {n: a[n] for n in ("placeholder",) if n in a} | {n: True for n in ("required", "readonly") if n in a} | ({"disabled": True} if disabled else {})
+        elif tag == "button":
+            out["button_type"] = k if (k := a.get("type", "").strip().lower()) in ("button", "reset") else "submit"
+            out |= {n: a[n] for n in ("value",) if n in a} | ({"disabled": True} if disabled else {})
+        elif tag == "select":
+            options = self.options(node)
+            chosen = [o["value"] for o in options if o.get("selected")]
+            out |= {"options": options} if options else {}
+            out |= {"multiple": True} if "multiple" in a else {}
+            out |= {"size": number_or_text(a["size"])} if "size" in a else {}
+            out |= {"required": True} if "required" in a else {}
+            out |= {"value": chosen[0]} if chosen else {}
+            out |= {"selected_values": chosen} if chosen and "multiple" in a else {}
+            out |= {"disabled": True} if disabled else {}
+        elif tag in ("img", "picture"):
+            out |= {n: a[n] for n in ("alt", "src") if n in a}
+        elif tag in ("ul", "ol"):
+            items = [collapse_text(self.text(c)) for c in node.children if c.tag == "li" and not c.off]
             items = [i for i in items if i]
-            out["ordered"] = node.tag == "ol"
-            out["items"] = [{"text": i} for i in items[:5]] + ([{"text": f"[{len(items) - 5} more items]"}] if len(items) > 5 else [])
-        if node.tag == "table":
+            out["ordered"] = tag == "ol"
+            if items:
+                out["items"] = [{"text": i} for i in items[:5]] + ([{"text": f"[{len(items) - 5} more items]"}] if len(items) > 5 else [])
+        elif tag == "table":
             out |= self.table(node)
-        aria = {k[5:].replace("-", "_"): {"true": True, "false": False}.get(v, v) for k, v in a.items() if k.startswith("aria-") and k not in ("aria-label", "aria-labelledby", "aria-hidden", "aria-describedby", "aria-level")}
-        if aria:
-            out["aria"] = aria
-        for key in ("data-testid", "data-test-id", "data-test"):
-            if a.get(key):
-                out.setdefault("test_id", a[key])
+        elif tag in ("section", "article"):
+            out |= {"section_label": a["aria-label"]} if "aria-label" in a else {}
+        elif tag == "fieldset":
+            legend = next((t for c in node.children if c.tag == "legend" and (t := normalize_text(self.text(c)))), None)
+            out |= ({"legend": legend} if legend else {}) | ({"disabled": True} if disabled else {})
+        elif tag == "details":
+            out["open"] = "open" in a
+            summary = next((t for c in node.children if c.tag == "summary" and (t := normalize_text(self.text(c)))), None)
+            out |= {"summary": summary} if summary else {}
+        elif tag == "iframe":
+            out |= {n: a[n] for n in OF_FRAMES if n in a}
+            if "srcdoc" in a:
+                out |= {"has_srcdoc": True} | ({"srcdoc_preview": a["srcdoc"][:200]} if a["srcdoc"] else {})
+        if role == "heading":
+            out["level"] = int(a["aria-level"]) if a.get("aria-level", "").isdigit() else int(tag[1]) if tag[1:].isdigit() else 2
+        out |= {n: number_or_text(a[n]) for n in NUMBERS if n in a}
+        out |= {n: a[n] for n in AS_GIVEN if n in a}
+        if "capture" in a:
+            out["capture"] = a["capture"] or True
+        for name, empty in (("contenteditable", True), ("spellcheck", True), ("draggable", None)):
+            if name in a:
+                word = a[name].strip().lower()
+                out[name] = True if word == "true" or not word and empty else False if word == "false" else a[name]
+        if "role" in a:
+            out["source_role"] = a["role"]
+        if test := next((a[k] for k in ("data-testid", "data-test-id", "data-test") if a.get(k)), None):
+            out["test_id"] = test
+        states = {k[5:]: said(v) for k, v in a.items() if k.startswith("aria-") and k[5:] in STATES}
+        flags = {"inert": inert or "inert" in a, "formnovalidate": "formnovalidate" in a, "readonly": "readonly" in a or states.get("readonly") is True, "required": states.get("required") is True or said(a.get("aria-required", "")) is True, "disabled": states.get("disabled") is True}
+        out |= {n: True for n, on in flags.items() if on}
+        if description := normalize_text(self.named(a.get("aria-describedby", "")) or a.get("aria-description", "")):
+            out["description"] = description
+        if states:
+            out["aria"] = {STATES[k]: v for k, v in states.items()}
         return out or None
 
     def options(self, node: Node) -> list[dict]:
@@ -229,7 +375,7 @@ class Compiler:
     def table(self, node: Node) -> dict:
         rows, headers = [], None
         for cells in rows_of(node):
-            line = []
+            line: list[str] = []
             for c in cells:
                 span = int(c.attrs["colspan"]) if c.attrs.get("colspan", "").isdigit() else 1
                 line += [collapse_text(self.text(c))[:80]] * max(1, min(span, 12))
@@ -261,7 +407,7 @@ class Compiler:
             if role in ("table", "list", "group"):
                 text = None
         label = self.label(node, text)
-        if label is None and node.tag == "fieldset" and (legend := node.find("legend")):
+        if label is None and node.tag == "fieldset" and (legend := next((c for c in node.children if c.tag == "legend"), None)):
             label = normalize_text(self.text(legend)) or None
         inert = inert or "inert" in node.attrs
         out = {"role": role, "html_id": node.attrs.get("id") or None, "text": text, "label": label, "actions": ACTIONS.get(role), "attrs": self.attrs(node, role, off, inert), "hints": class_hints(node.attrs.get("class"))}
@@ -282,27 +428,38 @@ class Compiler:
     def interactive_below(self, node: Node, path: str, off: bool, inert: bool) -> list[dict]:
         """Action targets inside an element that is none itself."""
         out = []
-        for i, c in enumerate(node.children):
-            if c.tag.startswith("#") or self.skip(c):
-                continue
-            at, stopped = f"{path}/{i}", off or c.tag == "fieldset" and "disabled" in c.attrs
-            if role_of(c) in ACTIONS:
-                out.append(self.element(c, at, stopped, inert, plain=True))
-            else:
-                out += self.interactive_below(c, at, stopped, inert or "inert" in c.attrs)
-        return out
+        stack = [(node, path, off, inert)]
+        while stack:
+            n, at, stopped, still = stack.pop()
+            if n is not node:
+                if n.tag.startswith("#") or n.off:
+                    continue
+                stopped = stopped or n.tag == "fieldset" and "disabled" in n.attrs
+                if role_of(n) in ACTIONS:
+                    out.append(self.element(n, at, stopped, still, plain=True))
+                    continue
+                still = still or "inert" in n.attrs
+            stack.extend((c, f"{at}/{i}", stopped, still) for i, c in reversed(list(enumerate(n.children))))
+        return [e for e in out if e is not None]
 
     def extract(self, node: Node, path: str, off: bool, inert: bool) -> list[dict]:
         """Elements of a subtree that makes one region."""
-        if self.skip(node):
-            return []
-        inner_off = off or node.tag == "fieldset" and "disabled" in node.attrs
-        inner_inert = inert or "inert" in node.attrs
-        own = self.element(node, path, off, inert)
-        if own is not None:
-            below = [] if own["role"] in ACTIONS or node.tag == "#text" else self.interactive_below(node, path, inner_off, inner_inert)
-            return [own, *below]
-        return [e for i, c in enumerate(node.children) for e in self.extract(c, f"{path}/{i}", inner_off, inner_inert)]
+        out: list[dict] = []
+        stack = [(node, path, off, inert)]
+        while stack:
+            n, at, stopped, still = stack.pop()
+            if n.off:
+                continue
+            below_off = stopped or n.tag == "fieldset" and "disabled" in n.attrs
+            below_inert = still or "inert" in n.attrs
+            own = self.element(n, at, stopped, still)
+            if own is None:
+                stack.extend((c, f"{at}/{i}", below_off, below_inert) for i, c in reversed(list(enumerate(n.children))))
+                continue
+            out.append(own)
+            if own["role"] not in ACTIONS and n.tag != "#text":
+                out += self.interactive_below(n, at, below_off, below_inert)
+        return out
 
     def claim(self, role: str) -> str:
         number = self.counts[role]
@@ -313,67 +470,71 @@ class Compiler:
         if elements:
             self.regions.append({"id": rid, "role": role} | {k: v for k, v in fields.items() if v} | {"elements": summarize(elements, role == "navigation")})
 
-    def collect(self, node: Node, path: str, loose: list[dict], inert: bool) -> None:
-        """Regions of a subtree; elements outside of them go to ``loose``."""
-        if self.skip(node):
-            return
-        if node.tag.startswith("#"):
-            if (own := self.element(node, path, False, False)) is not None:
-                loose.append(own)
-            return
-        a, inert = node.attrs, inert or "inert" in node.attrs
-        named = " ".join(collapse_text(self.by_id[i].all_text()) for i in a.get("aria-labelledby", "").split() if i in self.by_id)
-        label = normalize_text(named or a.get("aria-label") or a.get("title") or "") or None
-        if role := landmark_of(node):
-            rid, was = self.claim(role), self.in_main
-            if role == "main":
-                self.in_main, self.paragraphs = True, 0
-            own: list[dict] = []
-            for i, c in enumerate(node.children):
-                self.collect(c, f"{path}/{i}", own, inert)
-            self.in_main = was
-            self.region(rid, "navigation" if role == "search" else role, own, label=label)
-            return
-        if node.tag == "form":
-            rid = self.claim("form")
-            label = label or next((v for k, v in a.items() if k in ("name", "id")), None)
-            self.region(rid, "form", self.extract(node, path, False, inert), label=label, action=a.get("action"), method=a.get("method", "").upper(), target=a.get("target"), enctype=a.get("enctype"), novalidate="novalidate" in a, accept_charset=a.get("accept-charset"), autocomplete=a.get("autocomplete"))
-            return
-        kind = self.by_density(node)
-        if kind:
-            self.region(self.claim(kind), kind, self.extract(node, path, False, inert))
-            return
-        own_element = self.element(node, path, False, inert)
-        if own_element is not None:
-            loose.append(own_element)
-            if own_element["role"] not in ACTIONS:
-                loose += self.interactive_below(node, path, node.tag == "fieldset" and "disabled" in a, inert)
-            return
-        for i, c in enumerate(node.children):
-            self.collect(c, f"{path}/{i}", loose, inert)
+    def collect(self, top: Node, loose: list[dict], inert: bool) -> None:
+        """Regions of what is below ``top``; elements outside of them go to ``loose``."""
+        stack: list[tuple] = [("visit", c, f"0/{i}", loose, inert) for i, c in reversed(list(enumerate(top.children)))]
+        while stack:
+            what, node, path, held, still = stack.pop()
+            if what == "close":
+                rid, role, own, label, was = path
+                self.in_main = was
+                self.region(rid, "navigation" if role == "search" else role, own, label=label)
+                continue
+            if node.off:
+                continue
+            if node.tag.startswith("#"):
+                if (own := self.element(node, path, False, False)) is not None:
+                    held.append(own)
+                continue
+            a, still = node.attrs, still or "inert" in node.attrs
+            label = normalize_text(self.named(a.get("aria-labelledby", "")) or a.get("aria-label") or a.get("title") or "") or None
+            below = [(c, f"{path}/{i}") for i, c in reversed(list(enumerate(node.children)))]
+            if role := landmark_of(node):
+                own: list[dict] = []
+                stack.append(("close", node, (self.claim(role), role, own, label, self.in_main), held, still))
+                if role == "main":
+                    self.in_main, self.paragraphs = True, 0
+                stack += [("visit", c, at, own, still) for c, at in below]
+            elif node.tag == "form":
+                rid = self.claim("form")
+                label = label or next((v for k, v in a.items() if k in ("name", "id")), None)
+                self.region(rid, "form", self.extract(node, path, False, still), label=label, action=a.get("action"), method=a.get("method", "").upper(), target=a.get("target"), enctype=a.get("enctype"), novalidate="novalidate" in a, accept_charset=a.get("accept-charset"), autocomplete=a.get("autocomplete"))
+            elif kind := self.by_density(node):
+                self.region(self.claim(kind), kind, self.extract(node, path, False, still))
+            elif (own_element := self.element(node, path, False, still)) is not None:
+                held.append(own_element)
+                if own_element["role"] not in ACTIONS:
+                    held += self.interactive_below(node, path, node.tag == "fieldset" and "disabled" in a, still)
+            else:
+                stack += [("visit", c, at, held, still) for c, at in below]
 
     def by_density(self, node: Node) -> str | None:
         """Navigation by its share of links, or footer by its words, for blocks that hold no main part."""
         if node.tag not in ("div", "ul", "ol", "section"):
             return None
-        solid = [c for c in node.children if not (c.tag == "#text" and not c.text.strip())]
-        if node.tag == "div" and len(solid) == 1 and solid[0].tag in WRAPPERS | {"main", "article", "section", "form", "nav"} and not node.attrs.get("role"):
+        text0, text1, _, _, link0, link1, main0, main1 = node.span
+        if main1 > main0:
             return None
-        if node.find("main", "article"):
-            return None
-        links = sum(1 for n in node.walk() if n.tag == "a" and "href" in n.attrs)
+        if node.tag == "div" and not node.attrs.get("role"):
+            solid = [c for c in node.children if not (c.tag == "#text" and not c.text.strip())]
+            if len(solid) == 1 and solid[0].tag in WRAPPERS | {"main", "article", "section", "form", "nav"}:
+                return None
+        links = link1 - link0
         if node.tag in ("div", "ul", "ol") and node.children and links >= 3 and links / len(node.children) > 0.5:
             return "navigation"
-        return "footer" if node.tag in ("div", "section") and FOOTER.search(node.all_text().lower()) else None
+        if node.tag in ("div", "section"):
+            at = bisect_left(self.footers, text0)
+            if at < len(self.footers) and self.footers[at] < text1:
+                return "footer"
+        return None
 
     def page(self, html: str, url: str) -> dict:
         body = next(c for c in self.root.children if c.tag == "body")
         loose: list[dict] = []
-        for i, c in enumerate(body.children):
-            self.collect(c, f"0/{i}", loose, "inert" in body.attrs)
+        self.collect(body, loose, "inert" in body.attrs)
         if loose:
             self.region(self.claim("content"), "content", loose)
-        title = next((t for n in self.root.walk() if n.tag == "title" and (t := n.all_text().strip())), "")
+        title = next((t for n in self.root.walk() if n.tag == "title" and (t := n.all_text())), "")
         flat = list(flatten(self.regions))
         meta = {"html_bytes": len(html.encode("utf-8", "surrogatepass")), "som_bytes": 0, "element_count": len(flat), "interactive_count": sum(e["role"] in ACTIONS for *_, e in flat)}
         out = {"som_version": "0.1", "url": url, "title": title, "lang": self.root.attrs.get("lang") or "en", "regions": self.regions, "meta": meta}
@@ -384,29 +545,34 @@ class Compiler:
 
 
 def summarize(elements: list[dict], navigation: bool) -> list[dict]:
-    """Elements within a region's budgets: each target once, so many links, paragraphs and elements."""
-    links, paragraphs, others, dropped, chars, seen, out = 0, 0, 0, 0, 0, set(), []
+    """Elements within a region's budgets: each target once, so many links, paragraphs and elements; a last one says what was left out."""
+    counts: Counter = Counter()
+    left: Counter = Counter()
+    chars, seen, out = 0, set(), []
     for e in elements:
-        role, keep = e["role"], True
+        role, why = e["role"], None
         if role == "link":
             target = re.sub(r"/$", "", (e.get("attrs") or {}).get("href", "").split("#")[0])
-            keep = not target or target not in seen
-            seen.add(target)
-            links += keep
-            keep = keep and links <= (MOST_NAVIGATION_LINKS if navigation else MOST_LINKS)
+            if target and target in seen:
+                why = "duplicate links"
+            else:
+                seen.add(target)
+                counts["link"] += 1
+                why = "more links" if counts["link"] > (MOST_NAVIGATION_LINKS if navigation else MOST_LINKS) else None
         elif role == "paragraph":
-            paragraphs += 1
-            keep = paragraphs <= MOST_PARAGRAPHS
-        if keep and role not in ("heading", "text_input", "textarea", "select", "checkbox", "radio", "button"):
-            others += 1
-            keep = others <= MOST_ELEMENTS
-        if keep:
+            counts["paragraph"] += 1
+            why = "more paragraphs" if counts["paragraph"] > MOST_PARAGRAPHS else None
+        if why is None and role not in ("heading", "text_input", "textarea", "select", "checkbox", "radio", "button"):
+            counts["other"] += 1
+            why = "more elements" if counts["other"] > MOST_ELEMENTS else None
+        if why is None:
             out.append(e)
         else:
-            dropped += 1
+            left[why] += 1
             chars += len((e.get("text") or "").encode("utf-8", "surrogatepass"))
-    if dropped:
-        out.append({"id": f"e_summary_{dropped}", "role": "paragraph", "text": f"[{dropped} more elements, {chars} chars]"})
+    if left:
+        parts = [f"{left[k]} {k}" for k in ("duplicate links", "more links", "more paragraphs", "more elements") if left[k]]
+        out.append({"id": f"e_summary_{left.total()}", "role": "paragraph", "text": f"[{', '.join(parts)} dropped, ~{chars} chars]"})
     return out
 
 
@@ -492,7 +658,7 @@ def compile_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
                     m = som["meta"]
                     rows.append((k, som["url"], som["title"], som["lang"], m["html_bytes"], m["som_bytes"], m["element_count"], m["interactive_count"], json.dumps(som, ensure_ascii=False, separators=(",", ":")), None))
                 except Exception as e:  # noqa: BLE001 - a bad page must not end the job
-                    rows.append((k, u, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
+                    rows.append((k, u, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 

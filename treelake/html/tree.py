@@ -7,6 +7,7 @@ three alike), implied table sections, and raw text. Content that tables push out
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 # Element sets of the HTML standard.
@@ -24,12 +25,14 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 class Node:
     """An element (tag), a text (tag '#text') or a comment (tag '#comment')."""
 
-    __slots__ = ("tag", "attrs", "children", "text", "parent")
+    __slots__ = ("tag", "attrs", "children", "text", "parent", "off", "span")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, text: str = ""):
         self.tag, self.attrs, self.text = tag, attrs or {}, text
         self.children: list[Node] = []
         self.parent: Node | None = None
+        #: Set when a page is measured: whether nobody sees the node, and where its texts and links lie in the page's.
+        self.off, self.span = False, (0,) * 8
 
     def add(self, child: Node, before: Node | None = None) -> Node:
         child.parent = self
@@ -63,9 +66,22 @@ class _Builder(HTMLParser):
         self.body: Node | None = None
         self.open = [self.html, self.head]
         self.active: list[Node | None] = []
+        #: Open elements by tag: what isn't open needs no search for its scope.
+        self.count: Counter = Counter(("html", "head"))
+
+    def _push(self, node: Node) -> None:
+        self.open.append(node)
+        self.count[node.tag] += 1
+
+    def _pop(self) -> Node:
+        node = self.open.pop()
+        self.count[node.tag] -= 1
+        return node
 
     # the stack of open elements
     def _in_scope(self, tags, stop=SCOPE) -> bool:
+        if not any(self.count[t] for t in tags):
+            return False
         for node in reversed(self.open):
             if node.tag in tags:
                 return True
@@ -75,7 +91,7 @@ class _Builder(HTMLParser):
 
     def _pop_to(self, tags) -> None:
         while len(self.open) > 1:
-            if self.open.pop().tag in tags:
+            if self._pop().tag in tags:
                 return
 
     def _close_p(self) -> None:
@@ -86,6 +102,7 @@ class _Builder(HTMLParser):
         if self.body is None:
             self.body = self.html.add(Node("body"))
             self.open = [self.html, self.body]
+            self.count = Counter(("html", "body"))
 
     def _place(self, node: Node) -> Node:
         top = self.open[-1]
@@ -102,7 +119,7 @@ class _Builder(HTMLParser):
         for i in range(at, len(self.active)):
             old = self.active[i]
             new = self._place(Node(old.tag, dict(old.attrs)))
-            self.open.append(new)
+            self._push(new)
             self.active[i] = new
 
     def _remember(self, node: Node) -> None:
@@ -133,10 +150,10 @@ class _Builder(HTMLParser):
             if tag in CLOSES_P:
                 self._close_p()
             if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-                self.open.pop()
+                self._pop()
             if tag in ("li", "dd", "dt"):
                 alike = ("li",) if tag == "li" else ("dd", "dt")
-                for n in reversed(self.open):
+                for n in reversed(self.open) if any(self.count[t] for t in alike) else ():
                     if n.tag in alike:
                         self._pop_to(alike)
                         break
@@ -144,18 +161,18 @@ class _Builder(HTMLParser):
                         break
                 self._close_p()
             if tag in ("option", "optgroup") and self.open[-1].tag == "option":
-                self.open.pop()
+                self._pop()
             if tag == "optgroup" and self.open[-1].tag == "optgroup":
-                self.open.pop()
+                self._pop()
             if tag in TABLE_PARTS:
                 if not self._in_scope(("table",), frozenset(("html", "template"))):
                     return
                 while self.open[-1].tag not in TABLE_PARTS[tag] and self.open[-1].tag not in ("table", "html") and not (tag in ("td", "th") and self.open[-1].tag in ("tbody", "thead", "tfoot")):
-                    self.open.pop()
+                    self._pop()
                 if tag in ("tr", "td", "th") and self.open[-1].tag == "table":
-                    self.open.append(self.open[-1].add(Node("tbody")))
+                    self._push(self.open[-1].add(Node("tbody")))
                 if tag in ("td", "th") and self.open[-1].tag != "tr":
-                    self.open.append(self.open[-1].add(Node("tr")))
+                    self._push(self.open[-1].add(Node("tr")))
                 self.active.append(None)
             if tag == "a":
                 for n in reversed(self.active):
@@ -171,7 +188,7 @@ class _Builder(HTMLParser):
         placed = self._place(node)
         if tag in VOID:
             return
-        self.open.append(placed)
+        self._push(placed)
         if tag in FORMATTING and self.body is not None:
             self._remember(placed)
         if tag in ("button", "object", "template"):
@@ -179,8 +196,8 @@ class _Builder(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and any(n.tag in ("svg", "math") for n in self.open):
-            self.open.pop()
+        if tag not in VOID and (self.count["svg"] or self.count["math"]):
+            self._pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -199,7 +216,7 @@ class _Builder(HTMLParser):
             self._end_formatting(tag)
             return
         tags = HEADINGS if tag in HEADINGS else (tag,)
-        if any(n.tag in tags for n in self.open) and self._in_scope(tags, frozenset(("html", "template")) if tag in TABLE_PARTS or tag in ("table", "template") else SCOPE):
+        if self._in_scope(tags, frozenset(("html", "template")) if tag in TABLE_PARTS or tag in ("table", "template") else SCOPE):
             self._pop_to(tags)
             if tag in TABLE_PARTS or tag in ("table", "button", "object", "template"):
                 while self.active and tag != "table" and self.active.pop() is not None:
@@ -224,7 +241,8 @@ class _Builder(HTMLParser):
         at = self.open.index(mine)
         block = next((i for i in range(at + 1, len(self.open)) if self.open[i].tag in SPECIAL_BLOCKS), None)
         if block is None:
-            del self.open[at:]
+            while len(self.open) > at:
+                self._pop()
             self.active.remove(mine)
             return
         # the block moves out; what it held goes into a copy of the formatting element inside it
@@ -237,7 +255,7 @@ class _Builder(HTMLParser):
             child.parent = copy
         outer.add(copy)
         self.active.remove(mine)
-        del self.open[at]
+        self.count[self.open.pop(at).tag] -= 1
 
     def handle_data(self, data: str) -> None:
         top = self.open[-1]

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from treelake.functions.urls import cache_url, glob_column
 
@@ -56,19 +57,27 @@ def rule_matches(rule: str, path: str) -> bool:
     return at == len(path) or not anchored or len(pieces) > 1 and not pieces[-1]
 
 
+def rule_regex(rule: str) -> str:
+    """The regular expression of a normal rule for the JVM: ``rule_matches`` said with atomic groups."""
+    anchored = rule.endswith("$")
+    pieces = [re.escape(p) for p in (rule[:-1] if anchored else rule).split("*")]
+    end = r"\z" if anchored and not (len(pieces) > 1 and not pieces[-1]) else ""
+    return "(?s)^" + pieces[0] + "".join(f"(?>.*?{p})" for p in pieces[1:]) + end
+
+
 def robots_rules(text: str | None) -> list[tuple[int, str, str, str, int]]:
     """(group, agent, directive, normal rule, specificity) of a robots file; directive '' tells the agent only.
 
-    A user-agent line begins a new group only after a rule. Empty rules are passed over. Rules (each
-    once, for however many agents) and lines over the limits are left out and reported: a last row
-    of group -1 without an agent has their number as specificity.
+    A user-agent line begins a new group only after a rule. Empty rules are passed over. Rules over
+    the limit (each once, for however many agents) and lines over theirs are left out and reported:
+    rows of group -1 with directive rules_omitted or lines_over_limit have their number as specificity.
     """
     out, agents, group, ruled = [], [], -1, True
-    rules = omitted = 0
+    rules, left = 0, {"rules_omitted": 0, "lines_over_limit": 0}
     for at, line in enumerate((text or "").split("\n")):
-        line = line.lstrip("﻿") if at == 0 else line
+        line = line.lstrip("\ufeff") if at == 0 else line
         if len(line.encode("utf-8", "surrogatepass")) > MOST_LINE_BYTES:
-            omitted += 1
+            left["lines_over_limit"] += 1
             continue
         name, colon, value = line.split("#")[0].strip().partition(":")
         name, value = name.strip().lower(), value.strip()
@@ -82,44 +91,83 @@ def robots_rules(text: str | None) -> list[tuple[int, str, str, str, int]]:
         elif name in ("allow", "disallow") and agents and value:
             ruled = True
             if rules >= MOST_RULES:
-                omitted += 1
+                left["rules_omitted"] += 1
                 continue
             rules += 1
             rule = normal_path(value, True)
             out += [(group, a, name, rule, specificity(rule)) for a in agents]
-    return out + [(-1, "", "", "", omitted)] * (omitted > 0)
+    return out + [(-1, "", kind, "", n) for kind, n in left.items() if n]
+
+
+_RULE = ArrayType(StructType([StructField(n, IntegerType() if n in ("group", "specificity") else StringType()) for n in ("group", "agent", "directive", "rule", "specificity", "regex")]))
+
+
+@F.pandas_udf(_RULE)
+def _parse_robots(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [dict(zip(("group", "agent", "directive", "rule", "specificity"), r)) | {"regex": rule_regex(r[3])} for r in robots_rules(t)])
+
+
+@F.pandas_udf(StringType())
+def _normal_paths(paths: pd.Series) -> pd.Series:
+    return paths.map(lambda p: normal_path(p, False), na_action="ignore")
 
 
 def parsed_robots(files: DataFrame, key: str = "host", text: str = "robots_txt") -> DataFrame:
-    """One row per file, group, agent and rule."""
+    """One row per host, group, agent and rule; files that many hosts share are parsed once."""
+    named = files.select(F.col(key).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("d", F.sha2("t", 256))
+    rules = named.groupBy("d").agg(F.first("t").alias("t")).select("d", F.explode(_parse_robots("t")).alias("r")).select("d", "r.*")
+    return named.select("host", "d").join(rules, "d").drop("d")
 
-    @F.pandas_udf("array<struct<group:int,agent:string,directive:string,rule:string,specificity:int>>")
-    def parse(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("group", "agent", "directive", "rule", "specificity"), r)) for r in robots_rules(t)])
 
-    return files.select(F.col(key).alias("host"), F.explode(parse(F.coalesce(F.col(text), F.lit(""))).alias("r")).alias("r")).select("host", "r.*")
+#: Rules that go to the targets; with more both sides are shuffled by host.
+MOST_BROADCAST = 50_000
 
 
 def robots_decisions(targets: DataFrame, rules: DataFrame, token: str) -> DataFrame:
     """(host, path, allowed, reason, rule) of targets (host, path): the best rule of the agent's groups.
 
     Groups that name the agent count, else those of '*'. The most specific rule wins, allow before
-    disallow, then the first group and rule. robots.txt itself is always allowed.
+    disallow, then the first group and rule. robots.txt itself is always allowed. A file with a line
+    over the limit denies everything. Null hosts and paths are no targets.
+    """
+    named = F.col("agent") == token.lower()
+    chosen = rules.filter(named | (F.col("agent") == "*") | (F.col("group") < 0))
+    exact = F.max(named).over(Window.partitionBy("host"))
+    own = chosen.withColumn("exact", exact).filter((F.col("group") < 0) | F.when(F.col("exact"), named).otherwise(F.col("agent") == "*")).filter("directive <> '' and directive <> 'rules_omitted'").drop("exact")
+    paths = targets.select("host", "path").filter("host is not null and path is not null").distinct().withColumn("n", _normal_paths("path"))
+    few = own.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    # a line over the limit is the best of all rules; the others are matched in the JVM
+    hit = paths.join(F.broadcast(own) if few else own, "host").filter((F.col("directive") == "lines_over_limit") | F.regexp_like("n", F.col("regex")))
+    order = F.when(F.col("directive") == "lines_over_limit", -1).when(F.col("directive") == "allow", 0).otherwise(1)
+    best = hit.groupBy("host", "path").agg(F.min(F.struct(F.when(F.col("group") < 0, -(1 << 30)).otherwise(-F.col("specificity")).alias("s"), order.alias("o"), F.col("group"), F.col("rule"), F.col("directive"))).alias("b"))
+    rows = paths.drop("n").join(best, ["host", "path"], "left")
+    invalid = F.coalesce(F.col("b.directive") == "lines_over_limit", F.lit(False))
+    implicit = ~invalid & (F.col("path") == "/robots.txt")
+    allowed = ~invalid & (implicit | F.col("b").isNull() | (F.col("b.directive") == "allow"))
+    reason = F.when(invalid, "robots_invalid_line_limit").when(implicit, "robots_txt_implicitly_allowed").when(F.col("b").isNull(), "no_matching_rule").otherwise(F.concat("b.directive", F.lit("_rule")))
+    return rows.select("host", "path", allowed.alias("allowed"), reason.alias("reason"), F.when(~implicit & ~invalid, F.col("b.rule")).alias("rule"))
+
+
+def robots_policies(targets: DataFrame, fetches: DataFrame, token: str) -> DataFrame:
+    """(host, path, allowed, reason, rule, classification, checks_completed, checks_failed) of targets by what fetching each robots file gave.
+
+    ``fetches`` has host, robots_txt, http_status and failure (too_large, blocked, timeout, navigation,
+    redirects; null where an answer came), each host once. Without a failure and with a status under
+    400 the file decides; a status of 4xx allows everything, any other denies it, as a failure does.
+    A host that nothing was fetched for is unreachable.
     """
-    exact = F.max(F.col("agent") == token.lower()).over(Window.partitionBy("host"))
-    own = rules.withColumn("exact", exact).filter(F.when(F.col("exact"), F.col("agent") == token.lower()).otherwise(F.col("agent") == "*")).filter("directive <> ''")
-
-    @F.pandas_udf("boolean")
-    def matches(rule: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([rule_matches(r, normal_path(p, False)) for r, p in zip(rule, path)])
-
-    hit = targets.join(own, "host").filter(matches("rule", "path"))
-    best = hit.groupBy("host", "path").agg(F.min(F.struct(-F.col("specificity"), F.when(F.col("directive") == "allow", 0).otherwise(1), F.col("group"), F.col("rule"), F.col("directive"))).alias("b"))
-    rows = targets.join(best, ["host", "path"], "left")
-    implicit = F.col("path") == "/robots.txt"
-    allowed = implicit | F.col("b").isNull() | (F.col("b.directive") == "allow")
-    reason = F.when(implicit, "robots_txt_implicitly_allowed").when(F.col("b").isNull(), "no_matching_rule").otherwise(F.concat("b.directive", F.lit("_rule")))
-    return rows.select("host", "path", allowed.alias("allowed"), reason.alias("reason"), F.when(~implicit, F.col("b.rule")).alias("rule"))
+    status = F.col("http_status")
+    kind = (
+        F.when(F.col("failure") == "too_large", "invalid_too_large").when(F.col("failure") == "blocked", "blocked_redirect_or_destination").when(F.col("failure").isNotNull() | status.isNull(), "unreachable")
+        .when(status < 400, "available").when(status < 500, "unavailable").otherwise("unreachable")
+    )
+    known = fetches.select("host", "robots_txt", kind.alias("classification"), (F.col("failure").isNull() & status.isNotNull()).cast("int").alias("checks_completed"))
+    decided = robots_decisions(targets.join(known.filter("classification = 'available'").select("host"), "host", "left_semi"), parsed_robots(known.filter("classification = 'available'")), token)
+    rows = targets.select("host", "path").filter("host is not null and path is not null").distinct().join(known.drop("robots_txt"), "host", "left").join(decided, ["host", "path"], "left")
+    kind = F.coalesce("classification", F.lit("unreachable"))
+    other = F.when(kind == "unavailable", "robots_unavailable").when(kind == "invalid_too_large", "robots_invalid").otherwise("robots_unreachable")
+    done = F.coalesce("checks_completed", F.lit(0))
+    return rows.select("host", "path", F.coalesce("allowed", kind == "unavailable").alias("allowed"), F.coalesce("reason", other).alias("reason"), "rule", kind.alias("classification"), done.alias("checks_completed"), (1 - done).alias("checks_failed"))
 
 
 def intercept(requests: DataFrame, rules: DataFrame, most_rules: int = 10_000) -> DataFrame:

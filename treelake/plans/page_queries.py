@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from treelake.functions import text as T
 from treelake.functions import urls as U
+from treelake.html.compile import compile_pages
 from treelake.operators import elements as E
 from treelake.operators import page_diff, policy, scores
 from treelake.operators.dedupe import latest
@@ -292,6 +293,37 @@ def accessibility_tree(spark: SparkSession, d: str) -> DataFrame:
     return E.accessibility_nodes(placed(spark, d, "el_ord role text label"))
 
 
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, url, html): each page written as HTML from its title and elements, a source for the compiler."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    tag = F.when(F.col("role") == "heading", F.concat(F.lit("h"), F.least(F.greatest(F.coalesce(E.attr("level").try_cast("int"), F.lit(2)), F.lit(1)), F.lit(6)).cast("string")))
+    tag = tag.when(F.col("role") == "paragraph", "p").when(F.col("role") == "link", "a").when(F.col("role") == "button", "button").otherwise("div")
+    items = F.transform(F.from_json(E.attr("items"), "array<struct<text:string>>"), lambda x: F.concat(F.lit("<li>"), escaped(x["text"])))
+    inner = F.when(F.col("role") == "list", F.concat(F.lit("<ul>"), F.array_join(items, ""), F.lit("</ul>"))).otherwise(escaped(F.col("text")))
+    opening = F.concat(F.lit("<"), tag, F.when(F.col("role") == "link", F.concat(F.lit(' href="'), escaped(E.attr("href")), F.lit('"'))).otherwise(""), F.lit(">"))
+    line = F.array(F.concat(opening, F.coalesce(inner, F.lit("")), F.lit("</"), tag, F.lit(">")))
+    body = E.ordered_parts(elements(spark, d, "page_id el_ord role text attrs", by="page_id"), ["page_id"], line)
+    html = F.concat(F.lit("<html><head><title>"), escaped(F.col("title")), F.lit("</title></head><body><main>"), F.array_join("lines", "\n"), F.lit("</main></body></html>"))
+    return pages(spark, d).select("page_id", "url", "title").join(body, "page_id").select("page_id", "url", html.alias("html"))
+
+
+@query()
+def compiled_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page compiled from its HTML: tree, sizes and counts."""
+    return compile_pages(sources(spark, d))
+
+
+@query(f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY el_ord, element_key) - 1 AS nth, least(greatest(coalesce(try_cast({_attr('level')} AS INTEGER), 2), 1), 6) AS level,
+ nullif(trim(regexp_replace(text, '[\\t\\n\\x0B\\f\\r \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')), '') AS text FROM {_E} JOIN (SELECT page_id FROM {_P}) USING (page_id) WHERE role = 'heading'""")
+def compiled_headings(spark: SparkSession, d: str) -> DataFrame:
+    """The headings of every compiled page, in order."""
+    element = "array<struct<role:string,text:string,attrs:struct<level:int>>>"
+    regions_ = F.from_json(F.get_json_object("som_json", "$.regions"), f"array<struct<role:string,elements:{element}>>")
+    found = F.filter(F.flatten(F.transform(regions_, lambda r: r["elements"])), lambda e: e["role"] == "heading")
+    rows = compiled_pages(spark, d).select("page_id", F.posexplode(found).alias("nth", "e"))
+    return rows.select("page_id", "nth", F.col("e.attrs.level").alias("level"), F.col("e.text").alias("text"))
+
+
 @query(f"""SELECT page_id, region_ord, CASE WHEN n = 0 THEN 'r_' || region_role ELSE 'r_' || region_role || '_' || n END AS generated_id FROM (SELECT page_id, region_ord, region_role, row_number() OVER (PARTITION BY page_id, region_role ORDER BY region_ord) - 1 AS n FROM {_R})""")
 def region_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of regions by role and number within the page."""
@@ -361,7 +393,8 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", F.sha2(url, 256).alias("url_sha256"), U.origin(url).alias("origin"), U.shorten(url).alias("short_url"))
 
 
-@query()
+@query("""WITH k AS (SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^([^?]*[^/?])/+(\\?.*)?$', '\\1\\2') AS c FROM """ + _P + """)
+ SELECT page_id, CASE WHEN regexp_matches(c, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]+$') THEN c || '/' ELSE c END || '::selector=main' AS cache_key, CASE WHEN NOT regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/:?#]') THEN 'invalid' WHEN NOT regexp_matches(lower(trim(url)), '^https?://') THEN 'scheme' WHEN regexp_matches(url, '^[A-Za-z]+://[^/?#]*@') THEN 'credentials' END AS blocked FROM k""")
 def url_cache_keys(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", U.cache_key(F.col("url"), F.lit(" Main ")).alias("cache_key"), U.outbound_policy("url").alias("blocked"))
 
@@ -390,6 +423,20 @@ def robots_decisions(spark: SparkSession, d: str) -> DataFrame:
     return policy.robots_decisions(targets, policy.parsed_robots(files), "spider")
 
 
+_HOSTS = f"(SELECT DISTINCT site AS host, length(site) % 6 AS k FROM {_P} WHERE site IS NOT NULL)"
+_CLASS = "CASE k WHEN 1 THEN 'unavailable' WHEN 2 THEN 'unreachable' WHEN 3 THEN 'invalid_too_large' WHEN 4 THEN 'unreachable' ELSE 'available' END"
+
+
+@query(f"""WITH d AS ({SQL['robots_decisions']}) SELECT host, path, CASE WHEN c = 'available' THEN allowed ELSE c = 'unavailable' END AS allowed, CASE c WHEN 'available' THEN reason WHEN 'unavailable' THEN 'robots_unavailable' WHEN 'invalid_too_large' THEN 'robots_invalid' ELSE 'robots_unreachable' END AS reason,
+ CASE WHEN c = 'available' THEN rule END AS rule, c AS classification, (k NOT IN (3, 4))::INTEGER AS checks_completed, (k IN (3, 4))::INTEGER AS checks_failed FROM (SELECT d.*, k, {_CLASS} AS c FROM d JOIN {_HOSTS} USING (host))""")
+def robots_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a crawler may fetch each page where some robots files could not be fetched."""
+    targets = pages(spark, d).select(F.col("site").alias("host"), F.regexp_extract("url", r"^https?://[^/]+(/.*)$", 1).alias("path")).filter("path <> ''").distinct()
+    k = F.length("host") % 6
+    fetches = targets.select("host").distinct().select("host", F.lit(_ROBOTS).alias("robots_txt"), F.when(k == 1, 404).when(k == 2, 503).when(~k.isin(3, 4), 200).alias("http_status"), F.when(k == 3, "too_large").when(k == 4, "timeout").alias("failure"))
+    return policy.robots_policies(targets, fetches, "spider")
+
+
 @query(f"""SELECT fetch_id, CASE WHEN old_at IS NULL THEN 'miss' WHEN epoch_us(captured_at) - epoch_us(old_at) > 300000000 THEN 'expired' WHEN old_hash = hash THEN 'hit' ELSE 'stale' END AS outcome FROM (SELECT page_id AS fetch_id, captured_at, md5(coalesce(title, '')) AS hash, lag(captured_at) OVER w AS old_at, lag(md5(coalesce(title, ''))) OVER w AS old_hash FROM (SELECT *, {_KEY} AS k FROM {_P}) WINDOW w AS (PARTITION BY k ORDER BY captured_at, page_id))""")
 def cache_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Cache result of each capture of a url: hit, stale, expired or miss."""
@@ -474,12 +521,15 @@ def short_texts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", T.truncate(F.col("text"), 80).alias("short_text"))
 
 
-@query()
+_TAG = "corpus-urls-v1"
+
+
+@query(f"SELECT site, sha256('{_TAG}'::BLOB || unhex(string_agg(lpad(printf('%x', strlen(url)), 16, '0') || hex(url::BLOB), '' ORDER BY captured_at, page_id))) AS digest, count(*) AS urls FROM {_P} WHERE url IS NOT NULL AND site IS NOT NULL GROUP BY 1")
 def corpus_digests(spark: SparkSession, d: str) -> DataFrame:
-    """Digest of each site's ordered urls: digests of parts in order, then of those."""
-    part = F.sha2(F.concat_ws("\n", F.sort_array(F.collect_set("url"))), 256)
-    parts = pages(spark, d).groupBy("site", F.pmod(F.xxhash64("url"), F.lit(64)).alias("part")).agg(part.alias("digest"))
-    return parts.groupBy("site").agg(F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"])), 256).alias("digest"))
+    """Digest of each site's urls as captured, in order: a tag, then the length and the bytes of each url."""
+    from treelake.functions.digests import ordered_digests
+
+    return ordered_digests(pages(spark, d), _TAG, "site", ["captured_at", "page_id"], "url").withColumnRenamed("n", "urls")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
