@@ -314,7 +314,11 @@ def test_mix_shares(spark):
     assert abs(report["m", "big"].actual_share - 0.6) < 0.01 and abs(report["m", "small"].actual_share - 0.4) < 0.01
     assert report["m", "small"].most_copies <= 2 and report["n", "gone"].tokens == 0 and report["n", "small"].actual_share == 1.0
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, mixing.mix(docs.repartition(7), targets).collect()))
-    assert mixing.mix(docs.limit(0), targets).count() == 0
+    assert mixing.mix(docs.limit(0), targets).count() == 0 == mixing.mix(docs, targets.limit(0)).count()
+    clash = docs.withColumn("tokens", F.lit("x")).withColumn("sources", F.lit("y")).withColumn("part", F.lit("z"))
+    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, mixing.mix(clash, targets).collect()))
+    with pytest.raises(ValueError):
+        mixing.mix(docs, spark.range(70).selectExpr("cast(id as string) mix_name", "'big' source", "1.0 target_share", "1 max_repeats"))
 
 
 # problem 10

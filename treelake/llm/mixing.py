@@ -17,8 +17,10 @@ from treelake.operators.dedupe import latest
 from treelake.session import cut
 
 SEED = 17
-#: Parts of the hash range in which tokens are added up before documents are ordered.
-PARTS = 1024
+#: Texts of a part of the hash range at about, in which tokens are added up before documents are ordered; least number of parts.
+PART, LEAST_PARTS = 20_000, 64
+#: Most mixes of the parameter table, and most sets of sources that the texts of a mix lie in; more are refused.
+MOST_MIXES, MOST_PATTERNS = 64, 5_000
 #: Steps of halving in which the largest total size is found, and unit of flow in tokens.
 HALVINGS = 40
 
@@ -113,8 +115,9 @@ def route(patterns: dict[frozenset, int], targets: dict[str, tuple[float, int]])
 def texts_by_pattern(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, sources, tokens): one row per different text, of the least doc_id, with all its sources."""
     received = ["received_at"] if "received_at" in documents.columns else []
-    slim = latest(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text", *received).filter("doc_id is not null and source is not null and text <> ''"), ["doc_id"], received)
-    counted = with_tokens(slim.select("doc_id", "source", F.sha2("text", 256).alias("text_hash"), "text"), vocabulary=vocabulary).filter("tokens > 0")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), *received, F.sha2("text", 256).alias("text_hash"), "text").filter("doc_id is not null and source is not null and text <> ''")
+    # texts are counted and hashed where they are read: what is shuffled is a few numbers a row
+    counted = latest(with_tokens(rows, vocabulary=vocabulary), ["doc_id"], received).filter("tokens > 0")
     return counted.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_set("source")).alias("sources"), F.max("tokens").alias("tokens")).drop("text_hash")
 
 
@@ -127,32 +130,38 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     """
     spark = documents.sparkSession
     texts = cut(texts_by_pattern(documents, vocabulary))
-    # sets of sources and a parameter table: small whatever the number of documents
-    counted = [(frozenset(r.sources), r.n) for r in texts.groupBy("sources").agg(F.sum("tokens").alias("n")).collect()]
     wanted: dict[str, dict[str, tuple[float, int]]] = {}
-    for r in targets.filter("mix_name is not null and source is not null").collect():
+    for r in targets.filter("mix_name is not null and source is not null").limit(100 * MOST_MIXES + 1).collect():
         wanted.setdefault(r.mix_name, {})[r.source] = (float(r.target_share or 0), int(r.max_repeats or 0))
+    if len(wanted) > MOST_MIXES or sum(map(len, wanted.values())) > 100 * MOST_MIXES:
+        raise ValueError(f"more than {MOST_MIXES} mixes, or {100 * MOST_MIXES} sources of them")
+    goals = F.array(*(F.struct(F.lit(m).alias("mix_name"), F.array(*map(F.lit, sorted(g))).alias("wanted")) for m, g in sorted(wanted.items())))
+    goals = goals if wanted else F.array().cast("array<struct<mix_name:string,wanted:array<string>>>")
+    each = texts.select("doc_id", "sources", "tokens", F.explode(goals).alias("g"))
+    member = each.select("doc_id", "tokens", "g.mix_name", F.sort_array(F.array_intersect("sources", "g.wanted")).alias("pattern")).filter(F.size("pattern") > 0)
+    # a row for each set of sources that occurs in a mix, however many texts there are; refused where there are too many
+    counted: dict[str, dict[frozenset, int]] = {}
+    sets = member.groupBy("mix_name", "pattern").agg(F.sum("tokens").alias("n")).limit(len(wanted) * MOST_PATTERNS + 1).collect()
+    for r in sets:
+        counted.setdefault(r.mix_name, {})[frozenset(r.pattern)] = r.n
+    if len(sets) > len(wanted) * MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} sets of sources in a mix")
     spans = []
     for name, goal in sorted(wanted.items()):
-        patterns: dict[frozenset, int] = {}
-        for sources, n in counted:
-            if kept := frozenset(sources & goal.keys()):
-                patterns[kept] = patterns.get(kept, 0) + n
-        _, flows = route(patterns, goal)
+        _, flows = route(counted.get(name, {}), goal)
         ends: dict[tuple, int] = {}
         for (pattern, copy, source), n in sorted(flows.items(), key=lambda x: (sorted(x[0][0]), x[0][1], x[0][2])):
             begin = ends.get((pattern, copy), 0)
             spans.append((name, sorted(pattern), copy, source, begin, begin + n))
             ends[pattern, copy] = begin + n
     plan = spark.createDataFrame(spans, "mix_name string, pattern array<string>, copy int, source string, begin bigint, end bigint")
-    goals = spark.createDataFrame([(m, sorted(g)) for m, g in wanted.items()], "mix_name string, wanted array<string>")
-    member = texts.join(F.broadcast(goals)).withColumn("pattern", F.sort_array(F.array_intersect("sources", "wanted"))).filter(F.size("pattern") > 0).drop("sources", "wanted")
     # position of each text among its pattern's tokens in seeded order: sums of parts, then within parts
-    ordered = member.withColumn("u", F.xxhash64("doc_id", F.lit(seed))).withColumn("part", F.pmod(F.shiftright("u", 20), F.lit(PARTS)))
+    number = max(LEAST_PARTS, -(-texts.count() // PART))
+    ordered = member.withColumn("u", F.xxhash64("doc_id", F.lit(seed))).withColumn("part", F.width_bucket(F.col("u").cast("double"), F.lit(-(2.0**63)), F.lit(2.0**63), F.lit(number)))
     parts = ordered.groupBy("mix_name", "pattern", "part").agg(F.sum("tokens").alias("n"))
     before = F.sum("n").over(Window.partitionBy("mix_name", "pattern").orderBy("part")) - F.col("n")
     within = F.sum("tokens").over(Window.partitionBy("mix_name", "pattern", "part").orderBy("u", "doc_id")) - F.col("tokens")
-    placed = ordered.withColumn("within", within).join(F.broadcast(parts.select("mix_name", "pattern", "part", before.alias("before"))), ["mix_name", "pattern", "part"])
+    placed = ordered.withColumn("within", within).join(parts.select("mix_name", "pattern", "part", before.alias("before")), ["mix_name", "pattern", "part"])
     placed = placed.withColumn("at", F.col("before") + F.col("within") + F.col("tokens") / 2)
     chosen = placed.join(F.broadcast(plan), ["mix_name", "pattern"]).filter("at >= begin and at < end")
     return chosen.groupBy("mix_name", "doc_id", "source").agg(F.count("*").cast("int").alias("copies"), F.max("tokens").alias("tokens"))
