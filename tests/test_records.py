@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from treelake.operators import drift, nested, snapshots
@@ -114,10 +115,10 @@ def test_all_feeds_are_in_the_consistent_table(spark, tmp_path):
     spark.createDataFrame(rows, "feed string, file_seq int, line_no int, opened_at timestamp, written_at timestamp, payload string").write.parquet(str(tmp_path / "feed_lines.parquet"))
     got = {(r.feed, r.line_no): r for r in record_queries.p7_measurements(spark, str(tmp_path)).collect()}
     assert set(got) == {("measurement-a", 0), ("measurement-a", 1), ("som-b", 0)}
-    assert got["measurement-a", 0].http_status == 200 and [tuple(o) for o in got["measurement-a", 1].others] == [("unheard_of", "boolean", "true")]
+    assert got["measurement-a", 0].http_status == 200 and [tuple(o) for o in got["measurement-a", 1].others] == [("unheard_of", "", "boolean", "true")]
     page = got["som-b", 0]
-    assert page.som_version == "0.2" and page.meta_html_bytes is None and page.failed_casts == 1
-    assert [(o.field.rsplit(".", 1)[-1], o.value) for o in page.others] == [("html_bytes", "many"), ("level", "2"), ("level", "two"), ("id", "a"), ("id", "b"), ("id", "r")]
+    assert page.som_version == "0.2" and page.meta_html_bytes is None and page.failed_casts == 2 and page.regions_elements_id == ["b", "a"] and page.regions_elements_attrs_level == [2]
+    assert [tuple(o) for o in page.others] == [("meta.html_bytes", "", "string", "many"), ("regions[].elements[].attrs.level", "0.1", "string", "two")]
     casts = {(r.field, r.raw_type): (r.n_values, r.n_failed) for r in record_queries.p7_failed_casts(spark, str(tmp_path)).collect()}
     assert casts["regions[].elements[].attrs.level", "string"] == (1, 1) and casts["regions[].elements[].id", "string"] == (2, 0) and casts["meta.html_bytes", "string"] == (1, 1) and casts["unheard_of", "boolean"] == (1, 0)
 
@@ -137,3 +138,42 @@ def test_a_torn_delivery_never_hides_a_whole_one(spark):
     df = spark.createDataFrame(rows, "record_id bigint, received_at string, som_json string").withColumn("nodes", F.lit("clash")).withColumn("k", F.lit(0))
     got = [(r.record_key, r.node_ord, r.kind) for r in nested.emit_nodes(df).orderBy("record_key", "node_ord").collect()]
     assert got == [(1, 0, "region"), (1, 1, "element")]
+
+
+def _put(tree, path, place, value):
+    """A value put back at its path and place."""
+    steps, at = [], [int(i) for i in place.split(".")] if place else []
+    for key in path.split("."):
+        name, marks = key.split("[]")[0], key.count("[]")
+        steps += [name] + [at.pop(0) for _ in range(marks)]
+    for step, following in zip(steps, steps[1:]):
+        empty = [] if isinstance(following, int) else {}
+        if isinstance(step, int):
+            tree.extend([None] * (step + 1 - len(tree)))
+            tree[step] = empty if tree[step] is None else tree[step]
+        else:
+            tree.setdefault(step, empty)
+        tree = tree[step]
+    if isinstance(steps[-1], int):
+        tree.extend([None] * (steps[-1] + 1 - len(tree)))
+    tree[steps[-1]] = value
+
+
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_path_value_maps_hold_the_whole_line(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(drift, "MOST_BROADCAST", broadcast)
+    line = {"a": "x", "b": {"c": [{"d": 1, "e": [True, False]}, {"d": 2.5}]}, "f": ["p", "q"]}
+    t = datetime(2026, 1, 2)
+    texts = [json.dumps(line), json.dumps(line), "{torn", "{}", None]
+    rows = [("m", 1, n % 4, t, t, x) for n, x in enumerate(texts)] + [("m", 1, 0, t, t, texts[0]), ("m", 1, 9, t, datetime(2026, 1, 1), texts[0])]
+    df = spark.createDataFrame(rows, "feed string, file_seq int, line_no int, opened_at timestamp, written_at timestamp, payload string").withColumn("vals", F.lit("clash")).withColumn("names", F.lit("clash"))
+    values = drift.consistent_values(drift.path_values(df), drift.schema_changes(df))
+    got = values.orderBy("line_no").collect()
+    assert [(r.line_no, len(r.vals)) for r in got] == [(0, 7), (1, 7), (3, 0)]
+    built: dict = {}
+    for v in got[0].vals:
+        _put(built, v.field, v.place, v.value if v.raw_type == "string" else json.loads(v.value))
+    assert built == line
+    table = {r.line_no: r for r in drift.project(values, {"a": "string", "b.c[].d": "double", "f[]": "bigint"}, rest=True).collect()}
+    assert table[0].a == "x" and table[0].b_c_d == [1.0, 2.5] and table[0].f == [] and table[0].failed_casts == 2 and len(table[0].others) == 4 and table[3].a is None and table[3].others == []
+    assert drift.project(values.limit(0), {"a": "string"}).count() == 0

@@ -7,6 +7,7 @@ task. Changes come from comparing a file's statistics with those of the feed's p
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -17,9 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treelake.session import cut
+
 _NUMBER = re.compile(r"[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$")
 _DIGITS = re.compile(r"\d+")
 _CLASSES = [re.compile(p) for p in (r"[^\W\d_A-ZА-Я]+", r"[A-ZА-Я]+", r"\d+", r"\s+")]
@@ -245,27 +248,50 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     return files_whole.mapInArrow(_changes, _CHANGES_DDL)
 
 
-_VALUES = pa.schema([("feed", pa.string()), ("file_seq", pa.int32()), ("line_no", pa.int32()), ("path", pa.string()), ("raw_type", pa.string()), ("value", pa.string())])
+_VALUE = pa.struct([("path", pa.string()), ("place", pa.string()), ("raw_type", pa.string()), ("value", pa.string())])
+_VALUES_DDL = "feed string, file_seq int, line_no int, digest binary, vals array<struct<path:string,place:string,raw_type:string,value:string>>"
+
+
+def placed_scalars(value: object) -> Iterator[tuple[str, str, object]]:
+    """(path, place, value) of every non-null scalar in reading order; place has the indexes in the arrays of the path, with dots between."""
+    stack = [("", "", value)]
+    while stack:
+        path, place, v = stack.pop()
+        if isinstance(v, dict):
+            stack.extend((f"{path}.{k}" if path else k, place, x) for k, x in reversed(v.items()))
+        elif isinstance(v, list):
+            stack.extend((path + "[]", f"{place}.{i}" if place else str(i), x) for i, x in reversed(list(enumerate(v))))
+        elif v is not None:
+            yield path, place, v
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per readable line: its key, its digest and its path-value map."""
     for batch in batches:
-        rows = []
-        for feed, seq, line, text in zip(*(c.to_pylist() for c in batch.columns)):
-            for path, v in scalars(read_line(text)):
-                rows.append((feed, seq, line, path, json_type(v), v if isinstance(v, str) else json.dumps(v)))
-        columns = list(zip(*rows)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _VALUES)], schema=_VALUES)
+        kept, digests, offsets = [], [], [0]
+        columns: list[list] = [[], [], [], []]
+        for row, text in enumerate(batch.column(3).to_pylist()):
+            if (line := read_line(text)) is None:
+                continue
+            for path, place, v in placed_scalars(line):
+                for column, x in zip(columns, (path, place, json_type(v), v if isinstance(v, str) else json.dumps(v))):
+                    column.append(x)
+            kept.append(row)
+            digests.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+            offsets.append(len(columns[0]))
+        flat = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], fields=list(_VALUE))
+        own = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(3)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["feed", "file_seq", "line_no", "digest", "vals"])
 
 
 def path_values(lines: DataFrame) -> DataFrame:
-    """The path-value map of every line, one row per non-null scalar, with its raw JSON type.
+    """(feed, file_seq, line_no, digest, vals): the path-value map of every readable line, each scalar with its place in arrays and raw JSON type.
 
-    Repeated lines count once (by feed, file, line and payload), torn ones and lines from before
-    their file was opened not at all.
+    Repeated lines count once (by feed, file, line and content), torn ones and lines from before
+    their file was opened not at all. A line is read where it lies and is one row from then on.
     """
-    rows = in_time(lines).select("feed", F.col("file_seq").cast("int").alias("file_seq"), F.col("line_no").cast("int").alias("line_no"), "payload").distinct()
-    return rows.mapInArrow(_values, "feed string, file_seq int, line_no int, path string, raw_type string, value string")
+    rows = in_time(lines).select("feed", F.col("file_seq").cast("int").alias("file_seq"), F.col("line_no").cast("int").alias("line_no"), "payload")
+    return rows.mapInArrow(_values, _VALUES_DDL).dropDuplicates(["feed", "file_seq", "line_no", "digest"])
 
 
 def _lineage(frame: pd.DataFrame) -> pd.DataFrame:
@@ -282,36 +308,75 @@ def lineage(changes: DataFrame) -> DataFrame:
     return changes.filter("change = 'renamed'").groupBy("feed").applyInPandas(_lineage, "feed string, path string, from_seq int, canonical string")
 
 
+#: Renames (three short strings and two numbers each) that go to the lines; with more the lines go to them, feed by feed, a hot feed in so many salted parts.
+MOST_BROADCAST, SALTS = 50_000, 64
+
+
 def consistent_values(values: DataFrame, changes: DataFrame) -> DataFrame:
-    """``path_values`` with each path under its first name (column ``field``)."""
+    """``path_values`` with each path under its first name: vals has field in place of path.
+
+    A name holds from the file of its rename until the path is renamed again; the names of a feed
+    are one small map, so no value is shuffled for it.
+    """
     names = lineage(changes)
     until = F.lead("from_seq").over(Window.partitionBy("feed", "path").orderBy("from_seq"))
     names = names.withColumn("until_seq", until)
-    joined = values.alias("v").join(names.alias("n"), F.expr("v.feed = n.feed and v.path = n.path and v.file_seq >= n.from_seq and (n.until_seq is null or v.file_seq < n.until_seq)"), "left")
-    return joined.select("v.*", F.coalesce("n.canonical", "v.path").alias("field"))
-
-
-def _cast(schema: dict[str, str]):
-    return F.coalesce(*(F.when(F.col("field") == f, F.expr(f"try_cast(value as {t})").isNotNull()) for f, t in schema.items()))
+    of_feed = cut(names.groupBy("feed").agg(F.collect_list(F.struct("path", "from_seq", "until_seq", "canonical")).alias("names")))
+    if (of_feed.agg(F.sum(F.size("names"))).first()[0] or 0) <= MOST_BROADCAST:
+        joined = values.join(F.broadcast(of_feed), "feed", "left")
+    else:
+        salted = of_feed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = values.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(salted, ["feed", "salt"], "left").drop("salt")
+    valid = F.filter("names", lambda n: (F.col("file_seq") >= n["from_seq"]) & (n["until_seq"].isNull() | (F.col("file_seq") < n["until_seq"])))
+    pairs = F.map_from_entries(F.transform("valid", lambda n: F.struct(n["path"], n["canonical"])))
+    named = F.transform("vals", lambda v: F.struct(F.coalesce(F.col("own")[v["path"]], v["path"]).alias("field"), v["place"].alias("place"), v["raw_type"].alias("raw_type"), v["value"].alias("value")))
+    return joined.withColumn("valid", valid).withColumn("own", pairs).select("feed", "file_seq", "line_no", "digest", named.alias("vals"))
+
+
+def _cast(schema: dict[str, str], field: Column, value: Column) -> Column:
+    """Whether a value can be held by its field's type; null for fields without a type."""
+    out = F.lit(None).cast("boolean")
+    for kind in sorted(set(schema.values())):
+        fields = [f for f, t in schema.items() if t == kind]
+        out = F.when(field.isin(*fields), value.try_cast(kind).isNotNull() if kind != "string" else F.lit(True)).otherwise(out)
+    return out
 
 
 def project(values: DataFrame, schema: dict[str, str], rest: bool = False) -> DataFrame:
     """One typed row per line out of ``consistent_values``: columns of ``schema`` (field: SQL type).
 
-    A value that its type can't hold is null in its column and counted in ``failed_casts``. Fields
-    under arrays have more than one value a line; such a column holds the least. With ``rest`` every
-    line with a value has a row, and ``others`` has all values of fields that are not in ``schema``
-    and those its types can't hold, sorted, as (field, raw_type, value).
+    A value that its type can't hold is null in its column and counted in ``failed_casts``. A field
+    under an array has a value for each place: its column is an array in reading order, without
+    what its type can't hold. Where a line has a field twice, its first value counts. With ``rest``
+    every readable line has a row, and ``others`` has, in reading order, all values with their
+    places that have no column: of fields not in ``schema``, and those that their types can't hold.
     """
-    wanted = values if rest else values.filter(F.col("field").isin(*schema))
-    cast = _cast(schema)
-    columns = [F.min(F.when(F.col("field") == f, F.expr(f"try_cast(value as {t})"))).alias(re.sub(r"\W+", "_", f).strip("_")) for f, t in schema.items()]
-    other = F.when(~F.coalesce(cast, F.lit(False)), F.struct("field", "raw_type", "value"))
-    others = [F.sort_array(F.collect_list(other)).alias("others")] if rest else []
-    return wanted.groupBy("feed", "file_seq", "line_no").agg(*columns, F.count_if(~cast).alias("failed_casts"), *others)
+    flat = [f for f in schema if "[]" not in f]
+    single = F.map_from_arrays(F.transform("one", lambda v: v["field"]), F.transform("one", lambda v: v["value"]))
+    rows = values.withColumn("one", F.filter("vals", lambda v: v["field"].isin(*flat))).withColumn("one", F.filter("one", lambda v, i: F.array_position(F.transform("one", lambda x: x["field"]), v["field"]) == i + 1))
+    rows = rows.withColumn("own", single)
+    columns = [F.col("own")[f].try_cast(t).alias(_name(f)) for f, t in schema.items() if f in flat]
+    for f, t in schema.items():
+        if f not in flat:
+            columns.append(_repeated(f, t).alias(_name(f)))
+    fits = lambda v: F.coalesce(_cast(schema, v["field"], v["value"]), F.lit(False))
+    failed = F.size(F.filter("vals", lambda v: ~F.coalesce(_cast(schema, v["field"], v["value"]), F.lit(True)))).cast("bigint")
+    others = [F.filter("vals", lambda v: ~fits(v)).alias("others")] if rest else []
+    rows = rows if rest else rows.filter(F.exists("vals", lambda v: v["field"].isin(*schema)))
+    return rows.select("feed", "file_seq", "line_no", *columns, failed.alias("failed_casts"), *others)
+
+
+def _repeated(field: str, kind: str) -> Column:
+    """The values of a field under an array, in reading order."""
+    return F.array_compact(F.transform(F.filter("vals", lambda v: v["field"] == field), lambda v: v["value"].try_cast(kind)))
+
+
+def _name(field: str) -> str:
+    return re.sub(r"\W+", "_", field).strip("_")
 
 
 def failed_casts(values: DataFrame, schema: dict[str, str], rest: bool = False) -> DataFrame:
     """(feed, file_seq, field, raw_type, n_values, n_failed) of the fields of ``schema``; with ``rest`` of the others, too, as strings."""
-    wanted = values if rest else values.filter(F.col("field").isin(*schema))
-    return wanted.groupBy("feed", "file_seq", "field", "raw_type").agg(F.count("*").alias("n_values"), F.count_if(~_cast(schema)).alias("n_failed"))
+    each = values.select("feed", "file_seq", F.explode("vals").alias("v")).select("feed", "file_seq", "v.field", "v.raw_type", "v.value")
+    wanted = each if rest else each.filter(F.col("field").isin(*schema))
+    return wanted.groupBy("feed", "file_seq", "field", "raw_type").agg(F.count("*").alias("n_values"), F.count_if(~_cast(schema, F.col("field"), F.col("value"))).alias("n_failed"))

@@ -327,6 +327,31 @@ def field_matching(elements: DataFrame, pattern: str) -> DataFrame:
     return first.select("page_id", F.col("x.text").alias("value"), F.col("x.id").alias("provenance"))
 
 
+def field_all(elements: DataFrame, role: str, props: list[str] | None = None) -> DataFrame:
+    """(page_id, values, provenance, and an array per property): all elements of a role per page, in order; nulls keep their places in no array."""
+    rows = elements.filter(F.col("role") == role)
+    columns = {"values": F.col("text"), "provenance": F.col("id")} | {p: attr(p) for p in props or []}
+    held = F.sort_array(F.collect_list(F.struct("el_ord", "element_key", *(c.alias(f"__{n}") for n, c in columns.items()))))
+    grouped = rows.groupBy("page_id").agg(held.alias("x"))
+    return grouped.select("page_id", *(F.col("x")[f"__{n}"].alias(n) for n in columns))
+
+
+def resolve(elements: DataFrame, text: str, role: str | None = None) -> DataFrame:
+    """(page_id, element_key): the first element of each page whose text contains ``text`` in any case and whose role is ``role``; without one the first by text alone."""
+    rows = elements.filter(parts(F.col("text"), text))
+    fits = F.coalesce(by_role(role), F.lit(False)) if role else F.lit(True)
+    return rows.groupBy("page_id").agg(F.min(F.struct(~fits, "el_ord", "element_key")).alias("x")).select("page_id", F.col("x.element_key").alias("element_key"))
+
+
+def interactive_window(targets: DataFrame, wanted: Column, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """(page_id, element_key, total, matched): targets of each page that ``wanted`` keeps, after ``offset`` and up to ``limit`` of them, with how many there are and match."""
+    keeps = F.coalesce(wanted, F.lit(False))
+    rows = targets.withColumn("__m", keeps)
+    rows = rows.withColumns({"total": F.count("*").over(by_page()), "matched": F.sum(F.col("__m").cast("bigint")).over(by_page()), "__n": F.row_number().over(Window.partitionBy("page_id", "__m").orderBy("el_ord", "element_key"))})
+    within = F.col("__m") & (F.col("__n") > offset)
+    return rows.filter(within if limit is None else within & (F.col("__n") <= offset + limit)).select("page_id", "element_key", "total", "matched")
+
+
 def budgets(elements: DataFrame, most_links: int = 200, most_navigation_links: int = 80, most_paragraphs: int = 10, role: str = "region_role") -> DataFrame:
     """Elements of each region within its budgets: hrefs once, so many links and paragraphs, in order."""
     region = ["page_id", "region_ord"]

@@ -61,6 +61,37 @@ def element_changes(elements: DataFrame, regions: DataFrame, pairs: DataFrame) -
     return both.select("pair_id", "region_id", "id", change.alias("change"), (text_changed & (change == "modified")).alias("text_changed"), price.alias("price"), F.coalesce("o.was_main", "n.was_main").alias("was_main")).filter("change <> 'same'")
 
 
+def attribute_changes(elements: DataFrame, regions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, region_id, id, attribute, old_value, new_value): attributes of elements of both captures that came, went or differ.
+
+    An element is one of the same id in a region of the same id; of several the last counts. attrs
+    that are no object have no attributes; null ids are no elements.
+    """
+    ids = regions.select("page_id", "region_ord", "region_id").filter("region_id is not null").dropDuplicates(["page_id", "region_ord"])
+    captured = pairs.select(F.col("old_page").alias("page_id")).union(pairs.select("new_page")).distinct()
+    rows = elements.join(captured, "page_id", "left_semi").join(ids, ["page_id", "region_ord"]).filter("id is not null")
+    attrs = F.when(F.startswith(F.ltrim("attrs"), F.lit("{")), F.from_json("attrs", "map<string,string>"))
+    slim = _last(rows.select("page_id", "region_id", "id", "el_ord", "attrs"), ["page_id", "region_id", "id"], "el_ord").withColumn("m", attrs)
+    old, new = _sides(slim, pairs)
+    both = old.select("pair_id", "region_id", "id", F.col("m").alias("o")).join(new.select("pair_id", "region_id", "id", F.col("m").alias("n")), ["pair_id", "region_id", "id"])
+    none = F.array().cast("array<string>")
+    names = F.array_union(F.coalesce(F.map_keys("o"), none), F.coalesce(F.map_keys("n"), none))
+    each = both.select("pair_id", "region_id", "id", F.explode(names).alias("attribute"), "o", "n").select("pair_id", "region_id", "id", "attribute", F.col("o")[F.col("attribute")].alias("old_value"), F.col("n")[F.col("attribute")].alias("new_value"))
+    return each.filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
+
+
+def replay_targets(targets: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(pair_id, keys, matches, outcome) of each different target of the old capture: how many of the new one have its keys.
+
+    ``targets`` (page_id, keys) are rows of action targets; outcome is missing, found (one) or
+    ambiguous. Null keys match nothing.
+    """
+    old, new = _sides(targets.select("page_id", *keys), pairs)
+    counted = new.groupBy("pair_id", *keys).agg(F.count("*").alias("matches"))
+    rows = old.distinct().join(counted, ["pair_id", *keys], "left").na.fill(0, ["matches"])
+    return rows.withColumn("outcome", F.when(F.col("matches") == 0, "missing").when(F.col("matches") == 1, "found").otherwise("ambiguous"))
+
+
 def summary(elements: DataFrame, regions: DataFrame, pairs: DataFrame) -> DataFrame:
     """Counts and flags of each pair; pairs without any change have zeros.
 

@@ -23,6 +23,19 @@ def failure_kind(error: Column) -> Column:
     )
 
 
+def outcome_key(error: Column) -> Column:
+    """ok, blocked or failed:kind of a run by its error text."""
+    return F.when(error.isNull() | (F.trim(error) == ""), "ok").when(error.rlike(BLOCKED), "blocked").otherwise(F.concat(F.lit("failed:"), failure_kind(error)))
+
+
+def report(rows: DataFrame, title: str, columns: list[str]) -> DataFrame:
+    """(report): a small summary as a table in Markdown, sorted by its first column."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit(" |"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(F.col(columns[0]).cast("string").alias("k"), cells.alias("line")))), lambda x: x["line"])
+    head = [f"# {title}", "", "| " + " | ".join(c.capitalize() for c in columns) + " |", "| " + " | ".join("---" for _ in columns) + " |"]
+    return rows.agg(F.array_join(F.concat(F.array(*map(F.lit, head)), lines), "\n").alias("report"))
+
+
 def grade(ratio: Column) -> Column:
     return F.when(ratio > 15, "A").when(ratio >= 8, "B").when(ratio >= 3, "C").when(ratio >= 1, "D").otherwise("F")
 

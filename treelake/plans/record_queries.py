@@ -60,8 +60,8 @@ def _feed_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_measurements(spark: SparkSession, d: str) -> DataFrame:
-    """One consistent table of all feeds, a row per line; what has no column of its own is in ``others``."""
-    return drift.project(_feed_values(spark, d), MEASUREMENT | ADDED | PAGE_TREE, rest=True)
+    """One consistent table of all feeds, a row per readable line; fields of arrays are arrays, and what has no column of its own is in ``others``, with its place."""
+    return drift.project(_feed_values(spark, d), MEASUREMENT | ADDED | PAGE_TREE | REPEATED, rest=True)
 
 
 def p7_failed_casts(spark: SparkSession, d: str) -> DataFrame:
