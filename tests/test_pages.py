@@ -160,3 +160,31 @@ def test_plan_fields(spark):
     df = rows(spark, {"role": "link", "actions": ["click"], "attrs": '{"href":"/a","rel":"","level":3,"aria":{"expanded":false,"label":"x","checked":"mixed","unknown":1}}'}, {"actions": ["click"], "attrs": '{"checked":false,"aria":{"checked":true,"readonly":true}}'}, {"attrs": '{"href":"/b"}'}, {"actions": ["click"], "attrs": "[1]"}, {"actions": ["click"]})
     got = sorted((r.element_key, r.field, r.value) for r in E.plan_fields(df).collect())
     assert got == [(0, "aria_label", "x"), (0, "checked", "mixed"), (0, "expanded", "false"), (0, "href", "/a"), (1, "checked", "false"), (1, "readonly", "true")]
+
+
+def test_fields_targets_and_windows(spark):
+    df = rows(spark, {"role": "heading", "text": "One", "attrs": '{"level":1}'}, {"role": "link", "text": "one more", "actions": ["click"]}, {"role": "heading", "text": None}, {"role": "link", "text": "Off", "actions": ["click"], "attrs": '{"disabled":true}'}, {"role": "link", "text": "two", "actions": ["click"]}, {"page_id": 2, "text": None, "role": None})
+    got = E.field_all(df, "heading", ["level"]).first()
+    assert got["values"] == ["One", None] and got.provenance == ["e0", "e2"] and got.level == ["1", None]
+    assert [tuple(r) for r in E.resolve(df, "ONE", "link").collect()] == [(1, 1)] and [tuple(r) for r in E.resolve(df, "one", "image").collect()] == [(1, 0)] and E.resolve(df, "none").count() == 0
+    targets = df.filter(E.has_actions())
+    wanted = ~E.truthy("disabled")
+    assert [tuple(r) for r in E.interactive_window(targets, wanted, offset=1).collect()] == [(1, 4, 3, 2)] and E.interactive_window(targets, wanted, limit=1).count() == 1 and E.interactive_window(targets.limit(0), wanted).count() == 0
+
+
+def test_attribute_changes_and_replay(spark):
+    pairs = spark.createDataFrame([(2, 1, 2)], "pair_id bigint, old_page bigint, new_page bigint")
+    regions = spark.createDataFrame([(1, 0, "r"), (2, 0, "r"), (1, 1, None)], "page_id bigint, region_ord int, region_id string")
+    df = rows(spark, {"id": "a", "attrs": '{"href":"/1","level":2,"x":null}'}, {"page_id": 2, "id": "a", "attrs": '{"href":"/2","level":2,"new":[1]}'}, {"id": "b", "attrs": "[1]"}, {"page_id": 2, "id": "b", "attrs": None}, {"id": "c", "attrs": '{"k":1}'}, {"id": None}, {"region_ord": 1, "id": "a", "attrs": '{"href":"/9"}'})
+    got = sorted(tuple(r)[2:] for r in page_diff.attribute_changes(df, regions, pairs).collect())
+    assert got == [("a", "href", "/1", "/2"), ("a", "new", None, "[1]")]
+    targets = spark.createDataFrame([(1, "link", "A"), (1, "link", "A"), (1, "link", "B"), (1, "link", "C"), (2, "link", "A"), (2, "link", "C"), (2, "link", "C"), (1, None, "D"), (2, None, "D")], "page_id bigint, role string, label string")
+    assert sorted((r.label, r.matches, r.outcome) for r in page_diff.replay_targets(targets, pairs, ["role", "label"]).collect()) == [("A", 1, "found"), ("B", 0, "missing"), ("C", 2, "ambiguous"), ("D", 0, "missing")]
+
+
+def test_outcome_keys_and_reports(spark):
+    errors = [None, "", "Blocked by robots", "request timed out", "HTTP 503", "expecting value", "heap out of memory", "odd"]
+    df = spark.createDataFrame([(e,) for e in errors], "error string")
+    assert [r.k for r in df.select(scores.outcome_key(F.col("error")).alias("k")).collect()] == ["ok", "ok", "blocked", "failed:timeout", "failed:http_error", "failed:parse_error", "failed:resource_exhausted", "failed:navigation_failed"]
+    small = spark.createDataFrame([("B", 2), ("A", None)], "grade string, pages int")
+    assert scores.report(small, "T", ["grade", "pages"]).first().report == "# T\n\n| Grade | Pages |\n| --- | --- |\n| A |  |\n| B | 2 |"

@@ -177,3 +177,25 @@ def test_path_value_maps_hold_the_whole_line(spark, broadcast, monkeypatch):
     table = {r.line_no: r for r in drift.project(values, {"a": "string", "b.c[].d": "double", "f[]": "bigint"}, rest=True).collect()}
     assert table[0].a == "x" and table[0].b_c_d == [1.0, 2.5] and table[0].f == [] and table[0].failed_casts == 2 and len(table[0].others) == 4 and table[3].a is None and table[3].others == []
     assert drift.project(values.limit(0), {"a": "string"}).count() == 0
+
+
+def test_nodes_with_their_ancestors(spark):
+    other = json.dumps({"regions": [{"id": "r", "elements": [{"id": "x", "role": "image"}]}]})
+    df = spark.createDataFrame([(1, json.dumps(TREE)), (2, other)], "record_id bigint, som_json string")
+    nodes = nested.emit_nodes(df)
+    got = {(r.record_key, r.node_ord): r.matched for r in nested.with_ancestors(nodes, F.get_json_object("node", "$.role") == "link").collect()}
+    assert got == {(1, 0): False, (1, 1): False, (1, 4): True, (1, 5): False, (1, 8): True, (2, 0): False, (2, 1): False}
+    assert nested.with_ancestors(nodes.limit(0), F.lit(True)).count() == 0
+
+
+def test_patch_operations(spark):
+    df = spark.createDataFrame([("s", 1, "a/b~c", "added"), ("s", 1, "d", "removed"), ("s", 1, "e", "changed")], "session_id string, som_cursor bigint, element_id string, change string")
+    assert [tuple(r)[2:] for r in snapshots.patch_operations(df).collect()] == [("add", "/elements/a~1b~0c"), ("remove", "/elements/d"), ("replace", "/elements/e")]
+
+
+def test_links_are_resolved(spark):
+    from treelake.functions import urls
+
+    cases = {("https://a.b/c/d?x#y", "e"): "https://a.b/c/e", ("https://a.b/c/d", "../e"): "https://a.b/e", ("https://a.b/c", "/e"): "https://a.b/e", ("https://a.b/c", "//x.y/z"): "https://x.y/z", ("https://a.b/c", "mailto:x"): "mailto:x", ("https://a.b/c", " "): None, (None, "/x"): "/x", ("https://a.b/c", None): None}
+    df = spark.createDataFrame([(b, h, w) for (b, h), w in cases.items()], "b string, h string, w string")
+    assert df.select(urls.resolve("b", "h").eqNullSafe(F.col("w")).alias("ok")).filter("not ok").count() == 0

@@ -55,3 +55,21 @@ def test_append_sink(spark, tmp_path):
     query.awaitTermination(240)
     rows = spark.read.json(str(tmp_path / "out")).collect()
     assert len(rows) == 2 and {r.bytes_not_delivered for r in rows} == {0, None} and all(len(r.url_sha256) == 64 for r in rows)
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from treelake.session import checkpoint_dir
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://m:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    bare = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(ValueError):
+        checkpoint_dir(bare)
+    named = []
+    context.setCheckpointDir = named.append
+    bare.conf = SimpleNamespace(get=lambda name, default: "hdfs://shared/cut")
+    assert checkpoint_dir(bare) == "hdfs://shared/cut" and named == ["hdfs://shared/cut"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -81,3 +82,18 @@ def outbound_reason(url: str) -> str | None:
 @F.pandas_udf(StringType())
 def outbound_policy(urls: pd.Series) -> pd.Series:
     return urls.map(outbound_reason, na_action="ignore")
+
+
+def joined(base: str | None, href: str | None) -> str | None:
+    """A link target against its page's url; null where there is no target, the target as it is where the base is no url."""
+    if href is None or not href.strip():
+        return None
+    try:
+        return urljoin(base or "", href.strip())
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(StringType())
+def resolve(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
+    return pd.Series([joined(b, h) for b, h in zip(bases, hrefs)], dtype=object)

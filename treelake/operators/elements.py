@@ -177,6 +177,21 @@ def page_text(elements: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return ordered_parts(elements, keys or ["page_id"], visible_parts()).select(*(keys or ["page_id"]), F.array_join("lines", "\n").alias("content"))
 
 
+def plain_parts() -> Column:
+    """An element's trimmed text, caption, headers, rows and items, in this order."""
+    a = rendered()
+    head, rows = _row_texts(a)
+    items = F.filter(F.transform(a["items"], lambda x: F.trim(x["text"])), lambda t: t != "")
+    return _lines(F.array(non_empty(F.trim("text"))), F.array(non_empty(F.trim(a["caption"]))), head, rows, items)
+
+
+def plain_text(elements: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, content): the title of each page and its elements' plain parts, a line each."""
+    body = ordered_parts(elements, ["page_id"], plain_parts())
+    titled = pages.select("page_id", F.when(F.col("title") != "", F.array("title")).otherwise(F.array()).alias("__t"))
+    return titled.join(body, "page_id", "left").select("page_id", F.array_join(_lines(F.col("__t"), F.col("lines")), "\n").alias("content"))
+
+
 def cut_at_space(text: Column, most: int) -> Column:
     """At most ``most`` characters; a longer text ends at its last white space before that, and dots."""
     head = F.left(text, F.lit(most))

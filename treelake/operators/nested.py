@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treelake.sources.payload import as_list, as_object, read_tree
@@ -116,6 +116,19 @@ def emit_nodes(records: DataFrame, key: str = "record_id", payload: str = "som_j
     return rows.select("record_key", "node_ord", "x.parent_ord", tag.alias("tag"), "x.kind", "x.node")
 
 
+def with_ancestors(nodes: DataFrame, wanted: Column) -> DataFrame:
+    """The nodes that ``wanted`` keeps (``matched``) and all nodes above them; a record without any keeps all its nodes.
+
+    Kept nodes are found record by record from the links alone: no round of joins per level.
+    """
+    rows = nodes.withColumn("matched", F.coalesce(wanted, F.lit(False)))
+    links = F.sort_array(F.collect_list(F.struct("node_ord", "parent_ord", "matched")), asc=False)
+    # from the last node to the first: children come before their parents and pass their mark up
+    passed = lambda acc, x: F.when(x["matched"] | F.array_contains(acc, x["node_ord"]), F.array_union(acc, F.array(x["node_ord"], x["parent_ord"]))).otherwise(acc)
+    kept = rows.groupBy("record_key").agg(F.aggregate(links, F.array().cast("array<int>"), passed).alias("kept"))
+    return rows.join(kept, "record_key").filter(F.array_contains("kept", F.col("node_ord")) | (F.size("kept") == 0)).drop("kept")
+
+
 def write_tagged(nodes: DataFrame, path: str) -> None:
     """The tagged rows as Parquet, one folder per tag; one pass over the records."""
     nodes.write.partitionBy("tag").mode("overwrite").parquet(path)

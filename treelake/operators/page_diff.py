@@ -69,7 +69,7 @@ def attribute_changes(elements: DataFrame, regions: DataFrame, pairs: DataFrame)
     """
     ids = regions.select("page_id", "region_ord", "region_id").filter("region_id is not null").dropDuplicates(["page_id", "region_ord"])
     captured = pairs.select(F.col("old_page").alias("page_id")).union(pairs.select("new_page")).distinct()
-    rows = elements.join(captured, "page_id", "left_semi").join(ids, ["page_id", "region_ord"]).filter("id is not null")
+    rows = elements.select("page_id", "region_ord", "el_ord", "id", "attrs").join(captured, "page_id", "left_semi").join(ids, ["page_id", "region_ord"]).filter("id is not null")
     attrs = F.when(F.startswith(F.ltrim("attrs"), F.lit("{")), F.from_json("attrs", "map<string,string>"))
     slim = _last(rows.select("page_id", "region_id", "id", "el_ord", "attrs"), ["page_id", "region_id", "id"], "el_ord").withColumn("m", attrs)
     old, new = _sides(slim, pairs)

@@ -131,3 +131,10 @@ def session_changes(snapshots: DataFrame) -> DataFrame:
     states = given.select("session_id", "som_cursor", F.when(F.col("part") == "state", 1).otherwise(-1).alias("side"), F.explode("elements").alias("e")).select("session_id", "som_cursor", "side", "e.element_id", "e.state")
     keys = ["session_id", "som_cursor", "element_id"]
     return label(residue(states, keys, ["state"]), keys)
+
+
+def patch_operations(changes: DataFrame) -> DataFrame:
+    """(session_id, som_cursor, op, path): ``session_changes`` as operations of a JSON patch on the elements by id; ~ and / in ids escaped."""
+    op = F.when(F.col("change") == "added", "add").when(F.col("change") == "removed", "remove").otherwise("replace")
+    escaped = F.replace(F.replace(F.col("element_id"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    return changes.select("session_id", "som_cursor", op.alias("op"), F.concat(F.lit("/elements/"), escaped).alias("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treelake.operators import elements as E
-from treelake.operators import page_diff, scores
+from treelake.operators import nested, page_diff, scores, snapshots
 from treelake.plans import page_queries as P
 from treelake.plans.page_queries import _E, _P, _R, _attr, costs, elements, pages, placed, regions
 from treelake.sources.tables import table
@@ -95,6 +95,38 @@ def context_links(spark: SparkSession, d: str) -> DataFrame:
     return P.page_links(spark, d).select("page_id", "href", nth.alias("nth")).filter("nth <= 20")
 
 
+@query(f"""SELECT e.page_id, element_key, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^[a-z]+:') || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href END AS target
+ FROM (SELECT page_id, element_key, {_attr('href')} AS href FROM {_E} WHERE role = 'link') e JOIN {_P} p ON p.page_id = e.page_id WHERE regexp_matches(href, '^(/|[A-Za-z][A-Za-z0-9+.-]*:)')""")
+def resolved_links(spark: SparkSession, d: str) -> DataFrame:
+    """Where each link leads, resolved against its page's url; targets that are relative to the page's folder left out here."""
+    from treelake.functions import urls
+
+    links = table(spark, d, "som_elements").filter("role = 'link'").select("page_id", "element_key", E.attr("href").alias("href")).filter(F.col("href").rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)")).distinct()
+    return links.join(pages(spark, d).select("page_id", "url"), "page_id").select("page_id", "element_key", urls.resolve("url", "href").alias("target"))
+
+
+_PLAIN = f"list_filter(flatten([[nullif(trim(text), '')], [nullif(trim(a.caption), '')], {P._ROWS}, list_filter(list_transform(a.items, lambda i: trim(i.text)), lambda t: t <> '')]), lambda t: t IS NOT NULL)"
+
+
+@query(f"""SELECT page_id, CASE WHEN title <> '' THEN title || CASE WHEN n > 0 THEN chr(10) || t ELSE '' END ELSE coalesce(t, '') END AS content FROM {_P} LEFT JOIN
+ (SELECT page_id, array_to_string(flatten(list({_PLAIN} ORDER BY el_ord, element_key)), chr(10)) AS t, len(flatten(list({_PLAIN}))) AS n FROM {P._A} GROUP BY 1) USING (page_id)""")
+def plain_text(spark: SparkSession, d: str) -> DataFrame:
+    """Title and plain text of each page."""
+    return E.plain_text(elements(spark, d, "page_id el_ord text attrs", by="page_id"), pages(spark, d))
+
+
+@query()
+def selected_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Links of every delivered tree with the nodes above them."""
+    return nested.with_ancestors(nested.emit_nodes(table(spark, d, "som_records")), F.get_json_object("node", "$.role") == "link").select(F.col("record_key").alias("record_id"), "node_ord", "parent_ord", "kind", "matched")
+
+
+@query()
+def session_patches(spark: SparkSession, d: str) -> DataFrame:
+    """What each delivered cursor of a session changes, as patch operations."""
+    return snapshots.patch_operations(snapshots.session_changes(table(spark, d, "session_snapshots")))
+
+
 _KIND = """CASE WHEN error IS NULL OR trim(error) = '' THEN 'ok' WHEN regexp_matches(error, '(?i)blocked|denied|forbidden|captcha|human|unusual traffic') THEN 'blocked' WHEN regexp_matches(error, '(?i)heap out of memory|out of memory|memory allocation of|allocation failed|failed to reserve address space') THEN 'failed:resource_exhausted'
  WHEN regexp_matches(lower(error), 'timeout|timed out|time-out') THEN 'failed:timeout' WHEN regexp_matches(lower(error), 'http|\\b[45]\\d\\d\\b') THEN 'failed:http_error' WHEN regexp_matches(lower(error), 'decode|parse|expecting') THEN 'failed:parse_error' ELSE 'failed:navigation_failed' END"""
 
