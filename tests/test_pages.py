@@ -188,3 +188,35 @@ def test_outcome_keys_and_reports(spark):
     assert [r.k for r in df.select(scores.outcome_key(F.col("error")).alias("k")).collect()] == ["ok", "ok", "blocked", "failed:timeout", "failed:http_error", "failed:parse_error", "failed:resource_exhausted", "failed:navigation_failed"]
     small = spark.createDataFrame([("B", 2), ("A", None)], "grade string, pages int")
     assert scores.report(small, "T", ["grade", "pages"]).first().report == "# T\n\n| Grade | Pages |\n| --- | --- |\n| A |  |\n| B | 2 |"
+
+
+def test_targets_are_found_by_key(spark):
+    plan = spark.createDataFrame([(1, 0, 10, "a", "k0", "h", "t"), (1, 1, 11, "h", "k1", "a", None), (1, 2, 12, "c", None, "h", "t"), (2, 0, 20, None, None, None, "")], "page_id bigint, el_ord int, element_key bigint, id string, cache_key string, html_id string, test_id string")
+    wanted = spark.createDataFrame([(1, "a"), (1, "h"), (1, "t"), (1, "k1"), (1, "none"), (2, ""), (2, None), (1, "a")], "page_id bigint, value string")
+    got = sorted((r.page_id, r.value or "", r.element_key, r.found_by) for r in E.find_targets(plan, wanted).collect())
+    assert got[:5] == [(1, "a", 10, "id"), (1, "h", 11, "id"), (1, "k1", 11, "cache_key"), (1, "none", None, None), (1, "t", 10, "test_id")] and len(got) == 7
+    assert E.find_targets(plan.limit(0), wanted).filter("element_key is not null").count() == 0
+
+
+def test_agent_text(spark):
+    from treelake.operators.agent_text import agent_text
+
+    items = '{"ordered":true,"items":[' + ",".join(f'{{"text":"i{n}"}}' for n in range(7)) + "]}"
+    given = [
+        {"role": "link", "actions": ["click"], "text": "T", "label": "L", "hints": ["primary"], "html_id": "h", "attrs": '{"href":"/x","disabled":true,"inert":true,"readonly":true,"target":"","download":true}'},
+        {"role": "radio", "actions": ["select"], "text": "R", "attrs": '{"group":"g","aria":{"checked":true,"label":"l"}}'},
+        {"role": "select", "actions": ["select"], "attrs": '{"options":[{"text":"a"},{"value":"b"},{},{"text":"d"},{"text":"e"},{"text":"f"}],"multiple":true,"selected_values":["a","b"]}'},
+        {"role": "list", "attrs": items}, {"role": "table", "attrs": '{"headers":["A"],"rows":[["1"],["2"],["3"],["4"]]}'}, {"role": "table"}, {"role": "section", "text": "no"}, {"role": "image"}, {"role": "group", "text": "G"}, {"role": "heading", "text": None},
+    ]
+    pages = spark.createDataFrame([(1, None, None, 1234567, 1000, 3, None), (2, "t", "u", None, 0, None, None)], "page_id bigint, title string, url string, html_bytes bigint, som_bytes bigint, element_count bigint, interactive_count bigint")
+    regions = spark.createDataFrame([(1, 0, "form", "F", "/go", None)], "page_id bigint, region_ord int, role string, label string, action string, method string")
+    got = {r.page_id: r.content.split("\n") for r in agent_text(rows(spark, *given), pages, regions).collect()}
+    import re
+
+    lines = [re.sub(r"action:v1:\w{8}", "K", x) for x in got[1]]
+    assert lines == [
+        "Page: Untitled", "URL: ", "", '## form "F" -> /go [GET]', '  [e0] link "L" -> /x [primary] [disabled] [blocked_reason=disabled] [cache_key=K] [html_id="h"] [readonly] [inert] [download="True"]',
+        '  [e1] radio "R" group=g (selected) [enabled] [cache_key=K] [checked="True"] [aria_label="l"] [group="g"]', '  [e2] select "" [a, b, , d, e] (+1 more) [enabled] [cache_key=K] [multiple="True"] [selected_values="a,b"]',
+        "  1. i0", "  2. i1", "  3. i2", "  4. i3", "  5. i4", "    [2 more items]", "  table: A", "    1", "    2", "    3", "    [1 more rows]", "  table (empty)", "  image", "  group: G", "  h1: ", "", "---", "1,234,567 → 1,000 bytes (1234.6x) | 3 elements, 0 interactive",
+    ]
+    assert got[2] == ["Page: t", "URL: u", "", "---", "0 → 0 bytes (N/A) | 0 elements, 0 interactive"]

@@ -327,6 +327,22 @@ def plan_index(plan: DataFrame, key: str) -> DataFrame:
     return rows.groupBy("page_id", key).agg(F.min(F.struct("el_ord", "element_key")).alias("x")).select("page_id", key, F.col("x.element_key").alias("element_key"))
 
 
+#: Keys of a target in the order in which a value is looked for among them.
+TARGET_KEYS = ("id", "cache_key", "html_id", "test_id")
+
+
+def find_targets(plan: DataFrame, wanted: DataFrame, keys: tuple[str, ...] = TARGET_KEYS) -> DataFrame:
+    """(page_id, value, element_key, found_by): the target of each wanted (page_id, value): by the first of ``keys`` that any target of the page has it as, the first such target.
+
+    ``element_key`` and ``found_by`` are null where no target has the value. Null values find nothing.
+    """
+    known = F.array(*(F.struct(F.col(k).alias("value"), F.lit(i).alias("rank")) for i, k in enumerate(keys)))
+    rows = plan.select("page_id", "el_ord", "element_key", F.explode(known).alias("k")).select("page_id", "k.value", "k.rank", "el_ord", "element_key").filter("value <> ''")
+    first = rows.groupBy("page_id", "value").agg(F.min(F.struct("rank", "el_ord", "element_key")).alias("x"))
+    names = F.array(*map(F.lit, keys))
+    return wanted.select("page_id", "value").distinct().join(first, ["page_id", "value"], "left").select("page_id", "value", F.col("x.element_key").alias("element_key"), F.get(names, F.col("x.rank")).alias("found_by"))
+
+
 def field(elements: DataFrame, role: str, level: int | None = None) -> DataFrame:
     """(page_id, value, provenance): the first element of a role (and heading level) per page."""
     rows = elements.filter(F.col("role") == role)

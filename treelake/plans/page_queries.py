@@ -258,7 +258,11 @@ def action_plan_fields(spark: SparkSession, d: str) -> DataFrame:
     return E.plan_fields(elements(spark, d, "page_id actions attrs", E.has_actions() & F.col("attrs").isNotNull()))
 
 
-@query()
+_KEY_PARTS = f"[id, role, coalesce(nullif(label, ''), nullif(text, '')), array_to_string(list_sort(actions), ','), {_attr('name')}, {_attr('href')}, {_attr('input_type')}, {_attr('group')}, {_attr('placeholder')}]"
+_ESCAPED = "list_transform(string_split(to_json(list_transform(p, lambda x: nullif(x, '')))::VARCHAR, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE chr(92) || 'u' || lpad(printf('%x', unicode(c)), 4, '0') END)"
+
+
+@query(f"""SELECT element_key, 'action:v1:' || lpad(printf('%x', list_reduce(list_transform(string_split(array_to_string({_ESCAPED}, ''), ''), lambda c: unicode(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) % 4294967296, 2166136261::BIGINT)), 8, '0') AS cache_key FROM (SELECT element_key, {_KEY_PARTS} AS p FROM {_E} WHERE len(actions) > 0)""")
 def action_plan_keys(spark: SparkSession, d: str) -> DataFrame:
     """The stable key of each action target."""
     from treelake.functions.digests import action_keys

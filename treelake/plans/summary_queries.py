@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from treelake.operators import elements as E
 from treelake.operators import nested, page_diff, scores, snapshots
+from treelake.operators.agent_text import agent_text
 from treelake.plans import page_queries as P
 from treelake.plans.page_queries import _E, _P, _R, _attr, costs, elements, pages, placed, regions
 from treelake.sources.tables import table
@@ -73,6 +74,16 @@ def action_index_html(spark: SparkSession, d: str) -> DataFrame:
     return E.plan_index(E.action_plan(placed(spark, d, P._TARGET, E.has_actions())), "html_id")
 
 
+@query(f"""WITH t AS (SELECT page_id, el_ord, element_key, id, html_id FROM {_E} WHERE len(actions) > 0), w AS (SELECT DISTINCT page_id, html_id AS value FROM t WHERE html_id <> '' UNION SELECT page_id, id FROM {_E} WHERE role IN ('heading', 'button') AND id <> ''),
+ k AS (SELECT page_id, id AS value, 0 AS rank, el_ord, element_key FROM t UNION ALL SELECT page_id, html_id, 1, el_ord, element_key FROM t), f AS (SELECT page_id, value, arg_min(element_key, struct_pack(r := rank, o := el_ord, e := element_key)) AS element_key, min(rank) AS rank FROM k WHERE value <> '' GROUP BY 1, 2)
+ SELECT page_id, value, element_key, CASE rank WHEN 0 THEN 'id' WHEN 1 THEN 'html_id' END AS found_by FROM w LEFT JOIN f USING (page_id, value)""")
+def found_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The targets that ids of buttons and headings, and html ids, name on their pages."""
+    plan = E.action_plan(placed(spark, d, P._TARGET, E.has_actions()))
+    named = elements(spark, d, "page_id id role", "role in ('heading', 'button') and id <> ''").select("page_id", F.col("id").alias("value"))
+    return E.find_targets(plan, plan.filter("html_id is not null").select("page_id", F.col("html_id").alias("value")).union(named), ("id", "html_id"))
+
+
 @query(f"SELECT page_id, action, list(element_key ORDER BY el_ord, element_key) AS targets FROM (SELECT page_id, el_ord, element_key, unnest(actions) AS action FROM {_E}) GROUP BY 1, 2")
 def targets_by_action(spark: SparkSession, d: str) -> DataFrame:
     """The targets of each page by what can be done with them, in order."""
@@ -115,6 +126,26 @@ def plain_text(spark: SparkSession, d: str) -> DataFrame:
     return E.plain_text(elements(spark, d, "page_id el_ord text attrs", by="page_id"), pages(spark, d))
 
 
+_AGENT = f"""WITH k AS ({P.SQL['action_plan_keys']}), l AS (SELECT e.page_id, region_ord, el_ord, e.element_key, CASE WHEN len(actions) > 0 THEN '  [' || coalesce(id, '') || '] ' || CASE role WHEN 'link' THEN 'link "' || display || '" -> ' || coalesce(x.href, '')
+ WHEN 'text_input' THEN 'input(' || coalesce(x.input_type, 'text') || ')' || CASE WHEN label <> '' THEN ' "' || label || '"' ELSE '' END || CASE WHEN x.placeholder <> '' THEN ' placeholder="' || x.placeholder || '"' ELSE '' END WHEN 'checkbox' THEN 'checkbox "' || display || '" (' || CASE WHEN x.checked = 'true' THEN 'checked' ELSE 'unchecked' END || ')' ELSE role || ' "' || display || '"' END
+ || CASE WHEN len(hints) > 0 THEN ' ' || array_to_string(list_transform(hints, lambda h: '[' || h || ']'), ' ') ELSE '' END || ' ' || array_to_string([CASE WHEN x.disabled = 'true' THEN '[disabled] [blocked_reason=disabled]' WHEN x.inert = 'true' THEN '[inert] [blocked_reason=inert]' WHEN x.readonly = 'true' THEN '[readonly] [blocked_reason=readonly]' ELSE '[enabled]' END,
+  '[cache_key=' || cache_key || ']', CASE WHEN html_id <> '' THEN '[html_id="' || html_id || '"]' END, CASE WHEN x.readonly = 'true' AND (x.disabled = 'true' OR x.inert = 'true') THEN '[readonly]' END, CASE WHEN x.disabled = 'true' AND x.inert = 'true' THEN '[inert]' END], ' ')
+ WHEN role = 'heading' THEN '  h' || coalesce(x.level, '1') || ': ' || coalesce(text, '') WHEN role = 'paragraph' THEN CASE WHEN text <> '' THEN '  p: ' || text END WHEN role = 'image' THEN CASE WHEN x.alt <> '' THEN '  image: ' || x.alt ELSE '  image' END
+ WHEN role = 'list' THEN CASE WHEN len(x.items) > 0 THEN array_to_string(list_transform(x.items[1:5], lambda i, n: '  ' || CASE WHEN x.ordered = 'true' THEN n || '.' ELSE '-' END || ' ' || coalesce(i.text, '')), chr(10)) || CASE WHEN len(x.items) > 5 THEN chr(10) || '    [' || (len(x.items) - 5) || ' more items]' ELSE '' END END
+ WHEN role = 'table' THEN CASE WHEN coalesce(len(x.rows), 0) = 0 AND coalesce(len(x.headers), 0) = 0 THEN '  table (empty)' ELSE array_to_string([CASE WHEN len(x.headers) > 0 THEN '  table: ' || array_to_string(x.headers, ' | ') END, CASE WHEN len(x.rows) > 0 THEN array_to_string(list_transform(x.rows[1:3], lambda r: '    ' || array_to_string(r, ' | ')), chr(10)) END, CASE WHEN len(x.rows) > 3 THEN '    [' || (len(x.rows) - 3) || ' more rows]' END], chr(10)) END
+ WHEN role = 'separator' THEN '  ---' WHEN role = 'section' THEN NULL WHEN text <> '' THEN '  ' || role || ': ' || text END AS line
+ FROM (SELECT *, coalesce(nullif(label, ''), text, '') AS display, json_transform(CASE WHEN json_valid(attrs) AND json_type(attrs) = 'OBJECT' THEN attrs END, '{{"href":"VARCHAR","input_type":"VARCHAR","placeholder":"VARCHAR","checked":"VARCHAR","disabled":"VARCHAR","inert":"VARCHAR","readonly":"VARCHAR","level":"VARCHAR","alt":"VARCHAR","ordered":"VARCHAR","items":[{{"text":"VARCHAR"}}],"headers":["VARCHAR"],"rows":[["VARCHAR"]]}}') AS x FROM {_E}) e LEFT JOIN k ON k.element_key = e.element_key),
+ b AS (SELECT page_id, region_ord, list(line ORDER BY el_ord, element_key) AS lines FROM l WHERE line IS NOT NULL GROUP BY 1, 2),
+ r AS (SELECT page_id, flatten(list(list_concat(['## ' || region_role || CASE WHEN region_label <> '' THEN ' "' || region_label || '"' ELSE '' END || CASE WHEN form_action <> '' THEN ' -> ' || form_action || ' [' || coalesce(form_method, 'GET') || ']' ELSE '' END], coalesce(lines, []), ['']) ORDER BY region_ord)) AS lines FROM {_R} LEFT JOIN b USING (page_id, region_ord) GROUP BY 1)
+ SELECT page_id, array_to_string(list_concat(['Page: ' || coalesce(title, 'Untitled'), 'URL: ' || coalesce(url, ''), ''], coalesce(lines, []), ['---', printf('%,d', coalesce(html_bytes, 0)) || ' → ' || printf('%,d', coalesce(som_bytes, 0)) || ' bytes (' || CASE WHEN som_bytes > 0 THEN printf('%.1f', html_bytes / som_bytes::DOUBLE) || 'x' ELSE 'N/A' END || ') | ' || coalesce(element_count, 0) || ' elements, ' || coalesce(interactive_count, 0) || ' interactive']), chr(10)) AS content FROM {_P} LEFT JOIN r USING (page_id)"""
+
+
+@query(_AGENT)
+def agent_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each page as compact text for an agent."""
+    return agent_text(elements(spark, d, "page_id region_ord el_ord id html_id role text label actions hints attrs", by="page_id"), pages(spark, d), regions(spark, d, by="page_id"))
+
+
 @query()
 def selected_trees(spark: SparkSession, d: str) -> DataFrame:
     """Links of every delivered tree with the nodes above them."""
