@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import datetime, timedelta
 
 
@@ -14,8 +15,12 @@ def run(spark, tmp_path, batches, schema, build, name):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"b{i}"))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(folder))
-    query = build(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}_state")).trigger(availableNow=True).start()
-    query.awaitTermination(240)
+    query = build(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}_state")).start()
+    # state with a time limit keeps a query running for ever: it is stopped when all rows are through
+    wanted, deadline = sum(map(len, batches)), time.monotonic() + 120
+    while time.monotonic() < deadline and query.isActive and sum(p["numInputRows"] for p in query.recentProgress) < wanted:
+        time.sleep(0.2)
+    query.stop()
     assert query.exception() is None
     return spark.table(name).collect()
 
