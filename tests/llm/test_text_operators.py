@@ -398,3 +398,49 @@ def test_index_is_exact():
         if any(y > 0 for _, y, _ in near) and len(near) <= toxicity.NEIGHBOURS:
             yes, no = (sum(math.exp((c - 1) / toxicity.REACH) * v for c, v in ((c, (y, n)[k]) for c, y, n in near)) for k in (0, 1))
             assert score == pytest.approx((yes + toxicity.PRIOR * index.base) / (yes + no + toxicity.PRIOR), rel=1e-3)
+
+
+# all: nulls, empty and very long texts, repeated rows, empty tables, clashing columns
+CLASHES = ("k", "n", "r", "t", "v", "c", "x", "own", "page", "value", "canonical", "kind", "fragment", "share", "shares", "seen", "salt", "score", "content", "tokens", "whole", "piece", "shard", "part", "sources", "toxic", "passage", "record_key", "__delivery_rank")
+
+
+def _clashing(df):
+    for c in CLASHES:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+LONG = "The ferry crew moved forty boards across the harbour, and nobody minded the rain. " * 4_000
+
+
+def test_elements_of_any_kind(spark):
+    texts = [None, "", "  ", LONG, "Ηaut de page", "Haut de page", "TBD", "A quiet harbour", "​", "🚢 ferry", "nul\x00l"]
+    rows = [(i, i % 2, None if i == 3 else "www.shopname.example", None if i == 4 else 0, None if i == 5 else i, "paragraph", x, x, T0) for i, x in enumerate(texts)]
+    rows += [(None, 1, "s", 0, 0, "heading", "x", "x", T0), (50, None, "s", 0, 0, "heading", "x", "x", T0), (51, 1, "s", 0, 0, None, "x", "x", T0)] + rows[3:8]
+    df = spark.createDataFrame(rows, "element_key bigint, page_id bigint, site string, region_ord int, el_ord int, role string, text string, label string, received_at timestamp")
+    regions = spark.createDataFrame([(0, 0, "main"), (0, 0, "main"), (1, 0, None), (None, 0, "main")], "page_id bigint, region_ord int, role string")
+    pages = spark.createDataFrame([(0, None, None, T0), (1, LONG, "www.shopname.example", T0), (None, "x", "s", T0)], "page_id bigint, title string, site string, received_at timestamp")
+    plain = sorted(r.element_key for r in boilerplate.main_content(df, regions, pages).collect())
+    assert plain == sorted(r.element_key for r in boilerplate.main_content(_clashing(df), _clashing(regions), _clashing(pages)).collect()) and {3, 7} <= set(plain) and len(plain) == len(set(plain)) and 6 not in plain
+    assert boilerplate.main_content(df.limit(0), regions.limit(0), pages.limit(0)).count() == 0
+    pairs = sorted(map(tuple, canonical.lookalike_pairs(_clashing(df)).collect()))
+    assert pairs == [] == canonical.lookalike_pairs(df.limit(0)).collect()
+    same = df.withColumn("page_id", F.lit(1))
+    assert sorted(map(tuple, canonical.lookalike_pairs(_clashing(same)).collect())) == [(4, 5, "label"), (4, 5, "text")]
+    assert sorted(r.record_key for r in residue.residue_rows(_clashing(df), "element_key", "text").collect()) == [6]
+
+
+def test_documents_of_any_kind(spark):
+    rows = [(1, LONG, "a", T0), (1, LONG, "a", T0), (2, "", "a", T0), (3, None, "a", T0), (4, "  \n ", None, T0), (5, "Shut up, you rotten toad.", "b", None), (None, "x", "b", T0), (6, "Shut up, you rotten toad.", "b", T0), (7, "🚢" * 50, "b", T0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, received_at timestamp")
+    labels = spark.createDataFrame([(5, 1), (1, 0), (None, 1), (6, None), (99, 1)], "doc_id bigint, toxic int")
+    for docs in (df, _clashing(df), df.drop("received_at")):
+        scored = {r.doc_id: r.score for r in toxicity.scores(docs, _clashing(labels.withColumnRenamed("toxic", "y")).drop("toxic").withColumnRenamed("y", "toxic")).collect()}
+        assert set(scored) == {1, 4, 5, 6, 7} and scored[6] == scored[5] > 0.5 > scored[1]
+        packed = packing.pack(docs, spark.createDataFrame([("a", 512), ("b", None), (None, 64)], "pack_name string, capacity_tokens int"))
+        assert {r.doc_id for r in packed.filter("pack_name = 'a'").collect()} == {1, 4, 5, 6, 7} and packed.filter("doc_id = 1 and pack_name = 'a'").agg(F.sum("tokens")).first()[0] == len(tokenizer.encoding().encode_ordinary(LONG))
+        mixed = mixing.mix(docs, spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, None), (None, "b", 0.5, 1), ("m", "c", None, 1)], "mix_name string, source string, target_share double, max_repeats int"))
+        assert {r.source for r in mixed.collect()} <= {"a"}
+    rates = {r.source: r.documents for r in toxicity.source_rates(df, labels).collect()}
+    assert rates == {"a": 1, "": 1, "b": 3}

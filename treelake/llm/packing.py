@@ -106,14 +106,15 @@ def pieces(documents: DataFrame, packs: DataFrame, vocabulary: str = VOCABULARY)
     """(pack_name, capacity_tokens, doc_id, piece, tokens): every document once per pack.
 
     A text is split only where it alone exceeds the capacity: into full pieces and a rest. Repeated
-    rows count once (the last); null keys, and null or empty texts, which have no tokens, are left out.
+    rows count once (the last); null keys, and null or empty texts, which have no tokens, are left out,
+    and so are packs without a name or a capacity.
     """
     received = ["received_at"] if "received_at" in documents.columns else []
     counted = with_tokens(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), *received, "text").filter("doc_id is not null and text <> ''"), vocabulary=vocabulary)
     # texts are counted where they are read: what is shuffled is a number a row
     counted = latest(counted, ["doc_id"], received).filter("tokens > 0").select("doc_id", "tokens")
     # every pack takes every document: the packs are a parameter list of a few rows, refused if it isn't
-    wanted = packs.select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).filter("capacity_tokens > 0").distinct().limit(MOST_PACKS + 1).collect()
+    wanted = packs.select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).filter("pack_name is not null and capacity_tokens > 0").distinct().limit(MOST_PACKS + 1).collect()
     if len(wanted) > MOST_PACKS:
         raise ValueError(f"more than {MOST_PACKS} packs")
     each = F.array(*(F.struct(F.lit(p.pack_name).cast("string").alias("pack_name"), F.lit(p.capacity_tokens).cast("bigint").alias("capacity_tokens")) for p in sorted(wanted)))
@@ -142,8 +143,8 @@ def pack(documents: DataFrame, packs: DataFrame, vocabulary: str = VOCABULARY, s
         if turn == ROUNDS - 1 or max(sizes.values()) <= SHARD:
             done.append(packed)
             break
-        fill = packed.groupBy("pack_name", "bin_id").agg((F.sum("tokens") / F.first("capacity_tokens")).alias("fill"))
-        marked = packed.join(fill, ["pack_name", "bin_id"])
+        fill = packed.groupBy("pack_name", "capacity_tokens", "bin_id").agg((F.sum("tokens") / F.col("capacity_tokens")).alias("fill"))
+        marked = packed.join(fill, ["pack_name", "capacity_tokens", "bin_id"])
         done.append(marked.filter(F.col("fill") >= WELL_FILLED).drop("fill"))
         items = cut(marked.filter(F.col("fill") < WELL_FILLED).drop("fill", "bin_id"))
     if not done:
