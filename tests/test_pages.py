@@ -220,3 +220,12 @@ def test_agent_text(spark):
         "  1. i0", "  2. i1", "  3. i2", "  4. i3", "  5. i4", "    [2 more items]", "  table: A", "    1", "    2", "    3", "    [1 more rows]", "  table (empty)", "  image", "  group: G", "  h1: ", "", "---", "1,234,567 → 1,000 bytes (1234.6x) | 3 elements, 0 interactive",
     ]
     assert got[2] == ["Page: t", "URL: u", "", "---", "0 → 0 bytes (N/A) | 0 elements, 0 interactive"]
+
+
+def test_violations_and_richer_captures(spark):
+    df = spark.createDataFrame([(1, 1.0, 9), (2, None, 2), (3, 5.0, None)], "page_id bigint, ratio double, n bigint")
+    got = sorted(tuple(r) for r in scores.violations(df, "page_id", {"ratio": 3}, {"n": 5}).collect())
+    assert got == [(1, "n", 9.0, 5.0, "most"), (1, "ratio", 1.0, 3.0, "least")] and scores.violations(df.limit(0), "page_id", {"ratio": 3}).count() == 0
+    pages = spark.createDataFrame([(1, 5), (2, 4), (3, 4), (4, None)], "page_id bigint, element_count bigint")
+    pairs = spark.createDataFrame([(2, 1, 2), (3, 2, 3), (4, 3, 4)], "pair_id bigint, old_page bigint, new_page bigint")
+    assert sorted(tuple(r) for r in page_diff.richer(pages, pairs).collect()) == [(2, 1, True), (3, 3, False), (4, 3, True)]

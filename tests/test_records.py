@@ -199,3 +199,13 @@ def test_links_are_resolved(spark):
     cases = {("https://a.b/c/d?x#y", "e"): "https://a.b/c/e", ("https://a.b/c/d", "../e"): "https://a.b/e", ("https://a.b/c", "/e"): "https://a.b/e", ("https://a.b/c", "//x.y/z"): "https://x.y/z", ("https://a.b/c", "mailto:x"): "mailto:x", ("https://a.b/c", " "): None, (None, "/x"): "/x", ("https://a.b/c", None): None}
     df = spark.createDataFrame([(b, h, w) for (b, h), w in cases.items()], "b string, h string, w string")
     assert df.select(urls.resolve("b", "h").eqNullSafe(F.col("w")).alias("ok")).filter("not ok").count() == 0
+
+
+def test_all_tables_come_from_one_pass(spark, tmp_path):
+    spark.createDataFrame([(1, json.dumps(TREE)), (2, "{torn")], "record_id bigint, som_json string").write.parquet(str(tmp_path / "som_records.parquet"))
+    got = sorted((r.node_ord, r.parent_ord, r.kind) for r in record_queries.p2_tables(spark, str(tmp_path)).collect())
+    assert got == NODES
+    by_tag = {(r.tag, r.node_ord): (r.id, r.role, r.text, r.value) for r in record_queries.p2_tables(spark, str(tmp_path)).collect()}
+    assert by_tag["options", 2] == (None, None, None, "1") and by_tag["items", 6] == (None, None, "x", None) and by_tag["elements", 8] == ("c", "link", None, None) and by_tag["regions", 9][:2] == ("r2", "footer")
+    only = nested.emit_nodes(spark.createDataFrame([(1, json.dumps(TREE))], "record_id bigint, som_json string"), payloads=["options"]).collect()
+    assert all((r.node is not None) == (r.tag == "options") for r in only) and len(only) == len(NODES)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,7 +73,7 @@ _NODE = pa.struct([("parent_ord", pa.int32()), ("kind", pa.string()), ("node", p
 _NODES_DDL = "k bigint, r timestamp, t binary, nodes array<struct<parent_ord:int,kind:string,node:string>>"
 
 
-def _emitter(payloads: bool):
+def _emitter(payloads: frozenset[str]):
     """One row per readable payload: its key, when it was received, its digest and its nodes in pre-order."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def _emitter(payloads: bool):
                 for _, parent, kind, node in walk(tree):
                     parents.append(parent)
                     kinds.append(kind)
-                    nodes.append(_payload(node, kind) if payloads else None)
+                    nodes.append(_payload(node, kind) if TAGS[kind] in payloads else None)
                 kept.append(row)
                 offsets.append(len(parents))
                 ties.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
@@ -98,17 +98,19 @@ def _emitter(payloads: bool):
     return emit
 
 
-def emit_nodes(records: DataFrame, key: str = "record_id", payload: str = "som_json", payloads: bool = True) -> DataFrame:
+def emit_nodes(records: DataFrame, key: str = "record_id", payload: str = "som_json", payloads: bool | Iterable[str] = True) -> DataFrame:
     """Tagged node rows (``TAGGED``) of every readable record.
 
     Each payload is read once. Of several deliveries of a key the last received readable one counts
     (by ``received_at`` where the table has it, then by digest); a torn delivery never hides a whole
     one. A null or empty payload, one without a tree and a torn one give no rows, as do null keys.
-    Other columns are not read. ``payloads=False`` leaves ``node`` null, for queries on links only.
+    Other columns are not read. ``payloads`` are the tags whose ``node`` is wanted (True all, False
+    none); it is null for others, as for queries on links only.
     """
     received = F.col("received_at").cast("timestamp") if "received_at" in records.columns else F.lit(None).cast("timestamp")
     slim = records.select(F.col(key).cast("bigint").alias("k"), received.alias("r"), F.col(payload).cast("string").alias("p")).filter("k is not null and p is not null")
-    read = slim.mapInArrow(_emitter(payloads), _NODES_DDL)
+    wanted = frozenset(TAGS.values() if payloads is True else payloads or ())
+    read = slim.mapInArrow(_emitter(wanted), _NODES_DDL)
     by = Window.partitionBy("k").orderBy(F.col("r").desc_nulls_last(), F.col("t").desc())
     last = read.withColumn("n", F.row_number().over(by)).filter("n = 1")
     rows = last.select(F.col("k").alias("record_key"), F.posexplode("nodes").alias("node_ord", "x"))

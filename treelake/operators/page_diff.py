@@ -110,3 +110,14 @@ def summary(elements: DataFrame, regions: DataFrame, pairs: DataFrame) -> DataFr
     total = sum((F.col(c) for c in counts[1:]), F.col(counts[0]))
     structural = sum((F.col(f"{k}_{c}") for k in ("regions", "elements") for c in ("added", "removed")), F.lit(0)) > 0
     return rows.select("pair_id", *counts, total.alias("total_changes"), "has_price_changes", "has_content_changes", structural.alias("has_structural_changes"))
+
+
+def richer(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, page_id, from_old): of two captures the one to keep: the older only if it has strictly more elements.
+
+    A capture whose count is null counts as having none.
+    """
+    counts = pages.select("page_id", F.coalesce("element_count", F.lit(0)).alias("n"))
+    rows = pairs.join(counts.select(F.col("page_id").alias("old_page"), F.col("n").alias("old_n")), "old_page").join(counts.select(F.col("page_id").alias("new_page"), F.col("n").alias("new_n")), "new_page")
+    older = F.col("old_n") > F.col("new_n")
+    return rows.select("pair_id", F.when(older, F.col("old_page")).otherwise(F.col("new_page")).alias("page_id"), older.alias("from_old"))

@@ -60,3 +60,11 @@ def ranked(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
     median = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
     return placed.groupBy(*keys).agg(F.max("n").alias("n"), median.alias("median"), F.max(F.col("s") / n).alias("mean"), at(F.least(F.ceil(n * 0.95), n - 1)).alias("p95"), at(F.floor((n - 1) * 0.95 + 0.5)).alias("bench_p95"))
+
+
+def violations(rows: DataFrame, key: str, least: dict[str, float], most: dict[str, float] | None = None) -> DataFrame:
+    """(key, metric, value, bound, side): every value of a row that is under its least or over its greatest bound; null values break none."""
+    bounds = [(m, b, "least") for m, b in least.items()] + [(m, b, "most") for m, b in (most or {}).items()]
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(b)).alias("bound"), F.lit(side).alias("side")) for m, b, side in bounds))
+    broken = F.when(F.col("x.side") == "least", F.col("x.value") < F.col("x.bound")).otherwise(F.col("x.value") > F.col("x.bound"))
+    return rows.select(key, F.explode(each).alias("x")).filter(broken).select(key, "x.*")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelake.operators import drift, nested, snapshots
+from treelake.session import checkpoint_dir
 from treelake.sources.tables import table
 
 #: Types of the measurement feed's fields, under their first names.
@@ -39,11 +42,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_elements(spark: SparkSession, d: str) -> DataFrame:
     """The typed table of elements with its parent links."""
-    return nested.typed(nested.emit_nodes(table(spark, d, "som_records")), "elements")
+    return nested.typed(nested.emit_nodes(table(spark, d, "som_records"), payloads=["elements"]), "elements")
 
 
 def p2_options(spark: SparkSession, d: str) -> DataFrame:
-    return nested.typed(nested.emit_nodes(table(spark, d, "som_records")), "options")
+    return nested.typed(nested.emit_nodes(table(spark, d, "som_records"), payloads=["options"]), "options")
+
+
+def p2_tables(spark: SparkSession, d: str) -> DataFrame:
+    """All related tables out of one pass: written by tag into the shared folder, each read back with its own schema."""
+    folder = f"{checkpoint_dir(spark)}/tagged-{uuid.uuid4().hex}"
+    nested.write_tagged(nested.emit_nodes(table(spark, d, "som_records")), folder)
+    common = ("id", "role", "text", "value")
+    tables = []
+    for tag in nested.SCHEMAS:
+        rows = nested.read_typed(spark, folder, tag)
+        tables.append(rows.select(F.col("record_key").alias("record_id"), "node_ord", "parent_ord", F.lit(tag).alias("tag"), "kind", *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in common)))
+    return functools.reduce(DataFrame.unionByName, tables)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +85,7 @@ def p7_failed_casts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_elements, p2_options, p4_found, p7_found, p7_measurements, p7_failed_casts)}
+    return {f.__name__: f for f in (p2_found, p2_elements, p2_options, p2_tables, p4_found, p7_found, p7_measurements, p7_failed_casts)}
 
 
 def oracle_sql() -> dict[str, str]:

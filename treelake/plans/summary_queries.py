@@ -219,6 +219,33 @@ def grade_report(spark: SparkSession, d: str) -> DataFrame:
     return scores.report(P.grade_distribution(spark, d), "Pages", ["grade", "pages"])
 
 
+@query(f"SELECT pair_id, CASE WHEN coalesce(o.element_count, 0) > coalesce(n.element_count, 0) THEN old_page ELSE new_page END AS page_id, coalesce(o.element_count, 0) > coalesce(n.element_count, 0) AS from_old FROM {P._PAIRS} p JOIN {_P} o ON o.page_id = old_page JOIN {_P} n ON n.page_id = new_page")
+def richer_captures(spark: SparkSession, d: str) -> DataFrame:
+    """Of a page captured again the capture to keep, by its elements."""
+    return page_diff.richer(pages(spark, d), page_diff.captures(pages(spark, d)))
+
+
+_SUITE = f"SELECT page_id, metric, value, bound, side FROM (SELECT page_id, unnest([{{'metric': 'ratio', 'value': ratio, 'bound': 3.0::DOUBLE, 'side': 'least'}}, {{'metric': 'element_count', 'value': element_count::DOUBLE, 'bound': 5.0::DOUBLE, 'side': 'least'}}, {{'metric': 'som_bytes', 'value': som_bytes::DOUBLE, 'bound': 4000.0::DOUBLE, 'side': 'most'}}], recursive := true) FROM (SELECT *, {P._RATIO} AS ratio FROM {_P})) WHERE CASE side WHEN 'least' THEN value < bound ELSE value > bound END"
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d).select("page_id", "element_count", "som_bytes", F.when(F.col("som_bytes") > 0, F.round(F.col("html_bytes") / F.col("som_bytes"), 6)).alias("ratio"))
+
+
+@query(_SUITE)
+def suite_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Every measure of a page that is out of bounds."""
+    return scores.violations(_measured(spark, d), "page_id", {"ratio": 3, "element_count": 5}, {"som_bytes": 4000})
+
+
+@query(f"SELECT count(*) AS pages, count(*) FILTER (n IS NULL) AS passed, count(*) FILTER (n > 0) AS failed, coalesce(sum(n), 0)::BIGINT AS violations FROM {_P} LEFT JOIN (SELECT page_id, count(*) AS n FROM ({_SUITE}) GROUP BY 1) USING (page_id)")
+def suite_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How many pages keep all bounds, and how often they are broken."""
+    broken = suite_violations(spark, d).groupBy("page_id").agg(F.count("*").alias("n"))
+    rows = pages(spark, d).select("page_id").join(broken, "page_id", "left")
+    return rows.agg(F.count("*").alias("pages"), F.count_if(F.col("n").isNull()).alias("passed"), F.count_if(F.col("n") > 0).alias("failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+
+
 @query("SELECT user_id, count(*) AS sessions, max(events) AS longest FROM (SELECT user_id, s, count(*) AS events FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2) GROUP BY 1")
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of each user, parted by a day without an event, and the most events of one."""
