@@ -142,3 +142,23 @@ def test_ordered_digests(spark):
     df = spark.createDataFrame(rows, "site string, n int, url string").repartition(5)
     got = {r.site: (r.digest, r.n) for r in digests.ordered_digests(df.withColumnRenamed("n", "at"), "t", "site", ["at"], "url").collect()}
     assert got == {"a": (digests.corpus_digest("t", [u for s, _, u in rows if s == "a"]), 50), "b": (digests.corpus_digest("t", ["x"]), 1)}
+
+
+def test_bounds_of_tools(spark, monkeypatch):
+    form = '<form toolname="%s" tooldescription="' + "d" * 100 + '"></form>'
+    html = "".join(form % f"t{i:02}" for i in range(70))
+    df = spark.createDataFrame([(1, "https://a", html)], "page_id int, url string, html string")
+    assert discovery.tools(df).count() == 64
+    monkeypatch.setattr(discovery, "MOST_TOOL_BYTES", 400)
+    assert [r.name for r in discovery.tools(df).orderBy("name").collect()] == ["t00", "t01"]
+
+
+def test_catalog_summary(spark):
+    def entry(name, **more):
+        return {"identifier": f"urn:air:{name}", "displayName": "d", "type": "text/plain", "url": "https://x.y/z"} | more
+
+    good = json.dumps({"host": {"displayName": "h"}, "entries": [entry("a.b:x"), entry("c.d:y"), entry("c.d:y"), entry("bad"), 3]})
+    bodies = spark.createDataFrame([("https://a.b/c.json", good), ("https://e.f/c.json", "{torn")], "catalog_url string, body string")
+    got = discovery.catalog_summary(bodies, discovery.catalogs(bodies)).first().asDict()
+    assert got == {"catalogs": 2, "catalogs_failed": 1, "entries": 5, "entries_valid": 2, "entries_invalid": 3, "duplicates": 1, "publishers": 2, "publishers_verified": 1}
+    assert discovery.catalog_summary(bodies.limit(0), discovery.catalogs(bodies.limit(0))).first().entries == 0

@@ -16,6 +16,8 @@ from treelake.functions.text import collapse_text
 from treelake.html.tree import Node, parse
 
 MOST_REFERENCES, MOST_CATALOGS, MOST_TOOLS, MOST_ENTRIES = 8, 8, 64, 1_000
+#: Bytes of a page's tools together.
+MOST_TOOL_BYTES = 256 * 1024
 # Script types that run.
 SCRIPT_TYPES = frozenset("application/ecmascript application/javascript application/x-ecmascript application/x-javascript text/ecmascript text/javascript text/javascript1.0 text/javascript1.1 text/javascript1.2 text/javascript1.3 text/javascript1.4 text/javascript1.5 text/jscript text/livescript text/x-ecmascript text/x-javascript".split())
 
@@ -192,12 +194,28 @@ def tools_of(html: str) -> list[dict]:
 
 
 def tools(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Declared tools of https pages by name, each name once a page, at most ``MOST_TOOLS``."""
+    """Declared tools of https pages by name, each name once a page: the first ``MOST_TOOLS`` as long as they have ``MOST_TOOL_BYTES`` together; the bounds are the feature."""
     rows = pages.filter(F.startswith(url, F.lit("https://")) & F.contains(F.lower(html), F.lit("toolname")))
     schema = "array<struct<name:string,description:string,input_schema:string,auto_submit:boolean>>"
     found = rows.select(F.col(key), F.posexplode(F.from_json(_texts(tools_of)(html), schema)).alias("position", "t")).select(key, "position", "t.*")
     once = found.withColumn("nth", F.row_number().over(Window.partitionBy(key, "name").orderBy("position"))).filter("nth = 1").drop("nth")
-    return once.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("name", "position"))).filter(F.col("place") <= MOST_TOOLS).drop("place")
+    by = Window.partitionBy(key).orderBy("name", "position")
+    size = sum((F.octet_length(F.coalesce(c, F.lit(""))) for c in ("name", "description", "input_schema")), F.lit(0))
+    placed = once.withColumn("place", F.row_number().over(by)).withColumn("upto", F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return placed.filter((F.col("place") <= MOST_TOOLS) & (F.col("upto") <= MOST_TOOL_BYTES)).drop("place", "upto")
+
+
+def catalog_summary(bodies: DataFrame, entries: DataFrame) -> DataFrame:
+    """(catalogs, catalogs_failed, entries, entries_valid, entries_invalid, duplicates, publishers, publishers_verified) of ``catalogs``.
+
+    A catalog that can't be read is failed and its one row no entry; a publisher is verified where it is the host of a catalog that names it.
+    """
+    entry, good = F.col("position") >= 0, F.col("error").isNull()
+    counts = entries.agg(
+        F.count_distinct(F.when(~entry, F.col("catalog_url"))).alias("catalogs_failed"), F.count_if(entry).alias("entries"), F.count_if(entry & good).alias("entries_valid"), F.count_if(entry & ~good).alias("entries_invalid"),
+        F.count_if(F.col("error") == "duplicate entry identifier").alias("duplicates"), F.count_distinct(F.when(entry & good, F.col("publisher"))).alias("publishers"), F.count_distinct(F.when(entry & good & F.col("publisher_is_host"), F.col("publisher"))).alias("publishers_verified"),
+    )
+    return bodies.agg(F.count_distinct("catalog_url").alias("catalogs")).join(counts)
 
 
 def insufficiency(html: Column, meaningful: Column) -> Column:
