@@ -4,6 +4,7 @@ from datetime import date, datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from treelake.llm import boilerplate, canonical, mixing, packing, percentiles, residue, tokenizer, toxicity
@@ -400,6 +401,35 @@ def test_index_is_exact():
             assert score == pytest.approx((yes + toxicity.PRIOR * index.base) / (yes + no + toxicity.PRIOR), rel=1e-3)
 
 
+def test_every_review_counts(spark):
+    # of 20,400 reviewed documents the abusive ones are those of greatest hash
+    plain = F.concat(F.lit("The ferry moved forty boards. Tram "), F.col("id") % 50, F.lit(" was late."))
+    rank = F.row_number().over(Window.orderBy(F.xxhash64("id").desc()))
+    rows = spark.range(20_400).withColumn("bad", rank <= 30)
+    df = rows.select(F.col("id").alias("doc_id"), F.when(F.col("bad"), F.lit("You utterly vile snake.")).otherwise(plain).alias("text"), F.lit("s").alias("source"), F.lit(T0).alias("received_at"))
+    labels = rows.select(F.col("id").alias("doc_id"), F.col("bad").cast("int").alias("toxic"))
+    new = spark.createDataFrame([(50_000, "Tram 7 was late. You utterly vile snake.", "s", T0), (50_001, "Tram 7 was late.", "s", T0)], df.schema)
+    got = {r.doc_id for r in toxicity.toxic_documents(df.union(new), labels).collect()}
+    assert 50_000 in got and 50_001 not in got and len(got) == 31
+
+
+def test_fit_leaves_out_no_example_that_has_a_vote(spark):
+    docs = _documents(400, random.Random(14))
+    df = spark.createDataFrame([d[:4] for d in docs], "doc_id bigint, text string, source string, received_at timestamp")
+    opinion = {i: float(bad if i % 15 else not bad) for i, _, _, _, bad in docs[:200]}
+    labels = spark.createDataFrame([(i, int(y)) for i, y in opinion.items()], "doc_id bigint, toxic int")
+    cut = {d[0]: list(toxicity.passages(d[1])) for d in docs}
+    yes, no = ({p: sum(v(opinion[i]) for i in opinion if p in cut[i]) for i in opinion for p in cut[i]} for v in (lambda y: y, lambda y: 1 - y))
+    frequency = {f: sum(f in toxicity.features(p.split(" ")) for c in cut.values() for p in c) for f in {f for e in yes for f in toxicity.features(e.split(" "))}}
+    index = toxicity.Index([(p, yes[p], no[p]) for p in yes], frequency, sum(map(len, cut.values())))
+    got = {r.doc_id: r for r in toxicity.scores(df, labels).collect()}
+    assert len(got) == 400 and sum(r.score > 0 for r in got.values()) > 50
+    for i, found in cut.items():
+        score, passage, example = index.worst(found)
+        assert got[i].score == pytest.approx(score, abs=1e-9) and (got[i].passage, got[i].example) == (passage, example)
+    assert toxicity.fit(df, labels)[0].value.base == pytest.approx(index.base)
+
+
 # all: nulls, empty and very long texts, repeated rows, empty tables, clashing columns
 CLASHES = ("k", "n", "r", "t", "v", "c", "x", "own", "page", "value", "canonical", "kind", "fragment", "share", "shares", "seen", "salt", "score", "content", "tokens", "whole", "piece", "shard", "part", "sources", "toxic", "passage", "record_key", "__delivery_rank")
 
